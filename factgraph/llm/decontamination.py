@@ -22,8 +22,9 @@ PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
 def normal(text: bytes) -> bytes:
-    """Same length, A-Z lower-cased, ASCII punctuation and white space as blanks."""
-    return text.lower().translate(PLAIN)
+    """Lower case with as many characters, ASCII punctuation and white space as blanks."""
+    low = text.lower() if text.isascii() else text.decode().replace("İ", "i").lower().encode()
+    return low.translate(PLAIN)
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -36,6 +37,10 @@ def grams(text: bytes) -> np.ndarray:
     return code ^ (code >> np.uint64(29))
 
 
+def chars(text: bytes, end: int) -> int:
+    return len(text[:end].decode(errors="ignore"))
+
+
 class Benchmark:
     """Q-gram index of some benchmark texts."""
 
@@ -52,8 +57,9 @@ class Benchmark:
         self.slots[(codes >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item id, start, end, edits), offsets in bytes, of the regions of each text."""
-        whole = b"\n".join([normal(x) for x in texts])  # no benchmark gram holds a line end
+        """(text number, item id, start, end, edits), offsets in characters, of the regions of each text."""
+        texts = [normal(x) for x in texts]
+        whole = b"\n".join(texts)  # no benchmark gram holds a line end
         ends = np.cumsum([len(x) + 1 for x in texts])
         codes = grams(whole)
         hit = np.flatnonzero(self.slots[(codes >> np.uint64(64 - SLOTS)).astype(np.int64)])
@@ -82,7 +88,8 @@ class Benchmark:
             for k in np.flatnonzero(ok):
                 start = ends[t[k]] - len(texts[t[k]]) - 1
                 self.verify(out, int(t[k]), int(i[k]), int(p[k] - start), int(x[k]), whole, int(start), len(texts[t[k]]))
-        return [(t, int(self.ids[i]), a, b, e) for (t, i), spans in sorted(out.items()) for a, b, e in spans]
+        return [(t, int(self.ids[i]), chars(texts[t], a), chars(texts[t], b), e)
+                for (t, i), spans in sorted(out.items()) for a, b, e in spans]
 
     def verify(self, out, t, i, p, x, whole, start, length):
         """Add the aligned region of the window that starts near the hit (p in the text, x in the item)."""
@@ -153,7 +160,7 @@ def contaminated_regions(docs: DataFrame, benchmark: DataFrame, key: str = "doc_
     """(key, item_id, start, end, edits): regions of each whole text that repeat benchmark text.
 
     A region holds a window of 64 bytes (or the whole of a shorter item of 12 bytes or more) with 3 edits at most,
-    case and punctuation aside; start and end are UTF-8 byte offsets. Null and empty texts and items have none,
+    case and punctuation aside; start and end count characters. Null and empty texts and items have none,
     repeated rows give their regions each, and an empty benchmark gives no rows.
     """
     rows = docs.select(key, F.col(text).alias("text"))

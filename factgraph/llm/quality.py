@@ -176,6 +176,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     return fit([x.text.encode() for x in found], [int(x.quality) for x in found])
 
 
+def judged(texts: list[bytes], seen: Words, model: Classifier | None, keep_at: float):
+    """(base counts, base_failed, probability, kept) of each text."""
+    h, counts = word_hashes(texts, seen)
+    base = base_counts(texts, h, counts)
+    failed = base_failed(base)
+    p = model.probability(model.scores(texts, h, counts)) if model else np.ones(len(texts))
+    return base, failed, p, ~failed & (p >= keep_at)
+
+
 def quality_rules(docs: DataFrame, model: Classifier | None, keep_at: float = KEEP_AT,
                   key: str = "doc_id", text: str = "text") -> DataFrame:
     """Base counts, base_failed, probability and kept for every whole text.
@@ -186,14 +195,21 @@ def quality_rules(docs: DataFrame, model: Classifier | None, keep_at: float = KE
     def run(batches):
         seen = Words()
         for batch, texts in steps(batches):
-            h, counts = word_hashes(texts, seen)
-            base = base_counts(texts, h, counts)
-            failed = base_failed(base)
-            p = model.probability(model.scores(texts, h, counts)) if model else np.ones(len(texts))
+            base, failed, p, kept = judged(texts, seen, model, keep_at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(p),
-                 pa.array(~failed & (p >= keep_at))], names=[key, *base, "base_failed", "probability", "kept"])
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(p), pa.array(kept)],
+                names=[key, *base, "base_failed", "probability", "kept"])
 
     rows = docs.select(key, F.col(text).alias("text"))
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_words long, word_chars long, "
                            "n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean")
+
+
+def kept_rows(docs: DataFrame, model: Classifier | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs, all columns, whose text quality_rules() keeps."""
+    def run(batches):
+        seen = Words()
+        for batch, texts in steps(batches):
+            yield batch.filter(pa.array(judged(texts, seen, model, keep_at)[3]))
+
+    return docs.mapInArrow(run, docs.schema)

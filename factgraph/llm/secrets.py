@@ -6,7 +6,6 @@ agree, an OpenSSH private key, or a signed token whose header and claims are JSO
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 
@@ -143,20 +142,21 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def span_digest(found: DataFrame, base: tuple[str, ...], kinds: tuple[str, ...], by_kind: bool) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and the text of all spans, by native functions."""
-    listed = ", ".join(repr(k) for k in kinds)
-    place = f"array_position(array({listed}), x.kind)"
+def joined_spans(spans: str, kinds: tuple[str, ...], by_kind: bool):
+    """Column of kind:start:end of the spans by start, then kind as listed (or by kind first), comma-joined."""
+    place = "array_position(array({}), x.kind)".format(", ".join(repr(k) for k in kinds))
     order = f"'o', {place}, 's', x.start" if by_kind else f"'s', x.start, 'o', {place}"
+    return F.expr(f"""array_join(transform(array_sort(transform({spans}, x -> named_struct(
+        {order}, 'e', x.end, 'v', concat_ws(':', x.kind, x.start, x.end)))), x -> x.v), ',')""")
 
-    def joined(spans):
-        return F.expr(f"""array_join(transform(array_sort(transform({spans}, x -> named_struct(
-            {order}, 'e', x.end, 'v', concat_ws(':', x.kind, x.start, x.end)))), x -> x.v), ',')""")
 
+def op10(docs: DataFrame) -> DataFrame:
+    base = KINDS[:3]
     own = "filter(spans, x -> x.kind in ({}))".format(", ".join(repr(k) for k in base))
-    return found.select(
+    return secret_scan(docs).select(
         "doc_id", *[F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in base],
-        F.sha2(joined(own).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+        F.sha2(joined_spans(own, KINDS, False).cast("binary"), 256).alias("base_sha256"),
+        joined_spans("spans", KINDS, False).alias("spans"))
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]", text: str = "text") -> DataFrame:

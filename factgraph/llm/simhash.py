@@ -231,6 +231,20 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     return simhash_classes(docs, shingle, similarity_radius(similarity, 256), words=4, min_keys=8)
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, without those that have a near duplicate of smaller doc_id in their class.
+
+    Repeats of a doc_id go too; rows without a doc_id stay, since nothing names them.
+    """
+    classes = near_duplicate_classes(docs, shingle, similarity)
+    tops = classes.filter("doc_id = component").groupBy("doc_id").count()
+    tops = materialize(tops, "tops")
+    kept = docs.join(tops.select("doc_id"), "doc_id", "left_semi")
+    if not tops.filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def op3(docs: DataFrame) -> DataFrame:
     found = simhash_classes(docs)
     return found.select("doc_id", F.lower(F.hex("code")).alias("fingerprint"), F.col("component").alias("component_id"))
