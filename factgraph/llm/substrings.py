@@ -1,9 +1,11 @@
 """Substring dedup: runs of words that occur earlier in the corpus, found in FM-indexes by shard.
 
 1. Every 20-word window elects its least-hashed gram of 6 words, its anchor; equal windows elect equal anchors,
-   and neighbouring windows mostly share one. Only anchors that occur twice or more can hold a repeated window.
-2. Each run of windows with the same repeated anchor becomes a segment; equal segments meet in one row.
-3. Segments are dealt to shards by anchor, so equal windows share a shard. A task builds an FM-index (suffix
+   and neighbouring windows mostly share one. Each run of windows with one anchor is a segment, known by the 128
+   bits of its anchor's and its own hash. Only anchors that occur twice or more can hold a repeated window.
+2. Equal segments meet in one row, their first place; whole repeats of it are settled. Anchors with several
+   texts are left, whose windows may repeat in part.
+3. Their segments are dealt to shards by anchor, so equal windows share a shard. A task builds an FM-index (suffix
    array, Burrows-Wheeler transform in a wavelet matrix of packed bits) over its segments and streams each
    window through backward search. The matching statistic of a window end counts up to 20 words; the interval
    that is left names all places of the window, and the least of them is its first.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.batches import steps
 from factgraph.llm.quality import Words, rolled, word_hashes
-from factgraph.runtime import materialize
+from factgraph.runtime import discard, materialize
 
 #: Words of an anchor gram; distinct segments of one anchor beyond which they are dealt out window by window.
 GRAM, CROWD = 6, 4_000
@@ -31,9 +33,7 @@ def anchors(h: np.ndarray, counts: np.ndarray, window: int):
     grams, span = rolled(h, GRAM), window - GRAM + 1
     if len(h) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), grams
-    # Least value by doubling; the low bits give way to the offset, so the leftmost of equal grams is elected.
-    least = (grams & ~np.uint64(31))
-    low, at, held = least, np.zeros(len(grams), np.int64), 1
+    low, at, held = grams, np.zeros(len(grams), np.int64), 1  # least value by doubling, the leftmost of equal ones
     while held < span:
         step = min(held, span - held)
         left, right = low[:-step], low[step:]
@@ -51,6 +51,23 @@ def runs_of(anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, np.diff(anchor) != 0)) if len(anchor) else np.empty(0, np.int64)
 
 
+ODD = 0x9E3779B97F4A7C15
+UNDO = pow(ODD, -1, 1 << 64)
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each h[start:end], from running sums of h times powers of an odd number."""
+    if not len(h):
+        return np.empty(0, np.uint64)
+    power = np.full(len(h) + 1, ODD, np.uint64)
+    power[0] = 1
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * np.cumprod(power, dtype=np.uint64)[:-1], dtype=np.uint64, out=sums[1:])
+    power[1:] = UNDO
+    own = (sums[end] - sums[start]) * np.cumprod(power, dtype=np.uint64)[start]
+    return (own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
+
+
 class WaveletMatrix:
     """Rank queries over a sequence of small integers: one packed bit vector per bit, highest bit first."""
 
@@ -148,70 +165,45 @@ def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: st
         for batch, texts in steps(batches):
             h, counts = word_hashes(texts, seen)
             starts, anchor, grams = anchors(h, counts, window)
-            anchor = anchor[runs_of(anchor)]
-            doc = np.repeat(np.arange(len(counts)), counts)[anchor]
+            first = runs_of(anchor)
+            wide = np.diff(np.append(first, len(anchor)))
+            doc = np.repeat(np.arange(len(counts)), counts)[starts[first]]
             base = np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array((anchor - base[doc]).astype(np.int32)),
-                 pa.array(grams[anchor].view(np.int64))], names=["doc_id", "place", "anchor"])
+                [batch.column(0).take(pa.array(doc)), pa.array((starts[first] - base[doc]).astype(np.int32)),
+                 pa.array(wide.astype(np.int32)), pa.array(grams[anchor[first]].view(np.int64)),
+                 pa.array(span_hashes(h, starts[first], starts[first] + wide + window - 1).view(np.int64))],
+                names=["doc_id", "start", "wide", "anchor", "segment"])
 
     def cut(batches):
-        seen = Words()
         for batch, texts in steps(batches):
-            out = {"doc_id": [], "start": [], "anchor": [], "words": []}
-            h, counts = word_hashes(texts, seen)
-            starts, anchor, grams = anchors(h, counts, window)
-            wanted = np.zeros(len(h) + 1, bool)
-            base = np.cumsum(counts) - counts
-            for b, own in zip(base.tolist(), batch.column(2)):
-                wanted[b + own.values.to_numpy()] = True
-            first = runs_of(anchor)
-            last = np.append(first[1:], len(anchor)) - 1
-            own = wanted[anchor[first]] if len(first) else np.empty(0, bool)
-            first, last = first[own], last[own]
-            doc = np.searchsorted(base + counts, starts[first], side="right")
-            split = {d: texts[d].split() for d in np.unique(doc).tolist()}
-            ids = batch.column(0)
-            for d, a, z, g in zip(doc.tolist(), starts[first].tolist(), starts[last].tolist(), grams[anchor[first]].view(np.int64).tolist()):
-                a, z = a - int(base[d]), z - int(base[d])
-                out["doc_id"].append(ids[d].as_py())
-                out["start"].append(a)
-                out["anchor"].append(g)
-                out["words"].append(b" ".join(split[d][a:z + window]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["anchor"], pa.int64()),
-                 pa.array(out["words"], pa.binary()),
-                 pa.array([xxhash.xxh3_128_digest(x) for x in out["words"]], pa.binary()),
-                 pa.array([x.count(b" ") + 2 - window for x in out["words"]], pa.int32())],
-                names=["doc_id", "start", "anchor", "words", "segment", "wide"])
-
-    places = materialize(rows.mapInArrow(elect, "doc_id long, place int, anchor long"), "anchors")
-    twice = places.groupBy("anchor").count().filter("count > 1").select("anchor")
-    wanted = places.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    segments = materialize(rows.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(
-        cut, "doc_id long, start int, anchor long, words binary, segment binary, wide int"), "segments")
-    firsts = segments.groupBy("segment").agg(
-        F.min(F.struct("doc_id", "start")).alias("first"), F.min("words").alias("words"),
-        F.min("anchor").alias("anchor")).select("first.doc_id", "first.start", "anchor", "words")
-    firsts = materialize(firsts, "firsts")
-    crowded = firsts.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded"))
-
-    def single(batches):
-        for batch in batches:
-            doc, start, shard, words, one = (batch.column(k).to_pylist() for k in range(5))
             out = []
-            for d, s, g, w, o in zip(doc, start, shard, words, one):
-                if not o:
-                    out.append((d, s, 0, g, w))
-                    continue
-                w = w.split()
-                for k in range(len(w) - window + 1):
-                    part = b" ".join(w[k:k + window])
-                    out.append((d, s, k, xxhash.xxh3_64_intdigest(part, 1) - (1 << 63), part))
+            for d, x, runs in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                x = x.split()
+                for run in runs:
+                    a, g = run["start"], run["anchor"]
+                    if not run["crowded"]:
+                        out.append((d, a, 0, g, b" ".join(x[a:a + run["wide"] + window - 1])))
+                    for k in range(run["wide"] if run["crowded"] else 0):
+                        part = b" ".join(x[a + k:a + k + window])
+                        out.append((d, a, k, xxhash.xxh3_64_intdigest(part, 1) - (1 << 63), part))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
                 names=["doc_id", "start", "skip", "shard", "words"])
 
+    every = materialize(rows.mapInArrow(elect, "doc_id long, start int, wide int, anchor long, segment long"), "segments")
+    twice = every.groupBy("anchor").count().filter("count > 1").select("anchor")
+    segments = materialize(every.join(twice, "anchor", "left_semi"), "repeated")
+    discard(every)
+    firsts = materialize(segments.groupBy("anchor", "segment").agg(
+        F.min(F.struct("doc_id", "start", "wide")).alias("first")).select("anchor", "first.*"), "firsts")
+    # An anchor's only text has no other place for its windows; the segments that repeat it whole are known.
+    several = firsts.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > CROWD).alias("crowded"))
+    wanted = firsts.join(several, "anchor").groupBy("doc_id").agg(
+        F.collect_list(F.struct("start", "wide", "anchor", "crowded")).alias("runs"))
+    dealt = rows.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(
+        cut, "doc_id long, start int, skip int, shard long, words binary")
+
     def judge(batches):
         rows_, size = [], 0
 
@@ -234,16 +226,12 @@ def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: st
         if rows_:
             yield flush(rows_)
 
-    dealt = firsts.join(crowded, "anchor", "left").select(
-        "doc_id", "start", "anchor", "words", F.coalesce("crowded", F.lit(False))).mapInArrow(
-        single, "doc_id long, start int, skip int, shard long, words binary")
     masks = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(judge, "doc_id long, start int, mask long")
     masks = masks.groupBy("doc_id", "start").agg(F.bit_or("mask").alias("mask"))
-    is_first = firsts.select("doc_id", "start", F.lit(True).alias("own"))
-    judged = (
-        segments.select("doc_id", "start", "wide").join(is_first, ["doc_id", "start"], "left").join(masks, ["doc_id", "start"], "left")
-        .select("doc_id", "start", F.when(F.col("own"), F.coalesce("mask", F.lit(0)))
-                .otherwise(F.expr("shiftleft(1L, wide) - 1")).alias("mask")).filter("mask <> 0"))
+    own = materialize(firsts.join(masks, ["doc_id", "start"], "left").select(
+        "doc_id", "start", F.coalesce("mask", F.lit(0)).alias("mask")), "masks")
+    judged = segments.select("doc_id", "start", "wide").join(own, ["doc_id", "start"], "left").select(
+        "doc_id", "start", F.coalesce("mask", F.expr("shiftleft(1L, wide) - 1")).alias("mask")).filter("mask <> 0")
     return judged.groupBy("doc_id").agg(F.collect_set(F.struct("start", "mask")).alias("runs")).select(
         F.col("doc_id").alias(key), "runs")
 
