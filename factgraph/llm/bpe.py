@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factgraph.llm.batches import lists, steps
 
 #: Pre-tokens held in each of a worker's two cache generations.
-CACHE = 400_000
+CACHE = 150_000
 NONE = 1 << 30
 
 
@@ -68,12 +68,11 @@ def letters_below(limit):
 
 
 class Bpe:
-    """Encoder and decoder for a rank file. It keeps the ids of recent pre-tokens in two generations."""
+    """Encoder for a rank file. It keeps the ids of recent pre-tokens in two generations."""
 
     def __init__(self, path, pattern):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        ranks, size = self.ranks, max(self.ranks.values()) + 1
+        ranks = self.ranks = read_ranks(path)
+        size = max(ranks.values()) + 1
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = {}
         for token, rank in ranks.items():
@@ -87,12 +86,6 @@ class Bpe:
                 self.byte_pairs[a, b] = ranks.get(bytes([a, b]), NONE)
         self.byte_pairs = np.array(list(self.byte_pairs.values()), np.int64)
         self.queue = RankQueue(size)
-        self.lengths = np.zeros(size, np.int64)
-        for token, rank in ranks.items():
-            self.lengths[rank] = len(token)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        by_id = {rank: token for token, rank in ranks.items()}
-        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
         self.young, self.old = {}, {}
         # White space as Unicode defines it; below U+0180 the classes are spelled out for the plain engine.
         self.any = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -182,10 +175,25 @@ class Bpe:
             young.update(zip(hard, self.merge([x.encode() for x in hard])))
         return [np.frombuffer(b"".join(map(young.__getitem__, x)), "<u4") for x in tokens]
 
+
+def read_ranks(path) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
+class Decoder:
+    """The bytes of every id, end to end."""
+
+    def __init__(self, path):
+        by_id = {rank: token for token, rank in read_ranks(path).items()}
+        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.lengths = np.array([len(x) for x in tokens], np.int32)
+        self.starts = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
-        ids = ids.astype(np.int64)
         lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         at = np.repeat(self.starts[ids] - ends + lengths, lengths)
         return self.bytes[at + np.arange(len(at))].tobytes()
 
@@ -193,10 +201,11 @@ class Bpe:
 _LOADED: dict = {}
 
 
-def loaded(path, pattern) -> Bpe:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Bpe(path, pattern)
-    return _LOADED[path, pattern]
+def loaded(kind, *args):
+    """One encoder or decoder for each worker."""
+    if (kind.__name__, *args) not in _LOADED:
+        _LOADED[kind.__name__, *args] = kind(*args)
+    return _LOADED[kind.__name__, *args]
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +215,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
     ranks_path is read by the workers, so it names a file that each of them has.
     """
     def run(batches):
-        bpe = loaded(ranks_path, pattern)
+        bpe = loaded(Bpe, ranks_path, pattern)
         for batch, texts in steps(batches):
             ids = [x.astype(np.int32) for x in bpe.encode(texts)]
             yield pa.RecordBatch.from_arrays(
@@ -216,10 +225,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_i
     return rows.mapInArrow(run, f"{rows.schema[key].name} {rows.schema[key].dataType.simpleString()}, ids array<int>")
 
 
-def bpe_decode(tokens: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def bpe_decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, ids, bytes binary): the text that the ids stand for. A null array decodes to no bytes."""
     def run(batches):
-        bpe = loaded(ranks_path, pattern)
+        bpe = loaded(Decoder, ranks_path)
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
