@@ -192,13 +192,15 @@ def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: st
                 names=["doc_id", "start", "skip", "shard", "words"])
 
     every = materialize(rows.mapInArrow(elect, "doc_id long, start int, wide int, anchor long, segment long"), "segments")
-    twice = every.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # Written before the joins, so that hot anchors are split there.
+    twice = materialize(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "twice")
     segments = materialize(every.join(twice, "anchor", "left_semi"), "repeated")
     discard(every)
     firsts = materialize(segments.groupBy("anchor", "segment").agg(
         F.min(F.struct("doc_id", "start", "wide")).alias("first")).select("anchor", "first.*"), "firsts")
     # An anchor's only text has no other place for its windows; the segments that repeat it whole are known.
-    several = firsts.groupBy("anchor").count().filter("count > 1").select("anchor", (F.col("count") > CROWD).alias("crowded"))
+    several = materialize(firsts.groupBy("anchor").count().filter("count > 1").select(
+        "anchor", (F.col("count") > CROWD).alias("crowded")), "several")
     wanted = firsts.join(several, "anchor").groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "wide", "anchor", "crowded")).alias("runs"))
     dealt = rows.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(
