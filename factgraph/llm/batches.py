@@ -7,13 +7,13 @@ import pyarrow as pa
 STEP_BYTES = 4 << 20
 
 
-def steps(batches, text="text"):
+def steps(batches, text="text", size=STEP_BYTES):
     """Yield (record batch slice, texts as bytes); a null text is empty."""
     for batch in batches:
         texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
         start = held = 0
         for i, x in enumerate(texts):
-            if held and held + len(x) > STEP_BYTES:
+            if held and held + len(x) > size:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, held = i, 0
             held += len(x)

@@ -6,7 +6,6 @@ pair has changed since is skipped. The work for a pre-token of n bytes is O(n lo
 """
 
 import base64
-import hashlib
 import re
 
 import numpy as np
@@ -19,6 +18,8 @@ from factgraph.llm.batches import lists, steps
 
 #: Pre-tokens held in each of a worker's two cache generations.
 CACHE = 150_000
+#: Bytes of text that the encoder handles at once.
+STEP = 1 << 20
 NONE = 1 << 30
 
 
@@ -208,48 +209,44 @@ def loaded(kind, *args):
     return _LOADED[kind.__name__, *args]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>): the ids of every whole text, without special tokens.
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, packed: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids): the ids of every whole text, without special tokens.
 
-    A null text is empty and gives an empty array; repeated rows and null keys stay; other columns are ignored.
-    ranks_path is read by the workers, so it names a file that each of them has.
+    ids is array<int>, or with packed a binary of little-endian unsigned 32-bit integers. A null text is empty and
+    has no ids; repeated rows and null keys stay; other columns are ignored. ranks_path is read by the workers, so
+    it names a file that each of them has.
     """
     def run(batches):
         bpe = loaded(Bpe, ranks_path, pattern)
-        for batch, texts in steps(batches):
-            ids = [x.astype(np.int32) for x in bpe.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(np.concatenate(ids), [len(x) for x in ids])], names=[key, "ids"])
+        for batch, texts in steps(batches, size=STEP):
+            found = bpe.encode(texts)
+            ids = pa.array([x.tobytes() for x in found], pa.binary()) if packed else lists(
+                np.concatenate(found).astype(np.int32), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
     rows = docs.select(key, F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"{rows.schema[key].name} {rows.schema[key].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}")
 
 
 def bpe_decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, ids, bytes binary): the text that the ids stand for. A null array decodes to no bytes."""
+    """(key, ids, bytes binary): the text that the ids stand for, in either form of ids. Null ids decode to no bytes."""
+    rows = tokens.select(key, F.col(ids).alias("ids"))
+    kind = rows.schema["ids"].dataType.simpleString()
+
     def run(batches):
         bpe = loaded(Decoder, ranks_path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                out = [bpe.decode(x.values.to_numpy()) if x.is_valid else b"" for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())],
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                own = [np.empty(0, np.int32) if not x.is_valid else np.frombuffer(x.as_py(), "<u4") if kind == "binary" else x.values.to_numpy()
+                       for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(bpe.decode, own), pa.binary())],
                                                  names=[key, "ids", "bytes"])
 
-    rows = tokens.select(key, F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>, bytes binary")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids {kind}, bytes binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256."""
-    def run(batches):
-        for batch in batches:
-            ids = [x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
-                 pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(2)])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.select("doc_id", "ids", "bytes").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of packed ids and their bytes."""
+    return decoded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

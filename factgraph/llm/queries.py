@@ -14,7 +14,7 @@ def op1_chat_formatting(spark, sf_dir):
 
 def op2_byte_level_bpe(spark, sf_dir):
     path = public_tokenizers.path(RANKS)
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    ids = bpe.bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, packed=True)
     return bpe.digests(bpe.bpe_decode(ids, path))
 
 
