@@ -25,6 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, bytes of one of them, tokens of a segment, tokens of context.
 SAMPLE_DOCS, SAMPLE_BYTES, LONGEST, CONTEXT = 300, 60_000, 14, 2
 FEATURES = 1 << 12
+WIDTH = 13  # features of a segment
 TRIGGER = re.compile(r"[0-9@+]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 DIGITS = re.compile(r"[0-9]")
@@ -149,7 +150,7 @@ class SemiMarkov:
 
     def scored(self, tokens):
         parts = segments(tokens)
-        index = np.array([f for *_, f in parts], np.int64).reshape(len(parts), -1)
+        index = np.array([f for *_, f in parts], np.int64).reshape(len(parts), WIDTH)
         score = self.w[1:, index].sum(axis=2).T if len(parts) else np.zeros((0, len(KINDS)))
         plain = np.array([self.out[int(t[0].isdigit())] for t in tokens])
         return parts, index, score, plain
@@ -276,8 +277,10 @@ def fit(texts: list[str], epochs: int = 6) -> SemiMarkov:
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> SemiMarkov:
     """Fit on the documents with a digit or an @ that come first by a hash of doc_id: `sample` of them at most."""
     rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES))
-    texts = rows.select("text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
-    return fit([x.text for x in texts])
+    # Names first, then their texts: what each task sends does not grow with the texts.
+    names = rows.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = rows.join(F.broadcast(names), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return fit([x.text for x in found.collect()])  # `sample` rows at most
 
 
 def find_personal(text: str, model: SemiMarkov | None):
