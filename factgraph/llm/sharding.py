@@ -71,12 +71,13 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: list[str], key: str = "do
     size: UTF-8 bytes of the text plus 8; a null text has none and the checksum 0. Order: cell, a hash of the key
     in crowded cells, then key, size and checksum; equal rows take neighbouring slots. An empty table gives no rows.
     """
-    codes = quantised(docs, dims, bits)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *codes).select(
-        "key", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("crc"),
-        hilbert_index(F.array(*[f"code_{d}" for d in dims]), bits, len(dims)).alias("cell"))
-    rows = materialize(rows, "cells")
+    rows = materialize(docs.select(
+        F.col(key).alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).alias("crc"), *quantised(docs, dims, bits)), "codes")
+    # The curve is followed once for each combination of codes: 2 ** (bits * dims) rows at most.
+    codes = [f"code_{d}" for d in dims]
+    places = materialize(rows.select(*codes).distinct(), "boxes").withColumn("cell", hilbert_index(F.array(*codes), bits, len(dims)))
+    rows = rows.join(F.broadcast(materialize(places, "places")), codes).drop(*codes)
     # A row for each cell of the curve: 2 ** (bits * dims) at most.
     cells = rows.groupBy("cell").count().select(
         "cell", F.ceil(F.col("count") / RUN).cast("int").alias("runs"),
