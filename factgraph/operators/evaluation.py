@@ -75,3 +75,14 @@ def recall_at(results: DataFrame, evidence: DataFrame, ks: tuple[int, ...]) -> D
     asked = evidence.select("request_id").distinct().join(hit, "request_id", "left")
     return asked.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "best").groupBy("k").agg(
         F.count("*").alias("questions"), F.sum((F.coalesce("best", F.lit(1 << 30)) <= F.col("k")).cast("long")).alias("recalled"))
+
+
+def majority(passes: DataFrame) -> DataFrame:
+    """(item, passes, verdict) of gradings (item, correct, error): an error in any pass wins, then more than half."""
+    right = F.sum(F.col("correct").cast("long")) * 2 > F.count("*")
+    return passes.groupBy("item").agg(F.count("*").alias("passes"), F.when(F.max("error"), "error").when(right, "correct").otherwise("wrong").alias("verdict"))
+
+
+def losses(refusals: DataFrame) -> DataFrame:
+    """(cause, n, sample) of refusals (cause, detail, seq): how many, and the detail of the first."""
+    return refusals.groupBy("cause").agg(F.count("*").alias("n"), F.min_by("detail", "seq").alias("sample"))
