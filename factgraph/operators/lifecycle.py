@@ -19,8 +19,8 @@ def page(df: DataFrame, by: list[str], limit: int, offset: int, *order) -> DataF
 
 def inbox_visible(inbox: DataFrame, readable: DataFrame, principals: DataFrame) -> DataFrame:
     """(principal, inbox columns): rows of no scope are for everybody, others for those who may read the scope."""
-    everybody = inbox.filter("scope_id IS NULL").join(F.broadcast(principals))
-    scoped = inbox.join(F.broadcast(readable.select("principal", "scope_id")), "scope_id")
+    everybody = inbox.filter("scope_id IS NULL").join(principals)
+    scoped = inbox.join(readable.select("principal", "scope_id"), "scope_id")
     return scoped.unionByName(everybody)
 
 
@@ -126,27 +126,38 @@ def recall_statistics(surfaced: DataFrame) -> DataFrame:
 
 
 def admitted(events: DataFrame, limits: dict[str, int], window_s: int = 60) -> DataFrame:
-    """events (event_id, key, kind, s) with `admitted`, s in seconds: at most limits[kind] in any window of the key and kind.
+    """(event_id, key, kind, admitted) of events (event_id, key, kind, s), s in whole seconds.
 
-    Refused events do not count. An event depends on the window before it only, so a pause of a whole window cuts a
-    key's events into runs that are dealt apart: a busy key is as many groups as it has runs.
+    At most limits[kind] events of a key and kind are admitted in any window; refused ones do not count, and kinds
+    without a limit are always admitted. An event depends on the window before it only, so a pause of a whole window
+    cuts a key's events into runs that are decided apart. Runs are found on counts by window length, not on events;
+    a run within its limit is admitted as it is, and only the others go through Python, each as a group. A run that
+    never pauses is one group: each decision in it rests on the one before.
     """
-    order = Window.partitionBy("key", "kind").orderBy("s", "event_id")
-    rest = F.coalesce(F.col("s") - F.lag("s").over(order) >= window_s, F.lit(True))
-    runs = events.select("event_id", "key", "kind", "s", rest.cast("int").alias("fresh")).withColumn("run", F.sum("fresh").over(order))
-
-    def decide(keys, rows):
-        limit, kept, first, out = limits[keys[1]], [], 0, []
+    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("kind")]
+    rows = events.select("event_id", "key", "kind", "s", F.floor(F.col("s") / window_s).alias("slot"))
+    slots = rows.groupBy("key", "kind", "slot").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
+    order = Window.partitionBy("key", "kind").orderBy("slot")
+    rest = F.coalesce(F.col("lo") - F.lag("hi").over(order) >= window_s, F.lit(True))
+    slots = slots.withColumn("fresh", rest.cast("int")).withColumn("run", F.sum("fresh").over(order)).withColumn(
+        "total", F.sum("n").over(Window.partitionBy("key", "kind", "run")))
+    slots = slots.select("key", "kind", "slot", "run", F.coalesce(F.col("total") <= limit, F.lit(True)).alias("within"))
+    runs = rows.alias("e").join(slots.alias("r"), F.expr("e.key <=> r.key AND e.kind <=> r.kind AND e.slot = r.slot")).select(
+        "e.event_id", "e.key", "e.kind", "e.s", "r.run", "r.within")
+
+    def decide(group, rows):
+        most, kept, first, out = limits[group[1]], [], 0, []
         rows = rows.sort_values(["s", "event_id"])
         for s in rows["s"].tolist():
             while first < len(kept) and kept[first] <= s - window_s:
                 first += 1
-            out.append(len(kept) - first < limit)
+            out.append(len(kept) - first < most)
             if out[-1]:
                 kept.append(s)
         return rows[["event_id", "key", "kind"]].assign(admitted=out)
 
-    kinds = runs.schema
-    schema = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("event_id", "key", "kind"))
-    return runs.groupBy("key", "kind", "run").applyInPandas(
-        lambda keys, rows: decide(keys, rows), f"{schema}, admitted boolean")
+    types = runs.schema
+    schema = ", ".join(f"{c} {types[c].dataType.simpleString()}" for c in ("event_id", "key", "kind"))
+    busy = runs.filter("NOT within").groupBy("key", "kind", "run").applyInPandas(
+        lambda group, rows: decide(group, rows), f"{schema}, admitted boolean")
+    return runs.filter("within").select("event_id", "key", "kind", F.lit(True).alias("admitted")).union(busy)

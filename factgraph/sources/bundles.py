@@ -35,7 +35,7 @@ def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def bundle(nodes: DataFrame, edges: DataFrame, scopes: DataFrame) -> dict[str, DataFrame]:
     """The tables of an export: the scopes given, their nodes, node types in use, and edges with both ends exported."""
-    kept = nodes.join(F.broadcast(scopes.select("scope_id")), "scope_id", "left_semi")
+    kept = nodes.join(scopes.select("scope_id"), "scope_id", "left_semi")
     inside = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
     return {"scope": scopes, "node_type": kept.select(F.col("type").alias("name")).distinct(), "node": kept, "edge": inside}
 

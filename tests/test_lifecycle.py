@@ -22,7 +22,8 @@ def test_pages_clamp_and_tell_of_more(spark):
 
 def test_admission_against_a_plain_loop(spark):
     rng = random.Random(2)
-    events = sorted((rng.randrange(400), k, rng.randrange(2), rng.choice(["read", "write"])) for k in range(600))
+    events = sorted((rng.choice([rng.randrange(400), 900 + 60 * rng.randrange(9), rng.randrange(2_000, 9_000)]), k, rng.choice([0, 1, None]),
+                     rng.choice(["read", "write"])) for k in range(900))
     limits, kept, want = {"read": 9, "write": 4}, {}, {}
     for s, k, key, kind in events:
         past = kept.setdefault((key, kind), [])
