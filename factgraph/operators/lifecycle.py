@@ -57,6 +57,18 @@ def resolved(verdicts: DataFrame, parked_: DataFrame, nodes: DataFrame) -> DataF
         F.col("outcome") == "inserted", F.col("related")).alias("target"))
 
 
+def triaged(inbox: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(id, status) of inbox rows after decisions (id, action, band), one for a row at most.
+
+    A discarded row is `discarded`; a promoted one is `promoted` once its write has ended, and stays while the write
+    waits in the pending band. Rows that were not pending, or of which nothing was decided, keep their status.
+    """
+    rows = inbox.select("id", "status").join(decisions.select("id", "action", "band"), "id", "left")
+    ended = (F.col("action") == "promote") & (F.col("band") != "pending")
+    status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("action") == "discard", "discarded").when(ended, "promoted")
+    return rows.select("id", status.otherwise(F.col("status")).alias("status"))
+
+
 def superseded(requests: DataFrame, nodes: DataFrame, bands: DataFrame) -> DataFrame:
     """(new, old, outcome) of (new, old): a new fact replaces an active one of its type unless it was parked or merged.
 

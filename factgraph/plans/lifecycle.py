@@ -27,10 +27,9 @@ def inbox(spark, sf_dir):
 
 
 @query(f"{S.NODES_SQL} SELECT author, id, place, more, preview FROM (SELECT author, id, title || ' — ' || rtrim(substr(body, 1, 280), ' ') || CASE WHEN length(body) > 280 THEN '…' ELSE '' END AS preview, "
-       "CAST(row_number() OVER (PARTITION BY author ORDER BY created_at DESC, id) AS INT) AS place, count(*) OVER (PARTITION BY author) > 25 AS more FROM nodes WHERE id % 3 = 0) WHERE place BETWEEN 6 AND 25")
+       "CAST(row_number() OVER (PARTITION BY author ORDER BY created_at DESC, id) AS INT) AS place, count(*) OVER (PARTITION BY author) > 25 AS more FROM nodes) WHERE place BETWEEN 6 AND 25")
 def pending_page(spark, sf_dir):
-    rows = S.nodes(spark, sf_dir).filter("id % 3 = 0")
-    return L.page(rows, ["author"], 20, 5, F.desc("created_at"), "id").select(
+    return L.page(S.nodes(spark, sf_dir), ["author"], 20, 5, F.desc("created_at"), "id").select(
         "author", "id", "place", "more", X.preview(F.col("title"), F.col("body")).alias("preview"))
 
 
@@ -79,13 +78,23 @@ def resolve_pending(spark, sf_dir):
 
 @query(f"{PAIRS_SQL}, top AS (SELECT b AS seq, max(similarity) AS s FROM pairs GROUP BY b) SELECT n.id AS new, n.id - 20 AS old, CASE WHEN o.id IS NULL THEN 'missing' "
        "WHEN o.status <> 'active' OR s >= 0.9 THEN 'downgraded' WHEN o.type <> n.type THEN 'related' ELSE 'superseded' END AS outcome "
-       "FROM nodes n LEFT JOIN nodes o ON o.id = n.id - 20 LEFT JOIN top ON top.seq = n.id WHERE n.id % 3 = 1")
+       "FROM nodes n LEFT JOIN nodes o ON o.id = n.id - 20 LEFT JOIN top ON top.seq = n.id")
 def supersede(spark, sf_dir):
     nodes = S.nodes(spark, sf_dir)
-    asked = nodes.filter("id % 3 = 1").select(F.col("id").alias("new"), (F.col("id") - 20).alias("old"))
+    asked = nodes.select(F.col("id").alias("new"), (F.col("id") - 20).alias("old"))
     return L.superseded(asked, nodes, D.banded(nodes, R.near_pairs(nodes, 0.9), 0.9, 0.97))
 
 
+@query(f"{PAIRS_SQL}, top AS (SELECT b AS id, max(similarity) AS s FROM pairs GROUP BY b) SELECT n.id, CASE WHEN status <> 'active' THEN 'discarded' WHEN n.id % 5 = 0 THEN 'discarded' "
+       "WHEN n.id % 5 = 1 OR (s >= 0.9 AND s < 0.97) THEN 'pending' ELSE 'promoted' END AS status FROM nodes n LEFT JOIN top USING (id)")
+def inbox_triage(spark, sf_dir):
+    nodes = S.nodes(spark, sf_dir)
+    captured = nodes.select("id", F.when(F.col("status") == "active", "pending").otherwise("discarded").alias("status"))
+    bands = D.banded(nodes, R.near_pairs(nodes, 0.9), 0.9, 0.97).select(F.col("seq").alias("id"), "band")
+    action = F.when(F.col("id") % 5 == 0, "discard").when(F.col("id") % 5 > 1, "promote")
+    return L.triaged(captured, bands.withColumn("action", action))
+
+
 @query(f"{S.NODES_SQL}, u AS (SELECT doc_id * 2 AS id, CASE WHEN doc_id % 3 = 0 THEN 'New title ' || doc_id END AS title FROM documents) SELECT u.id, "
        "CASE WHEN n.id IS NULL THEN 'missing' WHEN status <> 'active' THEN 'rejected' ELSE 'updated' END AS outcome, "
        "coalesce(status = 'active' AND u.title IS NOT NULL AND u.title <> n.title, false) AS need_reembed FROM u LEFT JOIN nodes n USING (id)")

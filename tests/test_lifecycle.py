@@ -45,6 +45,14 @@ def test_parked_writes_end(spark):
         (10, "inserted", 1), (11, "expired", None), (12, "merged", 3), (13, "inserted", None), (14, "expired", None)]
 
 
+def test_triage(spark):
+    inbox = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "pending"), (4, "promoted"), (5, "pending")], "id long, status string")
+    decided = spark.createDataFrame([(1, "discard", None), (2, "promote", "merge"), (3, "promote", "pending"), (4, "discard", None), (9, "discard", None)],
+                                    "id long, action string, band string")
+    assert rows(lifecycle.triaged(inbox, decided)) == [(1, "discarded"), (2, "promoted"), (3, "pending"), (4, "promoted"), (5, "pending")]
+    assert lifecycle.triaged(inbox.limit(0), decided).count() == 0
+
+
 def test_links_and_remaps(spark):
     edges = spark.createDataFrame([(1, 2, "t"), (1, 2, "t")], "src long, dst long, type string")
     seen = spark.createDataFrame([(1, "active"), (2, "active"), (3, "archived"), (4, "active")], "id long, status string")
