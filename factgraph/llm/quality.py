@@ -17,6 +17,8 @@ from factgraph.llm.batches import steps
 SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 60_000
 #: A text is kept where its calibrated probability of quality 1 reaches this.
 KEEP_AT = 0.5
+#: Bytes of text that a step handles at once: its n-gram arrays take about a hundred times as much.
+STEP = 1 << 20
 BITS = 18
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\f"
@@ -194,7 +196,7 @@ def quality_rules(docs: DataFrame, model: Classifier | None, keep_at: float = KE
     """
     def run(batches):
         seen = Words()
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, size=STEP):
             base, failed, p, kept = judged(texts, seen, model, keep_at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(p), pa.array(kept)],
@@ -209,7 +211,7 @@ def kept_rows(docs: DataFrame, model: Classifier | None, keep_at: float = KEEP_A
     """The rows of docs, all columns, whose text quality_rules() keeps."""
     def run(batches):
         seen = Words()
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, size=STEP):
             yield batch.filter(pa.array(judged(texts, seen, model, keep_at)[3]))
 
     return docs.mapInArrow(run, docs.schema)
