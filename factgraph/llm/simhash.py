@@ -239,7 +239,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     classes = near_duplicate_classes(docs, shingle, similarity)
     tops = classes.filter("doc_id = component").groupBy("doc_id").count()
     tops = materialize(tops, "tops")
-    kept = docs.join(tops.select("doc_id"), "doc_id", "left_semi")
+    # Both sides grow with the corpus: a sort-merge join at every size.
+    kept = docs.join(tops.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not tops.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL"))
