@@ -318,3 +318,22 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     want = re.sub(r'token = "[0-9a-f]+', "[SECRET]", table[33])
     assert got[33].decoded_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert got[5].decoded_sha256 == hashlib.sha256(table[5].encode()).hexdigest()
+
+
+def test_near_duplicates_are_linked_by_exact_similarity(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(120)]
+    samples = [" ".join(base)]
+    for k in range(60):  # heads and tails of other words, Jaccard 0.5 to 1, and a repeated tail
+        cut, own = rng.randint(0, 40), [f"v{k}x{i}" for i in range(rng.randint(0, 25))]
+        samples.append(" ".join(base[cut:] + own) + (" again and again and over" * 20 if k % 9 == 0 else ""))
+    samples += ["a b c d e f g h", "a b c d e f g h i", samples[3], "", None]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in samples]
+    want = list(range(len(samples)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) / len(a | b) >= 0.8:
+                want = [want[j] if c == want[i] else c for c in want]
+    lead = {c: want.index(c) for c in want}
+    got = by_id(simhash.near_duplicate_classes(docs(spark, samples)))
+    assert {k: r.component for k, r in got.items()} == {k: lead[c] for k, c in enumerate(want)}
