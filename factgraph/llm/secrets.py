@@ -1,11 +1,13 @@
 """Secret scans: patterns, and structural confirmation of encoded candidates before they are reported.
 
 A long base64 or hex run counts as a key only if it decodes to a known structure: a DER key whose nested lengths
-agree, an OpenSSH private key, or a signed token whose header and claims are JSON.
+agree, an OpenSSH private key, or a signed token whose header and claims are JSON. Base64 lines divided by line
+ends, escaped ones too, are one candidate; its span goes from the first to the last of the lines that hold the key.
 """
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -20,15 +22,23 @@ from factgraph.llm.batches import steps
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+OPENSSH = b"openssh-key-v1\x00"
 KINDS = ("assign", "access", "hex", "token", "key")
 HINTS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Base64 lines from one that may begin a DER sequence or an OpenSSH key.
+LINES = re.compile(r"(?:M[A-P]|b3BlbnNz)[A-Za-z0-9+/_-]{2,}(?:[ \t]*(?:\r\n?|\n|(?:\\+r)?\\+n)[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|(?:\\+r)?\\+n)[ \t]*")
+HEX_KEY = re.compile(r"[0-9A-Fa-f]{80,}")
 BASE64 = np.zeros(256, bool)
 BASE64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-.")] = True
 HEXES = np.zeros(256, bool)
 HEXES[list(b"0123456789abcdef")] = True
+ANY_HEXES = HEXES.copy()
+ANY_HEXES[list(b"ABCDEF")] = True
 
 
 def has_run(member: np.ndarray, least: int) -> bool:
@@ -72,10 +82,80 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH private key at the start of data, all fields checked, or None."""
+    def number(at):
+        return int.from_bytes(data[at:at + 4], "big") if at + 4 <= len(data) else len(data)
+
+    at, fields = len(OPENSSH), []
+    for _ in range(3):  # cipher, key derivation and its options
+        fields.append(data[at + 4:at + 4 + number(at)])
+        at += 4 + number(at)
+    count, at = number(at), at + 4
+    if not fields[0] or not fields[1] or not 1 <= count <= len(data) - at:
+        return None
+    for _ in range(count):
+        if at >= len(data) or number(at) < 4:
+            return None
+        at += 4 + number(at)
+    size, at = number(at), at + 4
+    if at + size > len(data) or size < 8 or size % 8:
+        return None
+    if fields[0] == b"none" and data[at:at + 4] != data[at + 4:at + 8]:
+        return None
+    return at + size
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the DER item that starts data, by its own length; data may hold its head only."""
+    if len(data) < 2 or data[0] != 0x30:
+        return None
+    n = data[1] & 127 if data[1] & 128 else 0
+    if n > 4 or data[1] == 128 or len(data) < 2 + n:
+        return None
+    return 2 + n + (int.from_bytes(data[2:2 + n], "big") if n else data[1])
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of base64 keys that begin and end with a line; the key's own length says which line is its last."""
+    found = []
+    for m in LINES.finditer(text):
+        spans, at = [], m.start()
+        while line := LINE.match(text, at, m.end()):
+            spans.append(line.span())
+            at = gap.end() if (gap := BREAK.match(text, line.end(), m.end())) else m.end()
+        chars = [0]
+        for a, b in spans:
+            chars.append(chars[-1] + b - a)
+        k = 0
+        if m.start() and LINE.match(text[m.start() - 1]) and text[m.start() - 2:m.start()] != "\\n":
+            k = 1  # the match begins within a word
+        while k < len(spans):
+            start, stop = spans[k][0], len(spans)
+            head = text[start:min(spans[k][1], start + 8)]
+            if head.startswith("b3BlbnNz"):
+                whole = "".join(text[a:b] for a, b in spans[k:])
+                data = unpadded(whole[:len(whole) - (len(whole) % 4 == 1)])
+                size = openssh_size(data) if data and data.startswith(OPENSSH) else None
+            else:
+                data = unpadded(head[:len(head) // 4 * 4]) if head[0] == "M" else None
+                size = der_size(data) if data else None
+            need = -(-size * 4 // 3) if size else 0
+            last = bisect.bisect_left(chars, chars[k] + need)
+            if need >= 40 and last <= stop and chars[last] == chars[k] + need:
+                data = unpadded("".join(text[a:b] for a, b in spans[k:last]))
+                if data and key_structure(data):
+                    found.append((start, m.end() if last == stop else spans[last - 1][1]))
+                    k = last
+                    continue
+            k += 1
+    return found
+
+
 def key_structure(data: bytes) -> bool:
     """A DER sequence that holds a key, or an OpenSSH private key."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return len(data) > 19 and int.from_bytes(data[15:19], "big") <= len(data) - 19
+    if data.startswith(OPENSSH):
+        return openssh_size(data) == len(data)
     outer = der_items(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -90,6 +170,10 @@ def key_structure(data: bytes) -> bool:
     return all(t == 0x02 for t in tags) and len(tags) >= 8 or tags[:2] == [0x02, 0x04]  # RSA; EC
 
 
+def hex_key_structure(run: str) -> bool:
+    return len(run) % 2 == 0 and key_structure(bytes.fromhex(run))
+
+
 def signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -105,22 +189,30 @@ def find_secrets(raw: bytes) -> list[tuple[str, int, int]]:
     bytes_ = np.frombuffer(raw, np.uint8)
     coded = has_run(BASE64[bytes_], 36)
     hexed = has_run(HEXES[bytes_], 16)
+    hex_key = has_run(ANY_HEXES[bytes_], 80)
     assigned = any(x in low for x in HINTS)
-    if not (coded or hexed or assigned or b"AKIA" in raw):
+    signed = b"eyJ" in raw
+    wrapped = b"M" in raw or b"b3BlbnNz" in raw
+    if not (coded or hexed or hex_key or assigned or signed or wrapped or b"AKIA" in raw):
         return found
     text = raw.decode()
     if assigned:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    keys = set()
     if hexed:
         runs = [m for m in HEX.finditer(text) if m.end() - m.start() >= 16]
         found += [("hex", *m.span()) for m in runs]
-        found += [("key", *m.span()) for m in runs
-                  if len(m[0]) >= 80 and len(m[0]) % 2 == 0 and key_structure(bytes.fromhex(m[0]))]
+        keys |= {m.span() for m in runs if len(m[0]) >= 80 and hex_key_structure(m[0])}
+    if hex_key:
+        keys |= {m.span() for m in HEX_KEY.finditer(text) if hex_key_structure(m[0])}
+    if signed:
+        found += [("token", *m.span()) for m in TOKEN.finditer(text) if signed_token(m[0])]
     if coded:
-        tokens = [m for m in TOKEN.finditer(text) if signed_token(m[0])]
-        found += [("token", *m.span()) for m in tokens]
-        found += [("key", *m.span()) for m in RUN.finditer(text) if (data := unpadded(m[0])) and key_structure(data)]
+        keys |= {m.span() for m in RUN.finditer(text) if (data := unpadded(m[0])) and key_structure(data)}
+    if wrapped:
+        keys |= set(wrapped_keys(text))
+    found += [("key", *x) for x in sorted(keys)]
     return found
 
 

@@ -337,3 +337,27 @@ def test_near_duplicates_are_linked_by_exact_similarity(spark):
     lead = {c: want.index(c) for c in want}
     got = by_id(simhash.near_duplicate_classes(docs(spark, samples)))
     assert {k: r.component for k, r in got.items()} == {k: lead[c] for k, c in enumerate(want)}
+
+
+def test_keys_over_several_lines():
+    def der(tag, body):
+        n = len(body)
+        return bytes([tag]) + (bytes([n]) if n < 128 else b"\x81" + bytes([n]) if n < 256 else b"\x82" + n.to_bytes(2, "big")) + body
+
+    def field(x):
+        return len(x).to_bytes(4, "big") + x
+
+    rng = random.Random(5)
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, b"\1" + rng.randbytes(n)) for n in (256, 3, 255, 128, 128, 128, 128, 128)))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, bytes.fromhex("06092a864886f70d0101010500")) + der(4, rsa))
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + b"\0\0\0\1" + field(rng.randbytes(51)) + field(b"abcdabcd" + rng.randbytes(128))
+    for data, width, end in ((rsa, 64, "\n"), (pkcs8, 64, "\r\n"), (rsa, 76, "\\n"), (ssh, 70, "\n"), (pkcs8, 64, "\n    "), (rsa, 4000, "\\n")):
+        run = base64.b64encode(data).decode()
+        body = end.join(run[i:i + width] for i in range(0, len(run), width))
+        for before, after in (("-----BEGIN PRIVATE KEY-----" + end, end + "-----END PRIVATE KEY-----"), ("note" + end, end + "words"), ("k = '", "'")):
+            keys = [x for x in secrets.find_secrets((before + body + after).encode()) if x[0] == "key"]
+            assert keys == [("key", len(before), len(before) + len(body))], (width, end, before)
+        cut = body[:len(body) // 2]
+        assert not [x for x in secrets.find_secrets(cut.encode()) if x[0] == "key"]
+    assert ("key", 0, 2 * len(rsa)) in secrets.find_secrets(rsa.hex().upper().encode())
+    assert not secrets.find_secrets(b"word MAN MIT\nMAP") and secrets.find_secrets(b"eyJhbGciOiJub25lIn0.eyJhIjoxfQ.") == [("token", 0, 31)]
