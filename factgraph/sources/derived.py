@@ -1,11 +1,13 @@
 """Fact-graph tables derived from the given tables; NODES_SQL and the others are the same derivations in SQL."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.runtime import table
 
 AS_OF = "2024-02-01 00:00:00"
+#: Values of doc_id in a block of one source.
+EDGE_BLOCK = 65_536
 
 
 def nodes(spark, sf_dir) -> DataFrame:
@@ -60,11 +62,14 @@ def business_edges(spark, sf_dir) -> DataFrame:
 
 
 def document_edges(spark, sf_dir) -> DataFrame:
-    """relates_to between neighbours (by doc_id) of one source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    after = docs.select((F.col("doc_id") - 20).alias("doc_id"), F.col("doc_id").alias("dst"), F.col("source").alias("s2"))
-    return docs.join(after, "doc_id").filter("source = s2").select(
-        F.col("doc_id").alias("src"), "dst", F.lit("relates_to").alias("type"))
+    """relates_to between neighbours (by doc_id) of one source; a source is dealt in blocks of doc_id."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND source IS NOT NULL").select(
+        "source", "doc_id", F.floor(F.col("doc_id") / EDGE_BLOCK).alias("block")).distinct()
+    firsts = docs.groupBy("source", "block").agg(F.min("doc_id").alias("first"))
+    after = firsts.select("source", "block", F.lead("first").over(Window.partitionBy("source").orderBy("block")).alias("next"))
+    inside = F.lead("doc_id").over(Window.partitionBy("source", "block").orderBy("doc_id"))
+    return docs.withColumn("inside", inside).join(after, ["source", "block"]).select(
+        F.col("doc_id").alias("src"), F.coalesce("inside", "next").alias("dst"), F.lit("relates_to").alias("type")).filter("dst IS NOT NULL")
 
 
 def usage_events(spark, sf_dir) -> DataFrame:

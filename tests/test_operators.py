@@ -126,3 +126,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q = jobs.usage_stream(stream).writeStream.format("memory").queryName("usage").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("usage")) == rows(evaluation.usage_rollup(rows_))
+
+
+def test_document_edges_of_uneven_sources(spark, tmp_path, monkeypatch):
+    from factgraph.sources import derived
+
+    monkeypatch.setattr(derived, "EDGE_BLOCK", 4)
+    rows = [(k, "hot" if k % 3 else "rare") for k in range(60) if k not in (7, 8, 20, 21, 22, 23, 24, 25, 26, 27)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for source in ("hot", "rare"):
+        ids = [k for k, s in rows if s == source]
+        want |= set(zip(ids, ids[1:]))
+    assert {(r.src, r.dst) for r in derived.document_edges(spark, str(tmp_path)).collect()} == want
