@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.batches import lists, steps
 
-#: Pre-tokens held in each of a worker's two cache generations.
-CACHE = 150_000
-#: Bytes of text that the encoder handles at once.
-STEP = 1 << 20
+#: Bytes of each of an encoder's two cache generations, with ENTRY for an entry beside its text and ids.
+CACHE, ENTRY = 8 << 20, 240
+#: Bytes of text that the encoder handles at once, and of uncached pre-tokens that one queue serves.
+STEP = 1 << 18
 NONE = 1 << 30
 
 
@@ -87,7 +87,7 @@ class Bpe:
                 self.byte_pairs[a, b] = ranks.get(bytes([a, b]), NONE)
         self.byte_pairs = np.array(list(self.byte_pairs.values()), np.int64)
         self.queue = RankQueue(size)
-        self.young, self.old = {}, {}
+        self.forget()
         # White space as Unicode defines it; below U+0180 the classes are spelled out for the plain engine.
         self.any = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         let, num = letters_below(0x180)
@@ -96,6 +96,10 @@ class Bpe:
                               .replace(r"\p{N}", f"[{num}]").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]"))
         self.beyond = re.compile("[^\x00-ſ]")
 
+    def forget(self):
+        """Drop the cache: a worker outlives its task, and serves other stages next."""
+        self.young, self.old, self.held = {}, {}, 0
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, as little-endian bytes; one queue serves all of them."""
         raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
@@ -156,26 +160,39 @@ class Bpe:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        strings = [x.decode() for x in texts]
+        strings = [x.decode(errors="replace") for x in texts]
         tokens = [(self.any if self.beyond.search(x) else self.few).findall(x) for x in strings]
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
+        if self.held >= CACHE:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         new = set()
         for x in tokens:
             new.update(set(x).difference(young))
-        hard = []
+        hard, size = [], 0
         for token in new:
             if (ids := old.get(token)) is None:
-                if (whole := self.ranks.get(token.encode())) is None:
+                raw = token.encode()
+                if (whole := self.ranks.get(raw)) is None:
                     hard.append(token)
+                    size += len(raw)
+                    if size >= STEP:
+                        self.solve(hard)
+                        hard, size = [], 0
                     continue
                 ids = whole.to_bytes(4, "little")
             young[token] = ids
+            self.held += ENTRY
         if hard:
-            young.update(zip(hard, self.merge([x.encode() for x in hard])))
+            self.solve(hard)
         return [np.frombuffer(b"".join(map(young.__getitem__, x)), "<u4") for x in tokens]
 
+    def solve(self, tokens: list[str]):
+        """Merge pre-tokens that no cache holds."""
+        raw = [x.encode() for x in tokens]
+        ids = self.merge(raw)
+        self.young.update(zip(tokens, ids))
+        self.held += ENTRY * len(raw) + sum(map(len, raw)) + sum(map(len, ids))
+
 
 def read_ranks(path) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -203,7 +220,7 @@ _LOADED: dict = {}
 
 
 def loaded(kind, *args):
-    """One encoder or decoder for each worker."""
+    """One encoder or decoder for each worker: its tables stay, its cache goes with the task."""
     if (kind.__name__, *args) not in _LOADED:
         _LOADED[kind.__name__, *args] = kind(*args)
     return _LOADED[kind.__name__, *args]
@@ -213,16 +230,20 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, packed: bool = Fa
     """(key, ids): the ids of every whole text, without special tokens.
 
     ids is array<int>, or with packed a binary of little-endian unsigned 32-bit integers. A null text is empty and
-    has no ids; repeated rows and null keys stay; other columns are ignored. ranks_path is read by the workers, so
+    has no ids, and bytes that are not UTF-8 count as U+FFFD; repeated rows and null keys stay; other columns are
+    ignored. A very long text is a step of its own, a very long pre-token a queue of its own. ranks_path is read by the workers, so
     it names a file that each of them has.
     """
     def run(batches):
         bpe = loaded(Bpe, ranks_path, pattern)
-        for batch, texts in steps(batches, size=STEP):
-            found = bpe.encode(texts)
-            ids = pa.array([x.tobytes() for x in found], pa.binary()) if packed else lists(
-                np.concatenate(found).astype(np.int32), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+        try:
+            for batch, texts in steps(batches, size=STEP):
+                found = bpe.encode(texts)
+                ids = pa.array([x.tobytes() for x in found], pa.binary()) if packed else lists(
+                    np.concatenate(found).astype(np.int32), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+        finally:
+            bpe.forget()
 
     rows = docs.select(key, F.col(text).alias("text"))
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids {'binary' if packed else 'array<int>'}")
@@ -246,7 +267,7 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", ids: str
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids {kind}, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of packed ids and their bytes."""
-    return decoded.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns named, n_tokens, ids_sha256 and decoded_sha256 of packed ids and their bytes."""
+    return decoded.select("doc_id", *more, F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

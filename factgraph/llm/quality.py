@@ -1,8 +1,10 @@
 """Quality rules: counted base rules, and a hashed n-gram classifier with calibrated probabilities.
 
 The classifier is a logistic regression over hashed word n-grams (1 and 2 words) and character n-grams (3 to 5
-bytes), each family as shares of the text's n-grams, so a text's length does not matter. It is trained on a
-bounded sample of labelled rows, calibrated by Platt scaling on a held-out fifth, and scores Arrow batches.
+code points), each family as shares of the text's n-grams, so a text's length does not matter. It is trained on
+a bounded sample of labelled rows, calibrated by Platt scaling on a held-out fifth, and scores Arrow batches.
+Texts are featurised whole in the tasks; what reaches the driver is a sparse vector of 2**BITS places at most
+for each row of the sample.
 """
 
 import numpy as np
@@ -13,33 +15,52 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.batches import steps
 
-#: Labelled rows the classifier is fitted on at most, and the bytes a text of the sample may have.
-SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 60_000
+#: Labelled rows the classifier is fitted on at most.
+SAMPLE_ROWS = 1_500
 #: A text is kept where its calibrated probability of quality 1 reaches this.
 KEEP_AT = 0.5
-#: Bytes of text that a step handles at once: its n-gram arrays take about a hundred times as much.
-STEP = 1 << 20
-BITS = 18
+#: Bytes of text that a step handles at once, and n-grams that are hashed at once, of whatever text.
+STEP, CHUNK = 1 << 18, 1 << 17
+BITS, FAMILIES = 18, 5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\f"
 
 
-class Words(dict):
-    """Word to its 64-bit hash; emptied when large."""
+#: Word hashes: a fixed random number for each byte value, times powers of an odd number by place.
+BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = 0x9E3779B97F4A7C15
+UNDO = pow(ODD, -1, 1 << 64)
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
 
-    def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-def word_hashes(texts: list[bytes], seen: Words) -> tuple[np.ndarray, np.ndarray]:
+
+UP, DOWN = powers(ODD, STEP + 4096), powers(UNDO, STEP + 4096)
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each h[start:end], from running sums of h times powers of an odd number."""
+    n = len(h) + 1
+    up, down = (UP, DOWN) if n <= len(UP) else (powers(ODD, n), powers(UNDO, n))
+    sums = np.zeros(n, np.uint64)
+    np.cumsum(h * up[:n - 1], dtype=np.uint64, out=sums[1:])
+    own = (sums[end] - sums[start]) * down[start]
+    return (own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts as 64-bit hashes, and the number in each text."""
-    split = [x.split() for x in texts]
-    counts = np.array([len(x) for x in split], np.int64)
-    flat = np.fromiter((seen[w] for x in split for w in x), np.uint64, int(counts.sum()))
-    return flat, counts
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    edge = np.diff(IS_SPACE[raw].astype(np.int8), prepend=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    past = np.cumsum([len(x) + 1 for x in texts])
+    return span_hashes(BYTES[raw], start, end), np.diff(np.searchsorted(start, past), prepend=0)
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -74,7 +95,7 @@ def repeated_words(h: np.ndarray, counts: np.ndarray, window: int = 8) -> np.nda
 def base_counts(texts: list[bytes], h: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     chars, symbols, lines = [], [], []
     for x in texts:
-        chars.append(len(x.translate(None, SPACES).decode()))
+        chars.append(len(x.translate(None, SPACES).decode(errors="replace")))
         symbols.append(len(x) - len(x.translate(None, SYMBOLS)))
         own = [s for s in x.split(b"\n") if s.strip()]
         lines.append(len(own) - len(set(own)))
@@ -87,22 +108,22 @@ def base_failed(x: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def families(texts: list[bytes], h: np.ndarray, counts: np.ndarray):
-    """(feature indices, text of each index) of each n-gram family, n-grams inside one text only."""
-    doc = np.repeat(np.arange(len(counts)), counts)
+    """(family, feature indices, text of each index), a chunk at a time, of n-grams inside one text each."""
     shift = np.uint64(64 - BITS)
-    for n in (1, 2):
-        if len(h) >= n:
-            own = doc[: len(h) - n + 1] == doc[n - 1:]
-            yield (rolled(h, n)[own] * np.uint64(0xD6E8FEB86659FD93 + 2 * n) >> shift).astype(np.int32), doc[: len(own)][own]
-    sizes = np.array([len(x) for x in texts])
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    code = raw
-    for n in (2, 3, 4, 5):
-        code = (code[:-1] << np.uint64(8)) | raw[n - 1:]
-        if n > 2 and len(code):
-            own = doc[: len(code)] == doc[n - 1:]
-            yield (code[own] * np.uint64(0x9E3779B97F4A7C15 + 2 * n) >> shift).astype(np.int32), doc[: len(code)][own]
+    points = [np.frombuffer(x.decode(errors="replace").encode("utf-32-le"), np.uint32) for x in texts]
+    wide = np.array([len(x) for x in points], np.int64)
+    for values, sizes, kinds in ((h, counts, ((0, 1), (1, 2))),
+                                 (np.concatenate(points) if points else np.empty(0, np.uint32), wide, ((2, 3), (3, 4), (4, 5)))):
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        for i in range(0, len(values), CHUNK):
+            for family, n in kinds:
+                part = values[i:i + CHUNK + n - 1].astype(np.uint64)
+                if len(part) < n:
+                    continue
+                code = rolled(part, n)
+                doc = of[i:i + len(code)]
+                own = doc == of[i + n - 1:i + n - 1 + len(code)]
+                yield family, (code[own] * np.uint64(0xD6E8FEB86659FD93 + 2 * family) >> shift).astype(np.int32), doc[own]
 
 
 class Classifier:
@@ -112,45 +133,65 @@ class Classifier:
         self.weights, self.scale, self.bias = weights, scale, bias
 
     def scores(self, texts, h, counts) -> np.ndarray:
-        total = np.zeros(len(texts))
-        for at, doc in families(texts, h, counts):
-            n = np.bincount(doc, minlength=len(texts))
-            total += np.bincount(doc, self.weights[at], len(texts)) / np.maximum(n, 1)
-        return total
+        total, n = np.zeros((FAMILIES, len(texts))), np.zeros((FAMILIES, len(texts)), np.int64)
+        for family, at, doc in families(texts, h, counts):
+            total[family] += np.bincount(doc, self.weights[at], len(texts))
+            n[family] += np.bincount(doc, minlength=len(texts))
+        return (total / np.maximum(n, 1)).sum(axis=0)
 
     def probability(self, score):
         return 1 / (1 + np.exp(-np.clip(self.scale * score + self.bias, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: list[int], rounds: int = 40) -> Classifier | None:
+def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a whole text: places in rising order, and the sums of their shares of each family."""
+    h, counts = word_hashes([text])
+    parts: list = [[] for _ in range(FAMILIES)]
+    for family, at, _ in families([text], h, counts):
+        parts[family].append(np.unique(at, return_counts=True))
+    places, shares = [np.empty(0, np.int32)], [np.empty(0)]
+    for own in parts:
+        if own:
+            n = np.concatenate([c for _, c in own])
+            places.append(np.concatenate([u for u, _ in own]))
+            shares.append(n / max(1, n.sum()))
+    at, to = np.unique(np.concatenate(places), return_inverse=True)
+    return at, np.bincount(to, np.concatenate(shares), len(at)).astype(np.float32)
+
+
+def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 40) -> Classifier | None:
     """None where the sample lacks one of the two labels."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return None
-    seen, parts = Words(), []
-    for i in range(0, len(texts), 50):  # a few texts at a time, to hold little
-        some = texts[i:i + 50]
-        h, counts = word_hashes(some, seen)
-        for at, doc in families(some, h, counts):
-            key, n = np.unique(doc << BITS | at, return_counts=True)
-            own = key >> BITS
-            share = n / np.bincount(doc, minlength=len(some))[own]
-            parts.append((own + i, (key & (1 << BITS) - 1).astype(np.int32), share.astype(np.float32)))
-    row, col, val = (np.concatenate(x) for x in zip(*parts))
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     weight = np.where(held, 0, np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())))
     w, bias, square, slope = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
+
+    ends = np.cumsum([len(at) for at, _ in vectors])
+    col, val = np.concatenate([at for at, _ in vectors]), np.concatenate([share for _, share in vectors])
+    row = np.repeat(np.arange(len(y)), np.diff(ends, prepend=0))
+    parts = [slice(i, i + (1 << 20)) for i in range(0, len(col), 1 << 20)]
+
+    def raw():
+        out = np.zeros(len(y))
+        for x in parts:
+            out += np.bincount(row[x], w[col[x]] * val[x], len(y))
+        return out
+
     for _ in range(rounds):  # AdaGrad
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * val, len(y)) + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(raw() + bias, -30, 30)))
         error = (p - y) * weight
-        g = np.bincount(col, error[row] * val, 1 << BITS)
+        g = np.zeros(1 << BITS)
+        for x in parts:
+            g += np.bincount(col[x], error[row[x]] * val[x], 1 << BITS)
         square += g * g
         w -= g / np.sqrt(square)
         slope += error.sum() ** 2
         bias -= 0.5 * error.sum() / np.sqrt(slope)
-    score = np.bincount(row, w[col] * val, len(y))
+    score = raw()
     use = held if held.any() else ~held
     s, t = score[use], y[use]
     s0, sd = s.mean(), s.std() or 1.0
@@ -162,25 +203,55 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 40) -> Classifier |
     return Classifier(w.astype(np.float32), a / sd, b - a * s0 / sd)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier | None:
-    """Fit on the labelled rows that come first by a hash of doc_id: `rows` of them at most, a bounded sample.
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality), without labels that lack one of the two or give a doc_id two qualities."""
+    return labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.max("quality").alias("high")).filter("quality = high").drop("high")
 
-    Labels without a doc_id or a quality, or with two qualities for one doc_id, are left out.
-    """
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
-        F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
-    sample = known.select("doc_id", F.col("low").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    found = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()  # `rows` rows at most
-    found.sort(key=lambda x: (x.text, x.doc_id))
+
+def sampled_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The labels that come first by a hash of doc_id: `rows` of them at most, a bounded sample."""
+    return known_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier | None:
+    """Fit on the whole texts of sampled_labels(). Of several texts of one doc_id the least one counts."""
+    def run(batches):
+        for batch, texts in steps(batches, size=STEP):
+            for k, x in enumerate(texts):
+                at, share = vector(x)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(k, 1).columns[:2], pa.array([xxhash.xxh3_64_intdigest(x) >> 1], pa.int64()),
+                     pa.array([at.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())],
+                    names=["doc_id", "quality", "hash", "places", "shares"])
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, rows)), "doc_id")
+    chosen = chosen.filter("text IS NOT NULL").groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min("text").alias("text"))
+    found = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, hash long, places binary, shares binary")
+    found = sorted(found.collect(), key=lambda x: (x["hash"], x.doc_id))  # `rows` rows at most
     rng = np.random.default_rng(7)
     found = [found[i] for i in rng.permutation(len(found))]
-    return fit([x.text.encode() for x in found], [int(x.quality) for x in found])
+    return fit([(np.frombuffer(x.places, np.int32), np.frombuffer(x.shares, np.float32)) for x in found], [x.quality for x in found])
+
+
+def held_out(docs: DataFrame, labels: DataFrame, model: Classifier, rows: int = SAMPLE_ROWS, bins: int = 10) -> DataFrame:
+    """One row: accuracy, Brier score and calibration error of the model on the labelled rows that it was not fitted on.
+
+    The calibration error is the mean distance, by rows, of mean probability and share of quality 1 in `bins` bins.
+    """
+    rest = known_labels(labels).join(sampled_labels(labels, rows).select("doc_id"), "doc_id", "left_anti")
+    judged_ = quality_rules(docs, model).select("doc_id", "probability").join(rest, "doc_id")
+    cells = judged_.groupBy(F.least(F.floor(F.col("probability") * bins), F.lit(bins - 1)).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum("probability").alias("p"), F.sum("quality").alias("y"),
+        F.sum(((F.col("probability") >= KEEP_AT) == (F.col("quality") == 1)).cast("int")).alias("right"),
+        F.sum(F.pow(F.col("probability") - F.col("quality"), 2)).alias("square"))
+    return cells.agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("accuracy"), (F.sum("square") / F.sum("n")).alias("brier"),
+                     (F.sum(F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("calibration_error"))
 
 
-def judged(texts: list[bytes], seen: Words, model: Classifier | None, keep_at: float):
+def judged(texts: list[bytes], model: Classifier | None, keep_at: float):
     """(base counts, base_failed, probability, kept) of each text."""
-    h, counts = word_hashes(texts, seen)
+    h, counts = word_hashes(texts)
     base = base_counts(texts, h, counts)
     failed = base_failed(base)
     p = model.probability(model.scores(texts, h, counts)) if model else np.ones(len(texts))
@@ -192,12 +263,12 @@ def quality_rules(docs: DataFrame, model: Classifier | None, keep_at: float = KE
     """Base counts, base_failed, probability and kept for every whole text.
 
     A null text has no words and fails the base rules; without a model (no usable labels) the base rules alone
-    decide. Repeated rows and null keys stay; other columns are ignored.
+    decide. Repeated rows and null keys stay; other columns are ignored. A very long text is a step of its own, whose
+    n-grams are hashed by chunks; bytes that are not UTF-8 count as U+FFFD.
     """
     def run(batches):
-        seen = Words()
         for batch, texts in steps(batches, size=STEP):
-            base, failed, p, kept = judged(texts, seen, model, keep_at)
+            base, failed, p, kept = judged(texts, model, keep_at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.int64()) for x in base.values()), pa.array(failed), pa.array(p), pa.array(kept)],
                 names=[key, *base, "base_failed", "probability", "kept"])
@@ -208,10 +279,9 @@ def quality_rules(docs: DataFrame, model: Classifier | None, keep_at: float = KE
 
 
 def kept_rows(docs: DataFrame, model: Classifier | None, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs, all columns, whose text quality_rules() keeps."""
+    """The rows of docs, all columns, whose text quality_rules() keeps; nulls, repeats and long texts as there."""
     def run(batches):
-        seen = Words()
         for batch, texts in steps(batches, size=STEP):
-            yield batch.filter(pa.array(judged(texts, seen, model, keep_at)[3]))
+            yield batch.filter(pa.array(judged(texts, model, keep_at)[3]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,6 @@
    that is left names all places of the window, and the least of them is its first.
 """
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm.batches import steps
-from factgraph.llm.quality import Words, rolled, word_hashes
+from factgraph.llm.quality import rolled, span_hashes, word_hashes
 from factgraph.runtime import discard, materialize
 
 #: Words of an anchor gram; distinct segments of one anchor beyond which they are dealt out window by window.
@@ -51,23 +50,6 @@ def runs_of(anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, np.diff(anchor) != 0)) if len(anchor) else np.empty(0, np.int64)
 
 
-ODD = 0x9E3779B97F4A7C15
-UNDO = pow(ODD, -1, 1 << 64)
-
-
-def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each h[start:end], from running sums of h times powers of an odd number."""
-    if not len(h):
-        return np.empty(0, np.uint64)
-    power = np.full(len(h) + 1, ODD, np.uint64)
-    power[0] = 1
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * np.cumprod(power, dtype=np.uint64)[:-1], dtype=np.uint64, out=sums[1:])
-    power[1:] = UNDO
-    own = (sums[end] - sums[start]) * np.cumprod(power, dtype=np.uint64)[start]
-    return (own ^ (own >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + (end - start).astype(np.uint64)
-
-
 class WaveletMatrix:
     """Rank queries over a sequence of small integers: one packed bit vector per bit, highest bit first."""
 
@@ -161,9 +143,8 @@ def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: st
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text <> ''")
 
     def elect(batches):
-        seen = Words()
         for batch, texts in steps(batches):
-            h, counts = word_hashes(texts, seen)
+            h, counts = word_hashes(texts)
             starts, anchor, grams = anchors(h, counts, window)
             first = runs_of(anchor)
             wide = np.diff(np.append(first, len(anchor)))
