@@ -32,10 +32,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each document's ids and of the text decoded from them."""
+    """ids (binary, little-endian unsigned 32-bit integers) of each document, their count, and digests of them and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, packed=True)
-    return bpe.digests(bpe.bpe_decode(ids, path))
+    return bpe.digests(bpe.bpe_decode(ids, path), "ids")
 
 
 STAGES = [("quality_rules", quality_stage), ("simhash_near_dedup", near_dedup_stage),
