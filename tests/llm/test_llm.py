@@ -188,25 +188,58 @@ def test_decontamination(spark):
         assert decontamination.clean(df, bench).count() == df.count()
 
 
-def test_alignment_against_edit_distance():
-    rng = random.Random(6)
-    for _ in range(300):
-        p = bytes(rng.choices(b"abc", k=rng.randint(5, 20)))
-        t = bytearray(p)
-        for _ in range(rng.randint(0, 4)):
-            at = rng.randrange(len(t))
-            rng.choice([lambda: t.insert(at, 120), lambda: t.pop(at), lambda: t.__setitem__(at, 120)])()
-        t = bytes(rng.choices(b"abc", k=rng.randint(0, 3))) + bytes(t)
-        row = [0] * (len(t) + 1)
-        for i, c in enumerate(p, 1):
-            row, old = [i], row
-            for j, d in enumerate(t, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
-        best = min(row)
-        got = decontamination.aligned(p, t, 3)
-        assert got is None or got[2] >= best
-        if best <= 1:
-            assert got is not None
+def edit_distance_inside(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        row, old = [i], row
+        for j, d in enumerate(text, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
+    return min(row)
+
+
+def edited(rng, text, n):
+    out = bytearray(text)
+    for _ in range(n):
+        at = rng.randrange(len(out)) if out else 0
+        rng.choice([lambda: out.insert(at, rng.choice(b"xyz")), lambda: out and out.pop(at), lambda: out and out.__setitem__(at, rng.choice(b"xyz"))])()
+    return bytes(out)
+
+
+@pytest.mark.parametrize("hits", [1 << 19, 7])
+def test_decontamination_finds_all_and_only_windows_in_budget(monkeypatch, hits):
+    monkeypatch.setattr(decontamination, "HITS", hits)
+    rng = random.Random(hits)
+    plain = decontamination.normal
+    for _ in range(150):
+        size = rng.choice([3, 7, 8, 12, 15, 16, 20, 31, 32, 40, 47, 48, 63, 64, 90, 150, 300])
+        letters = rng.choice([b"abcdefghij ", b"ab c", b"abcdefghijklmnopqrstuvwxyz     "])
+        raw = bytes(rng.choices(letters, k=size))
+        item = plain(raw)[0].strip(b" ")
+        if not item:
+            continue
+        window = min(64, len(item))
+        edits, _ = decontamination.budget(window)
+        at = rng.randrange(len(item) - window + 1)
+        part = edited(rng, item[at:at + window], rng.choice([0, 1, 2, 3, 3, 4, 5]) if window >= 16 else rng.choice([0, 0, 1]))
+        text = b"".join([*rng.choices([b"a", b"b ", b"q"], k=rng.randrange(60)), b" ", part, b" ", *rng.choices([b"a", b" c"], k=rng.randrange(60))])
+        low = plain(text)[0]
+        if window < 8:
+            want = b" " + item + b" " in b" " + low + b" "
+        else:
+            want = min(edit_distance_inside(item[k:k + window], low) for k in range(len(item) - window + 1)) <= edits
+        found = decontamination.Benchmark([(5, raw)]).find([b"other", text, b""])
+        assert bool(found) == want, (item, text)
+        assert all(x[:2] == (1, 5) and 0 <= x[2] < x[3] <= len(text) for x in found)
+
+
+def test_decontamination_regions_count_characters(spark):
+    item = "Die Größe des Flußes übertraf alle Erwartungen, denn er war sehr breit und tief. " * 2
+    text = "é" * 50 + " – " + item.upper().replace("ß".upper(), "ß") + "ü" * 9
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (r,) = decontamination.contaminated_regions(docs(spark, [text]), bench).collect()
+    assert text[r.start:r.end].strip().lower() == item.strip().lower().rstrip(".") + "." * text[r.start:r.end].strip().endswith(".")
+    long = "filler words of no note " * 9_000 + item + " more filler of no note" * 9_000
+    assert decontamination.contaminated_regions(docs(spark, [long]), bench).count() == 1
 
 
 def test_url_rules_against_plain_matching(spark):
