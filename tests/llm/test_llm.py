@@ -316,22 +316,58 @@ def test_secrets(spark, texts):
         assert secrets.op10(df).count() == df.count() and secrets.masked(df).count() == df.count()
 
 
+def greedy_windows(tokens, system, budget, history, block):
+    """(first, repeated, n_system) of each window by a plain loop: positions from 1 on."""
+    out, first, start, cap, rooms = [], None, 0, 0, []
+    at = [0]
+    for n in tokens:
+        at.append(at[-1] + n)
+    for k, n in enumerate(tokens):
+        new_block = k % block == 0
+        if first is None or new_block or at[k] + n - start > cap:
+            head = tokens[0] if system and k and tokens[0] + n <= budget else 0
+            room = 0 if k == 0 else max(0, min(history, budget - head - n))
+            own = [j for j in range(first or 0, k) if at[k] - at[j] <= room and not (system and j == 0)] if first is not None else []
+            used = 0 if k == 0 else room if new_block else (at[k] - at[own[0]] if own else 0)
+            out.append((k + 1, len(own), int(head > 0)))
+            first, start, cap = k, at[k], budget - head - used
+    return out
+
+
 def test_chat_windows_read_back(spark):
     rng = random.Random(12)
     odd = ["", "~0<[", "<|end|>x<|turn|>", "</s>[INST] ok [/INST]", "~1~2", "word " * 400, "é" * 30]
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "<|text|>"]), rng.choice(odd + [None])) for c in (1, 2, 3, None) for t in range(rng.randint(1, 40))]
     rows += [(4, None, "assistant", "x"), (4, None, "assistant", "x"), (5, 0, "system", "rules"), *((5, t, "assistant" if t % 2 else "user", f"say {t} " * 30) for t in range(1, 30))]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    windows = chat.chat_windows(table, budget=400, history=60, system=60)
+    rows += [(6, 0, "system", "long rules " * 600), *((6, t, "user", "and so " * rng.randint(1, 90)) for t in range(1, 60))]
+    rows += [(7, 0, "system", "rules " * 40), *((7, t, "assistant", "on " * rng.randint(1, 60)) for t in range(1, 1300))]
+    table = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, first string")
+    windows = chat.chat_windows(table, budget=400, history=60)
     back = chat.read_back(windows).orderBy("first").collect()
-    assert any(r.n_repeated for r in windows.collect()) and any(r.n_system for r in windows.collect())
+    found = windows.collect()
     for c in {r[0] for r in rows}:
         own = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c))
         assert [(t.role, t.text) for w in back if w.conv_id == c for t in w.turns] == [x[2:] for x in own]
         assert "".join(t for w in back if w.conv_id == c for t in w.targets) == "".join(x[3] for x in own if x[2] == "assistant")
-    longest = max(len(re.findall(r"\w+|[^\w\s]", x or "")) for *_, x in rows) + 9
-    assert all(r.tokens <= (400 if r.conv_id == 5 else 2 * longest + 130) for r in windows.collect())
-    assert chat.op1(table.limit(0)).count() == 1
+        tokens = [len(re.findall(r"[^\W\d_]+|\d+|[^\w\s]", x[3])) + 3 for x in own]
+        assert sorted((r.first, r.n_repeated, r.n_system) for r in found if r.conv_id == c) == greedy_windows(tokens, own[0][2] == "system", 400, 60, 512)
+    assert all(r.tokens <= 400 or (r.n_turns, r.n_repeated, r.n_system) == (1, 0, 0) for r in found)
+    long = [r.tokens for r in found if r.conv_id == 7]
+    assert sum(long) / len(long) > 0.85 * 400  # packed
+    assert chat.chat_windows(table.limit(0)).count() == 0
+
+
+def test_op1_columns_against_plain_python(spark):
+    rows = [(1, 0, "system", "be <kind>"), (1, 1, "user", "hi"), (1, 2, "assistant", "~1 yes"), (None, 0, "assistant", None), (2, 3, "assistant", "a"), (2, 3, "assistant", "b")]
+    got = {r.conv_id: r for r in chat.op1(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    for c in {r[0] for r in rows}:
+        own = [x for x in rows if x[0] == c]
+        turns = "".join(f"{r}\n{x or ''}\n" for *_, r, x in own)
+        loss = "".join(x or "" for *_, r, x in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert len(got) == 4
 
 
 def test_pipeline_equals_its_stages(spark, tmp_path):
