@@ -82,6 +82,17 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
+def nested(data: bytes) -> bool:
+    """Whether the lengths of all constructed items agree, to the innermost."""
+    waiting = [data]
+    while waiting:
+        items = der_items(waiting.pop())
+        if items is None:
+            return False
+        waiting += [content for tag, content in items if tag & 0x20]
+    return True
+
+
 def openssh_size(data: bytes) -> int | None:
     """Bytes of the OpenSSH private key at the start of data, all fields checked, or None."""
     def number(at):
@@ -157,16 +168,17 @@ def key_structure(data: bytes) -> bool:
     if data.startswith(OPENSSH):
         return openssh_size(data) == len(data)
     outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30 or not nested(data):
         return False
     inner = der_items(outer[0][1])
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _ in inner]
-    if tags[0] == 0x02 and tags[1] == 0x30:  # PKCS #8
-        return len(tags) >= 3 and tags[2] == 0x04 and bool(der_items(inner[1][1]))
-    if tags[0] == 0x30 and tags[1] == 0x03:  # a public key
-        return bool(der_items(inner[0][1]))
+    names = der_items(inner[0][1]) if tags[0] == 0x30 else der_items(inner[1][1]) if tags[1] == 0x30 else None
+    if tags[0] == 0x02 and tags[1] == 0x30:  # PKCS #8: version, algorithm, key
+        return len(tags) >= 3 and tags[2] == 0x04 and bool(names) and names[0][0] == 0x06
+    if tags[0] == 0x30 and tags[1] in (0x03, 0x04):  # a public key, or an encrypted private one: algorithm, key
+        return len(tags) == 2 and bool(names) and names[0][0] == 0x06
     return all(t == 0x02 for t in tags) and len(tags) >= 8 or tags[:2] == [0x02, 0x04]  # RSA; EC
 
 
@@ -195,7 +207,7 @@ def find_secrets(raw: bytes) -> list[tuple[str, int, int]]:
     wrapped = b"M" in raw or b"b3BlbnNz" in raw
     if not (coded or hexed or hex_key or assigned or signed or wrapped or b"AKIA" in raw):
         return found
-    text = raw.decode()
+    text = raw.decode(errors="replace")
     if assigned:
         found += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
@@ -220,7 +232,8 @@ def secret_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, spans array<struct<kind, start, end>>) for every whole text; a null text is empty and has none.
 
     Kinds: assign, access and hex by pattern; token and key by confirmed structure. Repeated rows and null keys
-    stay; other columns are ignored.
+    stay; other columns are ignored. A very long text is a step of its own, scanned in linear time; bytes that are
+    not UTF-8 count as U+FFFD.
     """
     def run(batches):
         for batch, texts in steps(batches):
@@ -252,7 +265,10 @@ def op10(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, mask: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """docs with every secret of each text replaced by mask, overlapping ones by one; other columns are as before."""
+    """docs with every secret of each text replaced by mask, overlapping ones by one; other columns are as before.
+
+    A null text stays null; repeated rows are masked each; secrets are those of secret_scan().
+    """
     def clean(batches):
         at = None
         for batch, texts in steps(batches, text):
@@ -263,7 +279,7 @@ def masked(docs: DataFrame, mask: str = "[SECRET]", text: str = "text") -> DataF
                 if not spans:
                     out.append(x.as_py())
                     continue
-                string, parts, end = whole.decode(), [], 0
+                string, parts, end = whole.decode(errors="replace"), [], 0
                 for a, b in sorted((a, b) for _, a, b in spans):
                     if a >= end:
                         parts += [string[end:a], mask]

@@ -316,6 +316,43 @@ def test_secrets(spark, texts):
         assert secrets.op10(df).count() == df.count() and secrets.masked(df).count() == df.count()
 
 
+def test_base_secrets_against_every_start(spark):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
+    rules = [("assign", assign, lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+             ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
+    rng = random.Random(21)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", "=", ": ", '"', "'", " ", "AKIA", "ZX09", "0af9", "deadbeef", "+/_.-", "é", "\n", "long" * 4, "\U0001F600"]
+    samples = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(400)] + ["x" * 30_000 + "secret=" + "a" * 30_000, None, ""]
+    got = by_id(secrets.op10(docs(spark, samples)))
+    for k, t in enumerate(samples):
+        want, at = [], 0
+        for n, (kind, rule, fine) in enumerate(rules):
+            at = 0
+            while at < len(t or ""):
+                m = rule.match(t, at)
+                if m and fine(m):
+                    want.append((m.start(), n, f"{kind}:{m.start()}:{m.end()}"))
+                at = m.end() if m else at + 1
+        assert got[k].base_sha256 == hashlib.sha256(",".join(x for *_, x in sorted(want)).encode()).hexdigest(), t
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(n == i for _, n, _ in want) for i in range(3)]
+
+
+def test_key_encodings_are_followed_to_the_innermost_length():
+    def item(tag, *parts):
+        body = b"".join(parts)
+        size = bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big") if len(body) > 255 else b"\x81" + bytes([len(body)])
+        return bytes([tag]) + size + body
+
+    name = item(0x30, item(0x06, b"\x2a\x86\x48"), item(0x30, item(0x04, b"salt"), item(0x02, b"\x08")))
+    encrypted = item(0x30, name, item(0x04, bytes(160)))
+    broken = item(0x30, item(0x30, item(0x06, b"\x2a"), b"\x30\x09\x04\x01a"), item(0x04, bytes(160)))
+    assert secrets.key_structure(encrypted) and not secrets.key_structure(broken)
+    assert not secrets.key_structure(item(0x30, item(0x30, item(0x02, b"\x01")), item(0x04, bytes(160))))
+    whole = base64.b64encode(encrypted).decode()
+    lines = "\n".join(whole[k:k + 64] for k in range(0, len(whole), 64))
+    assert [k for k, *_ in secrets.find_secrets(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{lines}\n-----END".encode())] == ["key"]
+
+
 def greedy_windows(tokens, system, budget, history, block):
     """(first, repeated, n_system) of each window by a plain loop: positions from 1 on."""
     out, first, start, cap, rooms = [], None, 0, 0, []
