@@ -1,11 +1,13 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field scores whole candidate segments of tokens (their digit groups, separators, check sums and neighbours)
-for each kind; dynamic programming over segments of bounded length picks boundaries and kinds together. It is
-trained on a bounded sample of the documents: base spans are the labels, and rewritten forms of them (a phone
-without its plus, a spelled-out mail address) teach what the patterns cannot match.
+The field scores whole candidate segments of tokens (their digit groups, separators, check sums, at and dot forms
+and neighbours) for each kind; dynamic programming over segments of bounded length picks boundaries and kinds
+together. It is trained on a bounded sample of the documents: base spans are the labels, and rewritten forms of
+them (a phone without its plus, a spelled-out mail address) teach what the patterns cannot match.
 """
 
+import bisect
+import functools
 import re
 
 import numpy as np
@@ -22,11 +24,16 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the training sample, bytes of one of them, tokens of a segment, tokens of context.
-SAMPLE_DOCS, SAMPLE_BYTES, LONGEST, CONTEXT = 300, 60_000, 14, 2
-FEATURES = 1 << 12
-WIDTH = 13  # features of a segment
-TRIGGER = re.compile(r"[0-9@+]")
+#: Rows of the training sample, tokens of a segment, words before and after a trigger that a region holds at least.
+SAMPLE_DOCS, LONGEST, BEFORE, AFTER = 300, 28, 5, 10
+#: Segment starts that are scored at once, of a region of any length.
+CHUNK = 256
+FEATURES = 1 << 13
+WIDTH = 12  # features of a segment
+#: A region opens at five digits with separators, an @, or an at that a bracket or a dotted name follows.
+TRIGGER = re.compile(r"[0-9](?:[ ().+/-]{0,3}[0-9]){4,}|@|(?i:[(\[{] ?at ?[)\]}]|\bat\s+[\w-]+\s?(?:\.\w|[(\[{]? ?dot\b))")
+MAY_HOLD = re.compile(rb"[0-9][ ().+/0-9-]{4}|@|[aA][tT][)\]} \t\r\n]|[0-9]\.[0-9]")
+MAIL_MARKS, NUMBER_MARKS, OPEN, CLOSE = frozenset("._%+-"), frozenset("+().-/"), frozenset("([{"), frozenset(")]}")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 DIGITS = re.compile(r"[0-9]")
 LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -66,69 +73,133 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[list[tuple[str, int, int]]]:
-    """Token runs around digits, @ and +: each with CONTEXT tokens before and after."""
-    out, marks = [], [m.start() for m in TRIGGER.finditer(text)]
-    k = 0
-    while k < len(marks):
-        last = k
-        while last + 1 < len(marks) and marks[last + 1] - marks[last] <= 12 and marks[last + 1] - marks[k] < 2_000:
-            last += 1
-        a, b = max(0, marks[k] - 40), min(len(text), marks[last] + 41)
-        tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-        inner = [i for i, (_, s, e) in enumerate(tokens) if e > marks[k] and s <= marks[last]]
-        if inner:
-            out.append(tokens[max(0, inner[0] - CONTEXT - 4): inner[-1] + CONTEXT + 6])
-        k = last + 1
+    """Token runs around triggers, BEFORE and AFTER words on; a run of triggers is one region, however long."""
+    marks = [m.span() for m in TRIGGER.finditer(text)]
+    if not marks:
+        return []
+    blanks = [m.start() for m in re.finditer(r"\s", text)]
+    out, spans = [], []
+    for a, b in marks:
+        k = bisect.bisect_left(blanks, a) - BEFORE
+        a = blanks[k] + 1 if k >= 0 else 0
+        k = bisect.bisect_left(blanks, b) + AFTER
+        b = blanks[k] if k < len(blanks) else len(text)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([a, b])
+    for a, b in spans:
+        out.append([(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, a, b)])
     return out
 
 
-def segments(tokens):
-    """(first, past the last, feature indices) of each candidate: it holds a digit, ends are not separators."""
-    n, out = len(tokens), []
-    digit = [t[0].isdigit() and t[0].isascii() for t in tokens]
-    for i in range(n):
-        first = tokens[i][0]
-        if not (first[0].isalnum() or first in "+("):
-            continue
-        groups, gaps, marks, letters, any_digit = [], 0, set(), 0, False
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            word, start, end = tokens[j - 1]
-            if j - 1 > i and start - tokens[j - 2][2] > 1:
-                break  # more than one blank
-            gaps += j - 1 > i and start > tokens[j - 2][2]
-            if digit[j - 1]:
-                any_digit = True
-                groups.append(word)
-            elif word[0].isalpha():
-                letters += 1
-            else:
-                marks.add(word)
-            if not any_digit or not word[0].isalnum():
-                continue
-            out.append((i, j, described(tokens, i, j, groups, gaps, marks, letters)))
+def segments(tokens, first=0, last=None):
+    """(first token, past the last, feature indices) of each candidate that starts in tokens[first:last]."""
+    out = []
+    for i in range(first, len(tokens) if last is None else min(last, len(tokens))):
+        head = tokens[i][0]
+        if head[0] in "+(" or head.isascii() and head.isdigit():
+            numbers(tokens, i, out)
+        if head[0].isalnum():
+            mails(tokens, i, out)
     return out
 
 
-def described(tokens, i, j, groups, gaps, marks, letters):
-    """One hashed index for each whole-span feature."""
-    digits = "".join(groups)
+def numbers(tokens, i, out):
+    """Candidates of digits and their separators: five digits or more, a digit at the end."""
+    groups, marks, gaps = [], set(), 0
+    for j in range(i, min(len(tokens), i + LONGEST)):
+        word, start, _ = tokens[j]
+        gap = start - tokens[j - 1][2] if j > i else 0
+        if gap > 1:
+            return
+        gaps += gap
+        if word.isascii() and word.isdigit():
+            groups.append(word)
+            if sum(map(len, groups)) >= 5:
+                out.append((i, j + 1, number_features(tokens, i, j + 1, groups, marks, gaps)))
+        elif word in NUMBER_MARKS and not (word == "+" and j > i):
+            marks.add(word)
+        else:
+            return
+
+
+def mails(tokens, i, out):
+    """Candidates of a name, an at (sign or word, with or without brackets) and a host with a dot of either kind."""
+    if i and tokens[i - 1][2] == tokens[i][1] and (tokens[i - 1][0][0].isalnum() or tokens[i - 1][0] in MAIL_MARKS):
+        return  # inside a name
+    at, dots, form, wide, glue = 0, 0, "", 0, False  # glue: a word may follow after a blank
+    for j in range(i, min(len(tokens), i + LONGEST)):
+        word, start, _ = tokens[j]
+        gap = start - tokens[j - 1][2] if j > i else 0
+        before = tokens[j - 1][0] if j > i else ""
+        after = tokens[j + 1][0].lower() if j + 1 < len(tokens) else ""
+        low = word.lower()
+        if gap > 1:
+            return
+        wide += gap
+        if word == "@" or low == "at" and j > i and (gap or before in OPEN):
+            at, form, glue = at + 1, form + low, True
+            if at > 1:
+                return
+        elif low == "dot" and j > i and (gap or before in OPEN):
+            dots, form, glue = dots + bool(at), form + ("d" if at else "n"), True
+        elif word in OPEN:
+            if j == i or after not in ("at", "dot", "@"):
+                return
+            form += word
+        elif word in CLOSE:
+            if before.lower() not in ("at", "dot", "@"):
+                return
+            form, glue = form + word, True
+        elif word[0].isalnum():
+            if gap and not glue:
+                return
+            glue = False
+            if at and dots and len(before) and (before in ".-)]}" or before.lower() == "dot" or before[0].isalnum()):
+                out.append((i, j + 1, mail_features(tokens, i, j + 1, form, dots, wide)))
+        elif word in MAIL_MARKS and not gap and not (at and word not in ".-"):
+            if word == "." and at:
+                dots, form = dots + 1, form + "."
+        else:
+            return
+
+
+def near(tokens, i, j):
+    """Classes of the neighbours, and whether they touch."""
     before = tokens[i - 1] if i else ("", -9, -9)
     after = tokens[j] if j < len(tokens) else ("", 1 << 40, 0)
-    sizes = ".".join(str(len(g)) for g in groups[:6])
-    shape = "".join(sorted(marks)) + ("w" if letters else "")
-    tight = (before[2] == tokens[i][1]) * 2 + (after[1] == tokens[j - 1][2])
-    bytes4 = len(groups) == 4 and "." in marks and all(len(g) <= 3 and int(g) <= 255 for g in groups)
-    words = {t[0].lower() for t in tokens[i:j]} & {"at", "dot"}
-    names = (
-        f"n{min(len(digits), 21)}", f"g{min(len(groups), 7)}", f"s{sizes}", f"m{shape}", f"w{min(letters, 6)}",
-        f"b{before[0] if not before[0][:1].isalnum() else before[0].isdigit()}{tight >> 1}",
-        f"a{after[0] if not after[0][:1].isalnum() else after[0].isdigit()}{tight & 1}",
-        f"p{gaps > 0}{'@' in marks}{tokens[i][0] if not tokens[i][0][0].isalnum() else ''}",
-        f"l{len(digits) in range(16, 20) and letters == 0 and luhn(digits)}", f"i{bytes4 and not letters and not gaps}",
-        f"o{sorted(words)}{shape}", f"t{j - i}{shape}", f"x{sizes}{shape}")
-    return [stable(f"{k}{x}") for k, x in enumerate(names)]
+    sort = lambda x: x if not x[:1].isalnum() else "9" if x.isdigit() else "w"
+    return (f"{sort(before[0])}{before[2] == tokens[i][1]}", f"{sort(after[0])}{after[1] == tokens[j - 1][2]}",
+            f"{sort(after[0])}{after[1] - tokens[j - 1][2] < 2}")
 
 
+def number_features(tokens, i, j, groups, marks, gaps):
+    """One hashed index for each whole-span feature."""
+    digits = "".join(groups)
+    n, sizes, shape = min(len(digits), 21), ".".join(str(len(g)) for g in groups[:7]), "".join(sorted(marks))
+    before, after, beside = near(tokens, i, j)
+    card = 16 <= len(digits) <= 19 and luhn(digits)
+    quad = len(groups) == 4 and shape == "." and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    lead = "+" if tokens[i][0] == "+" else "(" if tokens[i][0] == "(" else digits[:2] if digits[0] == "0" else "1" if digits[0] == "1" else "n"
+    return [stable(x) for x in (
+        f"n{n}", f"g{min(len(groups), 8)}", f"s{sizes}", f"m{shape}{gaps > 0}", f"b{before}", f"a{after}", f"c{beside}{n > 7}",
+        f"l{card}{len(groups) == 1}", f"q{quad}", f"h{lead}{min(len(groups), 4)}", f"k{lead}{n}", f"e{len(groups[-1])}{min(len(groups), 3)}{gaps > 0}")]
+
+
+def mail_features(tokens, i, j, form, dots, wide):
+    before, after, beside = near(tokens, i, j)
+    last = tokens[j - 1][0]
+    sort = "9" if last.isdigit() else "w" if last.isascii() else "u"
+    signs, spelled = form.replace(".", "").replace("d", ""), "d" in form
+    return [stable("@" + x) for x in (
+        f"f{signs}", f"d{min(dots, 4)}{spelled}{'.' in form}", f"w{min(wide, 8)}{spelled}", f"b{before}", f"a{after}", f"c{beside}{spelled}",
+        f"t{sort}{min(len(last), 6)}", f"u{tokens[i][0][0].isdigit()}", f"x{signs}{spelled}{'.' in form}",
+        f"v{'.' if j < len(tokens) and tokens[j][0] == '.' and j + 1 < len(tokens) and tokens[j + 1][1] == tokens[j][2] and tokens[j + 1][0][0].isalnum() else ''}",
+        f"y{j < len(tokens) and tokens[j][0].lower() in ('dot', '[', '(', '{', '-')}", "one")]
+
+
+@functools.lru_cache(1 << 14)
 def stable(name: str) -> int:
     h = 2166136261
     for c in name.encode():
@@ -148,31 +219,32 @@ class SemiMarkov:
         k = len(KINDS) + 1
         self.w, self.move, self.out = np.zeros((k, FEATURES)), np.zeros((k, k)), np.zeros(2)
 
-    def scored(self, tokens):
-        parts = segments(tokens)
+    def scored(self, tokens, first=0, last=None):
+        """Candidates that start in tokens[first:last], their features, and their scores by kind."""
+        parts = segments(tokens, first, last)
         index = np.array([f for *_, f in parts], np.int64).reshape(len(parts), WIDTH)
-        score = self.w[1:, index].sum(axis=2).T if len(parts) else np.zeros((0, len(KINDS)))
-        plain = np.array([self.out[int(t[0].isdigit())] for t in tokens])
-        return parts, index, score, plain
+        return parts, index, self.w[1:, index].sum(axis=2).T if len(parts) else np.zeros((0, len(KINDS)))
 
     def best(self, tokens) -> list[tuple[str, int, int]]:
-        """Kinds and token bounds of the segments of the best labelling."""
-        parts, _, score, plain = self.scored(tokens)
+        """Kinds and token bounds of the segments of the best labelling.
+
+        The search goes forward a token at a time; candidates are made and scored CHUNK starts at a time.
+        """
         n, k = len(tokens), len(KINDS) + 1
-        by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for p, (_, j, _) in enumerate(parts):
-            by_end[j].append(p)
         value, back = np.full((n + 1, k), -np.inf), {}
         value[0, 0] = 0
-        for j in range(1, n + 1):
-            into = value[j - 1] + self.move[:, 0]
-            value[j, 0], back[j, 0] = into.max() + plain[j - 1], (j - 1, int(into.argmax()))
-            for p in by_end[j]:
-                i = parts[p][0]
-                into = value[i][:, None] + self.move[:, 1:]
-                top = into.max(axis=0) + score[p]
-                for c in np.flatnonzero(top > value[j, 1:]).tolist():
-                    value[j, c + 1], back[j, c + 1] = top[c], (i, int(into[:, c].argmax()))
+        for first in range(0, n, CHUNK):
+            parts, _, score = self.scored(tokens, first, first + CHUNK)
+            at = 0
+            for i in range(first, min(n, first + CHUNK)):
+                into = value[i][:, None] + self.move
+                if (top := into[:, 0].max() + self.out[int(tokens[i][0].isdigit())]) > value[i + 1, 0]:
+                    value[i + 1, 0], back[i + 1, 0] = top, (i, int(into[:, 0].argmax()))
+                while at < len(parts) and parts[at][0] == i:
+                    j, tops = parts[at][1], into[:, 1:].max(axis=0) + score[at]
+                    for c in np.flatnonzero(tops > value[j, 1:]).tolist():
+                        value[j, c + 1], back[j, c + 1] = tops[c], (i, int(into[:, c + 1].argmax()))
+                    at += 1
         out, j, c = [], n, int(value[n].argmax())
         while j:
             i, before = back[j, c]
@@ -182,11 +254,10 @@ class SemiMarkov:
         return out[::-1]
 
     def learn(self, tokens, gold: dict[tuple[int, int], int], rate: float, cached=None):
-        """One step of stochastic gradient on the log-likelihood of the gold segments."""
-        parts, index, score, plain = cached or self.scored(tokens)
-        if cached:
-            score = self.w[1:, index].sum(axis=2).T if len(parts) else score
-            plain = np.array([self.out[int(t[0].isdigit())] for t in tokens])
+        """One step of stochastic gradient on the log-likelihood of the gold segments, all of them candidates."""
+        parts, index, _ = cached or self.scored(tokens)
+        score = self.w[1:, index].sum(axis=2).T if len(parts) else np.zeros((0, len(KINDS)))
+        plain = np.array([self.out[int(t[0].isdigit())] for t in tokens])
         n, k = len(tokens), len(KINDS) + 1
         by_end, by_start = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
         for p, (i, j, _) in enumerate(parts):
@@ -233,64 +304,128 @@ class SemiMarkov:
         self.out += rate * outside
 
 
-def rewritten(text: str, spans):
-    """Other written forms of base spans in their surroundings, each as (text, kind, start, end)."""
+def spelled_mails(user: str, host: str) -> list[str]:
+    dotted = host.replace(".", " dot ")
+    return [f"{user} at {dotted}", f"{user}(at){host}", f"{user} (at) {dotted}", f"{user} @ {host}", f"{user}[at]{host.replace('.', '[dot]')}",
+            f"{user} [at] {host}", f"{user} AT {dotted.upper()}", f"{user} (at) {host.replace('.', ' (dot) ')}", f"{user}@{dotted}", f"{user} (at) {host}",
+            f"{user.replace('.', ' dot ')} at {dotted}"]
+
+
+def other_phones(own: str) -> list[str]:
+    groups = re.findall(r"[0-9]+", own)
+    rest = groups[1:] if len(groups) > 2 else groups
+    return [" ".join(rest), "-".join(rest), ".".join(rest), "00" + own[1:], "00" + " ".join(groups), "00" + groups[0] + " " + "-".join(rest),
+            f"({rest[0]}) " + "-".join(rest[1:]) if len(rest) > 1 else "0" + rest[0], "0" + "/".join([rest[0], "".join(rest[1:])])]
+
+
+def rewritten(text: str, spans, rng):
+    """Other written forms of base spans in their surroundings, each as (text, kind, start, end).
+
+    Names, hosts and digit counts vary: words of the text make names, and hosts get and lose labels.
+    """
+    words = re.findall(r"[A-Za-z]{2,9}", text)[:400] or ["anna"]
     for kind, a, b in spans:
-        left, own, right = text[max(0, a - 40):a], text[a:b], text[b:b + 40]
+        left, own, right = text[max(0, a - 60):a], text[a:b], text[b:b + 60]
         forms = []
         if kind == "phone":
-            bare = own.lstrip("+").split(" ", 1)[-1]
-            forms = [bare, bare.replace("(", "").replace(") ", "-"), "00" + own[1:]]
+            groups = re.findall(r"[0-9]+", own)
+            if len(groups) > 2:
+                cut = int(rng.integers(2, 5))
+                own = f"+{rng.integers(1, 400)} {groups[1][:int(rng.integers(2, 4))]} {groups[2]} {(groups[-1] + groups[1])[:cut]}" if rng.random() < 0.6 else own
+            forms = other_phones(own)
         elif kind == "email":
-            user, host = own.rsplit("@", 1)
-            forms = [f"{user} at {host.replace('.', ' dot ')}", f"{user}(at){host}", f"{user} @ {host}"]
+            one, two, three = (words[int(rng.integers(len(words)))].lower() for _ in range(3))
+            user = (own.rsplit("@", 1)[0], one, f"{one}.{two}", f"{one}{rng.integers(1, 100)}", f"{one}_{two[:1]}", f"{one[:1]}-{two}")[int(rng.integers(6))]
+            host = (own.rsplit("@", 1)[1], f"{three}.org", f"{three}{rng.integers(1, 10)}.example.com", f"mail.{three}.de", f"{three}-{two}.co.uk", "example.com")[int(rng.integers(6))]
+            forms = spelled_mails(user, host)
         elif kind == "card":
-            digits = DIGITS.findall(own)
-            forms = [".".join("".join(digits[k:k + 4]) for k in range(0, len(digits), 4))]
-        for form in forms:
-            yield left + form + right, kind, len(left), len(left) + len(form)
+            digits = "".join(re.findall("[0-9]", own))
+            fours = [digits[k:k + 4] for k in range(0, len(digits), 4)]
+            forms = [".".join(fours), "/".join(fours)]
+        for k in rng.permutation(len(forms))[:3].tolist():
+            yield left + forms[k] + right, kind, len(left), len(left) + len(forms[k])
+        if kind == "email":  # what only looks like one
+            yield f"{left}{one} at {two} and {three}{right}", None, 0, 0
+            yield f"{left}look at {three}.{right}", None, 0, 0
+            yield f"{left}{one} at www.{two}.com{right}", None, 0, 0
+        if kind == "phone":
+            yield f"{left}{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}{right}", None, 0, 0
+            yield f"{left}{rng.integers(1, 400)}.{rng.integers(100, 999)}.{rng.integers(100, 999)}{right}", None, 0, 0
+            yield f"{left}{rng.integers(10 ** 5, 10 ** 13)}{right}", None, 0, 0
+
+
+def examples_of(text: str, rng, plain: bool = True):
+    """(tokens, gold by token bounds, the rewritten span or None) of regions of a text and of its rewritten forms."""
+    spans = base_spans(text)
+    cases = [(text, spans, None)] if plain else []
+    for t, kind, a, b in rewritten(text, spans[:6], rng):
+        new = (kind, a, b) if kind else None
+        cases.append((t, [x for x in base_spans(t) if not new or x[2] <= a or b <= x[1]] + [new] * bool(new), new))
+    for t, known, new in cases:
+        for tokens in regions(t):
+            start, end = {s: i for i, (_, s, _) in enumerate(tokens)}, {e: i + 1 for i, (*_, e) in enumerate(tokens)}
+            own = [x for x in known if x[1] < tokens[-1][2] and tokens[0][1] < x[2]]
+            gold = {(start.get(a), end.get(b)): KINDS.index(k) + 1 for k, a, b in own}
+            yield t, tokens, gold, new if new in own else None
 
 
 def fit(texts: list[str], epochs: int = 6) -> SemiMarkov:
-    model, examples = SemiMarkov(), []
+    model, cases, rng = SemiMarkov(), [], np.random.default_rng(3)
     for text in texts:
-        spans = base_spans(text)
-        cases = [(text, spans)] + [(t, [(k, a, b), *base_spans(t)]) for t, k, a, b in rewritten(text, spans[:4])]
-        for t, known in cases:
-            for tokens in regions(t):
-                start, end = {s: i for i, (_, s, _) in enumerate(tokens)}, {e: i + 1 for i, (*_, e) in enumerate(tokens)}
-                gold, taken = {}, set()
-                for kind, a, b in known:
-                    if a in start and b in end and not taken & set(range(start[a], end[b])) and end[b] - start[a] <= LONGEST:
-                        gold[start[a], end[b]] = KINDS.index(kind) + 1
-                        taken |= set(range(start[a], end[b]))
-                examples.append((tokens, gold))
-    rng = np.random.default_rng(3)
-    examples = [examples[i] for i in rng.permutation(len(examples))[: 6 * SAMPLE_DOCS]]
-    cached = [model.scored(tokens) for tokens, _ in examples]
+        for _, tokens, gold, _ in examples_of(text, rng):
+            scored = model.scored(tokens)
+            if gold.keys() <= {(i, j) for i, j, _ in scored[0]}:  # else the field can't express it
+                cases.append((tokens, gold, scored))
+    cases = [cases[i] for i in rng.permutation(len(cases))[: 5 * SAMPLE_DOCS]]
     for epoch in range(epochs):
-        for (tokens, gold), c in zip(examples, cached):
-            model.learn(tokens, gold, 0.2 / (1 + epoch), c)
+        for tokens, gold, scored in cases:
+            model.learn(tokens, gold, 0.2 / (1 + epoch), scored)
     return model
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> SemiMarkov:
-    """Fit on the documents with a digit or an @ that come first by a hash of doc_id: `sample` of them at most."""
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= SAMPLE_BYTES))
+def sample(docs: DataFrame, rows: int = SAMPLE_DOCS, skip: int = 0) -> list[str]:
+    """Whole texts that may hold personal data, by a hash of doc_id: `rows` of them at most, after the first `skip`."""
+    found = docs.select("doc_id", "text").filter(
+        F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]([ -]?[0-9]){15}") & F.col("doc_id").isNotNull())
     # Names first, then their texts: what each task sends does not grow with the texts.
-    names = rows.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = rows.join(F.broadcast(names), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return fit([x.text for x in found.collect()])  # `sample` rows at most
+    names = found.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows + skip)
+    found = found.join(F.broadcast(names), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return [x.text for x in found.orderBy(F.xxhash64("doc_id"), "doc_id").collect()[skip:]]  # rows + skip at most
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_DOCS) -> SemiMarkov:
+    """Fit on sample(docs): a bounded sample."""
+    return fit(sample(docs, rows))
+
+
+def held_out(texts: list[str], model: SemiMarkov) -> dict[str, tuple[int, int, int]]:
+    """By kind (right, added, rewritten): added spans on rewritten forms of texts that the model was not fitted on."""
+    rng, tally = np.random.default_rng(9), {k: [0, 0, 0] for k in KINDS}
+    for text in texts:
+        for t, kind, a, b in rewritten(text, base_spans(text)[:6], rng):
+            added = [(k, x, y) for k, x, y, own in find_personal(t, model) if not own]
+            base = [(k, x, y) for k, x, y, own in find_personal(t, None) if own]
+            if kind and not any(x < b and a < y for _, x, y in base):
+                tally[kind][2] += 1
+                tally[kind][0] += (kind, a, b) in added
+            for k, *_ in added:
+                tally[k][1] += 1
+    return {k: tuple(x) for k, x in tally.items()}
 
 
 def find_personal(text: str, model: SemiMarkov | None):
     """(kind, start, end, whether a base pattern found it); added spans overlap no base span."""
     base = base_spans(text)
+    taken = sorted((a, b) for _, a, b in base)
+    top, high = [], 0  # the furthest end of the base spans up to each
+    for _, b in taken:
+        top.append(high := max(high, b))
     added = []
     for tokens in regions(text) if model else ():
         for kind, i, j in model.best(tokens):
             a, b = tokens[i][1], tokens[j - 1][2]
-            if not any(x < b and a < y for _, x, y in base) and not any(x < b and a < y for _, x, y in added):
+            k = bisect.bisect_left(taken, (b,))
+            if not k or top[k - 1] <= a:
                 added.append((kind, a, b))
     return [(*x, True) for x in base] + [(*x, False) for x in added]
 
@@ -299,13 +434,14 @@ def personal_data(docs: DataFrame, model: SemiMarkov | None, key: str = "doc_id"
     """(key, spans, base): arrays of struct<kind, start, end>, all spans and those of the base patterns.
 
     Whole texts are searched; a null text is empty and has no spans. Repeated rows and null keys stay; other
-    columns are ignored. Without a model only the base patterns apply.
+    columns are ignored. Without a model only the base patterns apply. A very long text is a step of its own, and a
+    region of any length is scored whole, CHUNK segment starts at a time; bytes that are not UTF-8 count as U+FFFD.
     """
     def run(batches):
         for batch, texts in steps(batches):
             every, base = [], []
             for x in texts:
-                found = find_personal(x.decode(), model) if TRIGGER_BYTES.search(x) else []
+                found = find_personal(x.decode(errors="replace"), model) if MAY_HOLD.search(x) else []
                 every.append([{"kind": k, "start": a, "end": b} for k, a, b, _ in found])
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b, own in found if own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, SPANS), pa.array(base, SPANS)],
@@ -316,9 +452,6 @@ def personal_data(docs: DataFrame, model: SemiMarkov | None, key: str = "doc_id"
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, spans {spans}, base {spans}")
 
 
-TRIGGER_BYTES = re.compile(rb"[0-9@+]")
-
-
 def op5(docs: DataFrame) -> DataFrame:
     found = personal_data(docs, train(docs))
     return found.select(

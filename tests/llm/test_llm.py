@@ -154,6 +154,82 @@ def test_personal_data(spark, texts):
         assert pii.op5(df).count() == df.count()
 
 
+def labellings(parts, n, at=0):
+    """Every way to cover tokens with outside tokens and labelled candidates: lists of (part or None, kind, first token)."""
+    if at == n:
+        yield []
+        return
+    for rest in labellings(parts, n, at + 1):
+        yield [(None, 0, at), *rest]
+    for p, (i, j, _) in enumerate(parts):
+        if i == at:
+            for c in range(len(pii.KINDS)):
+                for rest in labellings(parts, n, j):
+                    yield [(p, c + 1, at), *rest]
+
+
+def total_score(model, tokens, score, labelling):
+    last, total = 0, 0.0
+    for p, c, at in labelling:
+        total += model.move[last, c] + (score[p][c - 1] if p is not None else model.out[int(tokens[at][0].isdigit())])
+        last = c
+    return total
+
+
+def test_field_against_enumeration(monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 2)
+    rng = np.random.default_rng(5)
+    for text in ("a at b dot c", "12 345 67", "x@y.z 1", "+1 (23) 456"):
+        (tokens,) = pii.regions("zz " + text) or [[(m[0], *m.span()) for m in pii.TOKEN.finditer(text)]]
+        model = pii.SemiMarkov()
+        model.w, model.move, model.out = (rng.normal(0, 0.4, x.shape) for x in (model.w, model.move, model.out))
+        parts, index, score = model.scored(tokens)
+        every = list(labellings(parts, len(tokens)))
+        values = np.array([total_score(model, tokens, score, x) for x in every])
+        best = every[int(values.argmax())]
+        assert model.best(tokens) == [(pii.KINDS[c - 1], *parts[p][:2]) for p, c, _ in best if p is not None]
+        gold = next((x for x in every if any(p is not None for p, *_ in x)), every[0])
+        chance = np.exp(values - values.max())
+        chance /= chance.sum()
+        counts = lambda x, f: sum(f(*y) for y in x)
+        moves, outs, weights = np.zeros_like(model.move), np.zeros(2), np.zeros_like(model.w)
+        for share, x in [*zip(-chance, every), (1.0, gold)]:
+            last = 0
+            for p, c, at in x:
+                moves[last, c] += share
+                last = c
+                if p is None:
+                    outs[int(tokens[at][0].isdigit())] += share
+                else:
+                    np.add.at(weights[c], index[p], share)
+        old = [x.copy() for x in (model.w, model.move, model.out)]
+        model.learn(tokens, {parts[p][:2]: c for p, c, _ in gold if p is not None}, 1e-3)
+        for new, was, want in zip((model.w, model.move, model.out), old, (weights, moves, outs)):
+            assert np.allclose((new - was) / 1e-3, want, atol=2e-3)
+
+
+def test_field_finds_held_out_forms_and_whole_regions(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices(["ta", "re", "on", "ing", "the", "au"], k=rng.randint(1, 4))) for _ in range(500)]
+
+    def text():
+        d = "".join(rng.choices("0123456789", k=15))
+        card = next(d + c for c in "0123456789" if pii.luhn(d + c))
+        own = [f"{rng.choice(words)}.{rng.randint(10, 99)}@mail{rng.randint(1, 9)}.example.com", card, f"+{rng.randint(1, 99)} ({d[:3]}) 555-{d[3:7]}", f"{rng.randint(1, 255)}.2.3.4"]
+        return " ".join(" ".join(rng.choices(words, k=12)) + " " + x for x in rng.sample(own, 2)) + ". " + " ".join(rng.choices(words, k=9))
+
+    model = pii.fit([text() for _ in range(150)])
+    tally = pii.held_out([text() for _ in range(150)], model)
+    for kind in ("email", "card", "phone"):
+        right, added, forms = tally[kind]
+        assert forms > 50 and right >= 0.9 * forms and right >= 0.9 * added, tally
+    spoken = "write to anna dot smith at posteo dot de or john (at) mail.org today"
+    assert [spoken[a:b] for _, a, b, _ in pii.find_personal(spoken, model)] == ["anna dot smith at posteo dot de", "john (at) mail.org"]
+    near = "12 34 5 " * 4_000 + spoken  # one region of over 30,000 characters
+    assert len(pii.regions(near)) == 1
+    assert [near[a:b] for k, a, b, _ in pii.find_personal(near, model) if k == "email"] == ["anna dot smith at posteo dot de", "john (at) mail.org"]
+
+
 def test_base_spans_against_patterns():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
                 "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
