@@ -9,6 +9,8 @@
    array, Burrows-Wheeler transform in a wavelet matrix of packed bits) over its segments and streams each
    window through backward search. The matching statistic of a window end counts up to 20 words; the interval
    that is left names all places of the window, and the least of them is its first.
+4. An anchor with very many texts is dealt window by window, each window to several salted shards. What is first
+   in its salt meets once more, so no task holds a window's rows whole.
 """
 
 import numpy as np
@@ -21,8 +23,9 @@ from factgraph.llm.batches import steps
 from factgraph.llm.quality import rolled, span_hashes, word_hashes
 from factgraph.runtime import discard, materialize
 
-#: Words of an anchor gram; distinct segments of one anchor beyond which they are dealt out window by window.
-GRAM, CROWD = 6, 4_000
+#: Words of an anchor gram; distinct segments of one anchor beyond which they are dealt out window by window, and
+#: about as many rows of one window that meet in a task.
+GRAM, CROWD = 6, 500
 #: Words that a task gathers, shards whole, before it builds their index.
 GATHER = 400_000
 
@@ -138,6 +141,9 @@ def earlier_windows(segments: list[list[bytes]], docs: np.ndarray, starts: np.nd
     return np.split(offset[hit], np.searchsorted(of[hit], np.arange(1, len(sizes))))
 
 
+WINDOWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("skip", pa.int32()), ("shard", pa.int64()), ("words", pa.binary())])
+
+
 def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, starts array<int>, wide array<int>): per document runs of windows [start, start + wide) that occur earlier."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text <> ''")
@@ -167,10 +173,9 @@ def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: st
                         out.append((d, a, 0, g, b" ".join(x[a:a + run["wide"] + window - 1])))
                     for k in range(run["wide"] if run["crowded"] else 0):
                         part = b" ".join(x[a + k:a + k + window])
-                        out.append((d, a, k, xxhash.xxh3_64_intdigest(part, 1) - (1 << 63), part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))],
-                names=["doc_id", "start", "skip", "shard", "words"])
+                        salt = xxhash.xxh3_64_intdigest(b"%d" % d) % run["salts"] + 1
+                        out.append((d, a, k, xxhash.xxh3_64_intdigest(part, salt) - (1 << 63), part))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(WINDOWS.types)], schema=WINDOWS)
 
     every = materialize(rows.mapInArrow(elect, "doc_id long, start int, wide int, anchor long, segment long"), "segments")
     # Written before the joins, so that hot anchors are split there.
@@ -181,35 +186,46 @@ def repeated_windows(docs: DataFrame, window: int, key: str = "doc_id", text: st
         F.min(F.struct("doc_id", "start", "wide")).alias("first")).select("anchor", "first.*"), "firsts")
     # An anchor's only text has no other place for its windows; the segments that repeat it whole are known.
     several = materialize(firsts.groupBy("anchor").count().filter("count > 1").select(
-        "anchor", (F.col("count") > CROWD).alias("crowded")), "several")
+        "anchor", (F.col("count") > CROWD).alias("crowded"), F.ceil(F.col("count") / CROWD).alias("salts")), "several")
     wanted = firsts.join(several, "anchor").groupBy("doc_id").agg(
-        F.collect_list(F.struct("start", "wide", "anchor", "crowded")).alias("runs"))
+        F.collect_list(F.struct("start", "wide", "anchor", "crowded", "salts")).alias("runs"))
     dealt = rows.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(
         cut, "doc_id long, start int, skip int, shard long, words binary")
 
-    def judge(batches):
+    crowded = not several.filter("crowded").isEmpty()
+
+    def judge(batches, last=False):
+        """Masks of the windows that occur earlier in their shard; windows of a crowd that do not are passed on."""
         rows_, size = [], 0
 
         def flush(rows_):
             doc, start, skip = (np.array([x[k] for x in rows_], np.int64) for k in range(3))
             found = earlier_windows([x[4] for x in rows_], doc, start + skip, window)
             mask = [int(sum(1 << int(o) for o in f)) << x[2] for f, x in zip(found, rows_)]
-            keep = [k for k, m in enumerate(mask) if m]
+            more = [] if last or not crowded else [k for k, m in enumerate(mask) if not m and len(rows_[k][4]) == window]
+            keep = [k for k, m in enumerate(mask) if m] + more
             return pa.RecordBatch.from_arrays(
-                [pa.array([rows_[k][0] for k in keep], pa.int64()), pa.array([rows_[k][1] for k in keep], pa.int32()),
-                 pa.array([mask[k] for k in keep], pa.int64())], names=["doc_id", "start", "mask"])
+                [*(pa.array([rows_[k][c] for k in keep], t) for c, t in zip((0, 1, 2), WINDOWS.types)), pa.array([mask[k] for k in keep], pa.int64()),
+                 pa.array([xxhash.xxh3_64_intdigest(rows_[k][5]) - (1 << 63) if not mask[k] else 0 for k in keep], pa.int64()),
+                 pa.array([None if mask[k] else rows_[k][5] for k in keep], pa.binary())], names=["doc_id", "start", "skip", "mask", "shard", "words"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if size >= GATHER and row[3] != rows_[-1][3]:
                     yield flush(rows_)
                     rows_, size = [], 0
-                rows_.append((*row[:4], row[4].split()))
+                rows_.append((*row[:4], row[4].split(), row[4]))
                 size += len(rows_[-1][4])
         if rows_:
             yield flush(rows_)
 
-    masks = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(judge, "doc_id long, start int, mask long")
+    kind = "doc_id long, start int, skip int, mask long, shard long, words binary"
+    masks = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(judge, kind)
+    if crowded:
+        masks = materialize(masks, "firsts-of-salts")
+        again = masks.filter("mask = 0").select("doc_id", "start", "skip", "shard", "words")
+        again = again.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda x: judge(x, True), kind)
+        masks = masks.filter("mask <> 0").unionByName(again)
     masks = masks.groupBy("doc_id", "start").agg(F.bit_or("mask").alias("mask"))
     own = materialize(firsts.join(masks, ["doc_id", "start"], "left").select(
         "doc_id", "start", F.coalesce("mask", F.lit(0)).alias("mask")), "masks")
