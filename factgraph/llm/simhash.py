@@ -1,9 +1,10 @@
 """SimHash near-duplicate classes: Hamming neighbours found in BK-trees, one forest per shard task.
 
-Fingerprints are dealt to shards so that every pair within the radius shares one. A shard's codes form a
-BK-tree, whose children are keyed by their integer Hamming distance to the parent; a query follows only edges
-within the radius of its own distance. All trees of a task are built and searched level by level as arrays.
-The trees grow with the corpus, so they are shuffled to their queries by shard instead of being broadcast.
+Fingerprints are dealt to shards so that every pair within the radius shares one, coarse enough that a shard has
+about TREE codes. They form a BK-tree, whose children are keyed by their integer Hamming distance to the parent; a
+query follows only edges within the radius of its own distance. All trees of a task are built and searched level
+by level as arrays. The trees grow with the corpus, so they are shuffled to their queries by shard instead of
+being broadcast.
 """
 
 import itertools
@@ -21,8 +22,10 @@ from factgraph.runtime import materialize
 
 #: Rows of one shard that meet in one task; a larger shard is dealt out as pairs of blocks of this size.
 BLOCK = 20_000
-#: Rows that a task gathers, shards whole, before it builds their forest; tree visits it expands at once.
-GATHER, VISITS = 200_000, 2_000_000
+#: Codes of a tree, by which the bits of the shard keys are chosen.
+TREE = 2_000
+#: Rows that a task gathers, shards whole, before it builds their forest; rows it searches for at once.
+GATHER, ASKS = 100_000, 500
 #: Rows and shingles of a block of a shard whose sets are compared; bytes of sets that a task gathers, shards whole.
 SET_BLOCK, SET_BLOCK_SIZE, GATHER_BYTES = 2_000, 2_000_000, 32 << 20
 
@@ -87,22 +90,51 @@ def fingerprints(docs: DataFrame, shingle: int = 4, words: int = 1, min_keys: in
     return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, code binary, keys array<long>")
 
 
-def block_keys(radius: int, bits: int = 64, code: str = "code"):
-    """Shard keys of an 8-byte code: two codes within the radius agree on two of radius + 2 blocks of bits."""
-    n = radius + 2
-    cuts = [bits * i // n for i in range(n + 1)]
+def shard_keys(n: int, radius: int, bits: int = 64, code: str = "code"):
+    """Shard keys of an 8-byte code, about TREE of n evenly spread codes each.
+
+    Codes within the radius agree on k of radius + k blocks of bits, whatever k, and so on the first bits of those
+    blocks. k is the least one whose blocks have bits enough.
+    """
+    need = max(0, math.ceil(math.log2(max(1, n) / TREE)))
+    if not need:
+        return F.array(F.lit(0).cast("long"))
+    k = next((k for k in (1, 2, 3) if need <= k * (bits // (radius + k))), 3)
+    size = bits // (radius + k)
+    first = min(size, -(-need // k))
     value = F.conv(F.hex(code), 16, -10).cast("long")
-    blocks = [F.shiftrightunsigned(value, a).bitwiseAND((1 << (b - a)) - 1) for a, b in itertools.pairwise(cuts)]
-    return F.array(*[F.shiftleft(x, 32).bitwiseOR(F.shiftleft(y, 8)).bitwiseOR(F.lit(i))
-                     for i, (x, y) in enumerate(itertools.combinations(blocks, 2))])
+    blocks = [F.shiftrightunsigned(value, bits - i * size - first).bitwiseAND((1 << first) - 1) for i in range(radius + k)]
+    keys = []
+    for i, some in enumerate(itertools.combinations(blocks, k)):
+        key = F.lit(i).cast("long")
+        for x in some:
+            key = F.shiftleft(key, first).bitwiseOR(x)
+        keys.append(key)
+    return F.array(*keys)
+
+
+def refined(shards: DataFrame, radius: int, bits: int = 64) -> DataFrame:
+    """Rows (node, code, shard) with each shard of over BLOCK codes dealt anew, by every one of radius + 1 bit sets.
+
+    Bit sets take every (radius + 1)-th bit, so codes within the radius agree on one of them.
+    """
+    hot = shards.groupBy("shard").count().filter(F.col("count") > BLOCK).select("shard", F.lit(True).alias("hot"))
+    value = F.conv(F.hex("code"), 16, -10).cast("long")
+    masks = [sum(1 << i for i in range(j, bits, radius + 1)) for j in range(radius + 1)]
+    anew = F.array(*[F.xxhash64("shard", F.lit(j), value.bitwiseAND(m - (1 << 64) if m >> 63 else m)) for j, m in enumerate(masks)])
+    return shards.join(hot, "shard", "left").select(
+        "node", "code", F.explode(F.when(F.col("hot"), anew).otherwise(F.array("shard"))).alias("shard"))
 
 
 def popcount(a, b):
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def forest_links(shard: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the first row of its class under links within the radius inside its shard."""
+def forest_links(shard: np.ndarray, codes: np.ndarray, radius: int, visits: list | None = None) -> np.ndarray:
+    """For each row the first row of its class under links within the radius inside its shard.
+
+    The number of tree nodes that were compared is appended to `visits`.
+    """
     n, span = len(shard), codes.shape[1] * 64 + 1
     order = np.argsort(shard, kind="stable")
     codes = codes[order]
@@ -126,10 +158,11 @@ def forest_links(shard: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarra
     keys, child = keys[by], (np.concatenate(edge_child)[by] if edge_child else keys)
     label = np.arange(n)
     asks = np.flatnonzero(np.repeat(sizes, sizes) > 1)
-    chunk = np.cumsum(np.repeat(sizes, sizes)[asks]) // VISITS
-    for query in np.split(asks, np.flatnonzero(np.diff(chunk)) + 1):
+    compared = 0
+    for query in np.split(asks, range(ASKS, len(asks), ASKS)):
         node = root[query]
         while len(query):
+            compared += len(query)
             d = popcount(codes[query], codes[node])
             near = (d <= radius) & (label[query] != label[node])
             unite(label, query[near], node[near])
@@ -138,6 +171,8 @@ def forest_links(shard: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarra
             count = b - a
             query = np.repeat(query, count)
             node = child[np.repeat(a - np.cumsum(count) + count, count) + np.arange(len(query))]
+    if visits is not None:
+        visits.append(compared)
     out = np.empty(n, np.int64)
     out[order] = order[label]
     return out
@@ -203,7 +238,7 @@ def simhash_classes(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
     """(key, code, component): codes of all rows, linked where they differ in `radius` bits or fewer.
 
     component is the smallest key reachable over links, the row's own included. With min_keys = 0 the codes have
-    64 bits and shards of two bit blocks, which miss no pair; else shards are min-hash values of the shingles,
+    64 bits and shards of bit blocks, which miss no pair; else shards are min-hash values of the shingles,
     for wide radii. Equal codes are one node, so copies add no links. A null text counts as empty (code zero); a
     null key takes part in no link and gets the component of its code's other rows, or null. Repeated rows stay.
     """
@@ -211,8 +246,11 @@ def simhash_classes(docs: DataFrame, shingle: int = 4, radius: int = 4, words: i
     nodes = prints.filter(F.col(key).isNotNull()).groupBy("code").agg(
         F.min(F.struct(F.col(key).alias("node"), "keys")).alias("x")).select("code", "x.node", "x.keys")
     nodes = materialize(nodes, "nodes")
-    shards = nodes.withColumn("keys", block_keys(radius)) if not min_keys else nodes
-    links = linked(shards.select("node", "code", F.explode("keys").alias("shard")), radius)
+    if min_keys:
+        shards = nodes.select("node", "code", F.explode("keys").alias("shard"))
+    else:
+        shards = refined(nodes.select("node", "code", F.explode(shard_keys(nodes.count(), radius)).alias("shard")), radius)
+    links = linked(shards, radius)
     tops = connected_components(links)
     found = nodes.select("code", "node").join(tops, "node", "left").select(
         "code", F.coalesce("component", "node").alias("component"))

@@ -141,6 +141,37 @@ def test_classifier_on_held_out_rows(spark):
     assert quality.train(table, labels.filter("quality = 7")) is None
 
 
+def near_codes(n, seed=3):
+    rng = random.Random(seed)
+    out = [rng.getrandbits(64) for _ in range(n // 2)]
+    return out + [rng.choice(out) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for _ in range(n - len(out))]
+
+
+@pytest.mark.parametrize("n", [10, 5_000, 10 ** 7, 10 ** 10])
+def test_codes_within_the_radius_share_a_shard(spark, monkeypatch, n):
+    codes = near_codes(600)
+    nodes = spark.createDataFrame([(k, c.to_bytes(8, "big")) for k, c in enumerate(codes)], "node long, code binary")
+    shards = nodes.select("node", "code", F.explode(simhash.shard_keys(n, 4)).alias("shard"))
+    monkeypatch.setattr(simhash, "BLOCK", 30)
+    for dealt in (shards, simhash.refined(shards, 4)):
+        own = collections.defaultdict(set)
+        for r in dealt.collect():
+            own[r.node].add(r.shard)
+        for a in range(600):
+            for b in range(a):
+                if (codes[a] ^ codes[b]).bit_count() <= 4:
+                    assert own[a] & own[b]
+
+
+def test_trees_prune():
+    codes = np.array(near_codes(simhash.TREE), np.uint64).reshape(-1, 1)
+    visits = []
+    top = simhash.forest_links(np.zeros(len(codes), np.int64), codes, 4, visits)
+    want = {(a, b) for a in range(len(codes)) for b in np.flatnonzero(np.bitwise_count(codes[:a, 0] ^ codes[a, 0]) <= 4).tolist()}
+    assert all(top[a] == top[b] for a, b in want) and len(want) > 500
+    assert sum(visits) < 0.6 * len(codes) ** 2  # random codes are the worst case; texts visit a seventh
+
+
 def test_personal_data(spark, texts):
     samples = ["mail jo.98@mail5.example.com now", "+1 (729) 555-7725", "ip 240.56.125.154.", "card 4111 1111 1111 1111", "x%x@d.e@f.g 1.2.3.999", None, ""] + texts
     assert pii.fit(["a @ b", ""]).best([("a", 0, 1)]) == []
