@@ -160,7 +160,7 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 40) -> Classifier | None:
-    """None where the sample lacks one of the two labels."""
+    """None where the sample lacks one of the two labels. The list of vectors is emptied."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         return None
@@ -172,7 +172,8 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds:
 
     ends = np.cumsum([len(at) for at, _ in vectors])
     col, val = np.concatenate([at for at, _ in vectors]), np.concatenate([share for _, share in vectors])
-    row = np.repeat(np.arange(len(y)), np.diff(ends, prepend=0))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends, prepend=0))
+    vectors.clear()  # the arrays above hold all of it
     parts = [slice(i, i + (1 << 20)) for i in range(0, len(col), 1 << 20)]
 
     def raw():
@@ -231,7 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
     found = sorted(found.collect(), key=lambda x: (x["hash"], x.doc_id))  # `rows` rows at most
     rng = np.random.default_rng(7)
     found = [found[i] for i in rng.permutation(len(found))]
-    return fit([(np.frombuffer(x.places, np.int32), np.frombuffer(x.shares, np.float32)) for x in found], [x.quality for x in found])
+    qualities, vectors = [x.quality for x in found], [(np.frombuffer(x.places, np.int32), np.frombuffer(x.shares, np.float32)) for x in found]
+    del found
+    return fit(vectors, qualities)
 
 
 def held_out(docs: DataFrame, labels: DataFrame, model: Classifier, rows: int = SAMPLE_ROWS, bins: int = 10) -> DataFrame:
