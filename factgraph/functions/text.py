@@ -64,3 +64,9 @@ def slug(c):
 
 def preview(title, body, size: int = 280):
     return F.concat(title, F.lit(" — "), F.rtrim(F.substring(body, 1, size)), F.when(F.length(body) > size, "…").otherwise(""))
+
+
+def heading(c, size: int = 200):
+    """The first sentence or line of a text, cut with an ellipsis to `size` characters; a text without one is untitled."""
+    first = F.regexp_extract(c, r"^[ \t\n\r]*([^.!?\n]*[.!?]?)", 1)
+    return F.when(F.coalesce(first, F.lit("")) == "", "untitled").when(F.length(first) > size, F.concat(F.substring(first, 1, size - 1), F.lit("…"))).otherwise(first)

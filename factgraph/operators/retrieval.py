@@ -4,15 +4,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as X
+from factgraph.runtime import materialize
 
 LEG, RRF = 30, 60
 
 
-def scoped_nodes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(request_id, id): active nodes in each request's scopes."""
-    return nodes.filter("status = 'active'").select("id", "scope_id").join(F.broadcast(sets), "scope_id").select("request_id", "id")
-
-
 def ranked(df: DataFrame, k: int, *order) -> DataFrame:
     """Rows of rank k or better within each request."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).filter(F.col("rank") <= k)
@@ -23,7 +19,7 @@ def vector_leg(requests: DataFrame, nodes: DataFrame, sets: DataFrame, floor: fl
 
     An inverted-index join on dimensions; nodes that share no dimension have similarity 0 and are not ranked.
     """
-    live = nodes.filter("status = 'active'").withColumn("searchable", F.concat_ws("\n", "title", "body"))
+    live = searchable(nodes.filter("status = 'active'"))
     v = X.hashed_vectors(live, "id", F.col("searchable"))
     q = X.hashed_vectors(requests, "request_id", F.col("query"))
     dots = v.join(q.withColumnRenamed("w", "qw"), "dim").groupBy("request_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
@@ -92,25 +88,61 @@ def rank_fusion(lists: DataFrame) -> DataFrame:
     return parts.withColumn("score", score).select("request_id", "id", F.row_number().over(order).alias("place"))
 
 
+def searchable(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("searchable", F.concat_ws("\n", "title", "body"))
+
+
+def text_classes(nodes: DataFrame, block: str = "type") -> DataFrame:
+    """(id, rep): rep is the least id of the same block, title and body, so copies have one."""
+    digest = F.sha2(F.to_json(F.struct(F.col(block).alias("b"), "title", "body")).cast("binary"), 256)
+    rows = nodes.select("id", digest.alias("digest"))
+    return rows.join(rows.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
+
+
 def near_pairs(nodes: DataFrame, threshold: float, block: str = "type") -> DataFrame:
     """(a, b, similarity), a < b: pairs within a block with cosine of hashed token vectors >= threshold.
 
-    Exact, by an inverted index: rows meet on (block, dimension), and products are summed for each pair. Prefix
-    filtering keeps a pair only if it meets outside the tail of one of its vectors, the most common dimensions
-    whose squared weights sum to less than threshold squared of its squared norm; such a pair alone can reach it.
+    Exact, by prefix filtering: a vector's tail is its most common dimensions whose squared weights sum to less than
+    threshold squared of its squared norm. A pair in reach shares a dimension outside both tails, so only those
+    meet; the pairs that met are verified on whole vectors. Copies are pairs too: pass the rows of text_classes()
+    that represent themselves where there may be many.
     """
-    v = X.hashed_vectors(nodes.withColumn("searchable", F.concat_ws("\n", "title", "body")), "id", F.col("searchable"))
+    v = X.hashed_vectors(searchable(nodes), "id", F.col("searchable"))
     v = v.join(nodes.select("id", F.col(block).alias("block")), "id")
     df = v.groupBy("block", "dim").agg(F.count("*").alias("df"))
     by_rarity = Window.partitionBy("id").orderBy(F.desc("df"), "dim").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("id")
     squares = F.col("w") * F.col("w")
-    v = v.join(df, ["block", "dim"]).withColumn("nn", F.sum(squares).over(whole)).withColumn(
+    v = v.join(df, ["block", "dim"]).withColumn("nn", F.sum(squares).over(Window.partitionBy("id"))).withColumn(
         "head", F.sum(squares).over(by_rarity) >= threshold * threshold * 0.999999 * F.col("nn")).select(
         "id", "block", "dim", "w", "nn", "head")
-    met = v.alias("x").join(v.alias("y"), ["block", "dim"]).filter("x.id < y.id").groupBy(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
-        F.sum(F.col("x.w") * F.col("y.w")).alias("dot"), F.first(F.col("x.nn") * F.col("y.nn")).alias("nn"),
-        F.max(F.col("x.head") & F.col("y.head")).alias("head"))
-    return met.filter("head").select("a", "b", (F.col("dot") / F.sqrt(F.col("nn").cast("double"))).alias("similarity")).filter(
-        F.col("similarity") >= threshold)
+    v = materialize(v, "vectors")
+    head = v.filter("head").select("id", "block", "dim", "nn")
+    met = head.alias("x").join(head.alias("y"), ["block", "dim"]).filter("x.id < y.id").select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return similarities(met, v).filter(F.col("similarity") >= threshold)
+
+
+def similarities(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs (a, b) by sparse vectors (id, dim, w, nn); pairs without a common dimension are left out."""
+    x = vectors.select(F.col("id").alias("a"), "dim", F.col("w").alias("wa"), F.col("nn").alias("na"))
+    y = vectors.select(F.col("id").alias("b"), "dim", F.col("w").alias("wb"), F.col("nn").alias("nb"))
+    dots = pairs.join(x, "a").join(y, ["b", "dim"]).groupBy("a", "b").agg(
+        F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first(F.col("na") * F.col("nb")).alias("nn"))
+    return dots.select("a", "b", (F.col("dot") / F.sqrt(F.col("nn").cast("double"))).alias("similarity"))
+
+
+def pairs_in_results(results: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of near duplicates that meet in a result set; a request has twice LEG rows at most."""
+    ids = results.select("request_id", "id")
+    met = ids.alias("x").join(ids.alias("y"), "request_id").filter("x.id < y.id").select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    hits = nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    v = X.hashed_vectors(searchable(hits), "id", F.col("searchable"))
+    v = v.join(X.with_norm(v, "id"), "id")
+    return similarities(met, v).filter(F.col("similarity") >= threshold)
+
+
+def undeclared(pairs: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("same_topic", "relates_to")) -> DataFrame:
+    """pairs without those that an edge of one of the kinds, either way, declares distinct."""
+    told = edges.filter(F.col("type").isin(*kinds)).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return pairs.join(told.distinct(), ["a", "b"], "left_anti")

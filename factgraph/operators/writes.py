@@ -1,41 +1,166 @@
-"""Deduplicating writes: each incoming fact merges, waits, or is inserted by its nearest earlier fact."""
+"""Deduplicating writes: each incoming fact merges, waits, or is inserted by its nearest stored fact."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as X
 from factgraph.operators.components import connected_components
-from factgraph.operators.retrieval import near_pairs
+from factgraph.operators.retrieval import near_pairs, text_classes
+from factgraph.runtime import materialize
 
-NOVEL = 0.8
+NOVEL, SNAPSHOT = 0.8, 5
 
 
-def candidates(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """(seq, candidate, similarity, rank): the k nearest earlier facts of each write, ties by id."""
+def similar_classes(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(members (id, rep), neighbours (rep, near, similarity) both ways and each rep with itself): copies are one class."""
+    members = materialize(text_classes(nodes), "members")
+    reps = nodes.join(members.filter("id = rep").select("id"), "id", "left_semi")
+    pairs = materialize(near_pairs(reps, threshold), "pairs")
+    own = members.select("rep").distinct().select("rep", F.col("rep").alias("near"), F.lit(1.0).alias("similarity"))
+    return members, own.union(pairs.select("a", "b", "similarity")).union(pairs.select("b", "a", "similarity"))
+
+
+def candidates(writes: DataFrame, store: DataFrame, sets: DataFrame, low: float, k: int = SNAPSHOT) -> DataFrame:
+    """(seq, candidate, similarity, rank): the k nearest stored facts of each write in reach of `low`, ties by id.
+
+    Candidates are active, of the write's type, and in the scopes that sets (seq, scope_id) gives the write. Of the
+    copies of a text in one scope the first k by id can be candidates, so copies on both sides are not multiplied.
+    """
+    columns = ["id", "type", "title", "body"]
+    live = store.filter("status = 'active'")
+    members, near = similar_classes(writes.select(*columns).unionByName(live.select(*columns)), low)
+    first = Window.partitionBy("rep", "scope_id").orderBy("id")
+    held = live.select("id", "scope_id").join(members, "id").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
+    asked = writes.select("id").join(members, "id").select(F.col("id").alias("seq"), "rep").join(near, "rep").join(sets, "seq")
+    met = asked.join(held.select(F.col("rep").alias("near"), "scope_id", F.col("id").alias("candidate")), ["near", "scope_id"])
     order = Window.partitionBy("seq").orderBy(F.desc("similarity"), "candidate")
-    rows = pairs.select(F.col("b").alias("seq"), F.col("a").alias("candidate"), "similarity")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return met.filter("candidate <> seq").select("seq", "candidate", "similarity", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
 
 
-def banded(writes: DataFrame, pairs: DataFrame, low: float, high: float) -> DataFrame:
-    """(seq, candidate, similarity, band) of each write against the earlier facts; none in reach: insert, nulls."""
-    best = candidates(pairs, 1).select("seq", "candidate", "similarity")
+def banded(writes: DataFrame, near: DataFrame, low: float, high: float) -> DataFrame:
+    """(seq, candidate, similarity, band) of each write by its candidates(); none in reach: insert, nulls."""
+    best = near.filter("rank = 1").select("seq", "candidate", "similarity")
     return writes.select(F.col("id").alias("seq")).join(best, "seq", "left").withColumn(
         "band", F.coalesce(X.band(F.col("similarity"), low, high), F.lit("insert")))
 
 
-def with_novelty(bands: DataFrame, nodes: DataFrame) -> DataFrame:
-    """bands whose merges are split: merge_linked if the Jaccard similarity of bodies is under NOVEL, else merged."""
-    tokens = nodes.select("id", X.tokens(F.col("body")).alias("tokens"))
-    rows = bands.join(tokens.select(F.col("id").alias("seq"), F.col("tokens").alias("t")), "seq").join(
-        tokens.select(F.col("id").alias("candidate"), F.col("tokens").alias("u")), "candidate", "left")
-    novel = X.jaccard(F.col("t"), F.col("u")) < NOVEL
+def with_novelty(bands: DataFrame, writes: DataFrame, store: DataFrame, peers: DataFrame) -> DataFrame:
+    """(seq, candidate, similarity, outcome): merges are split by what is new in them.
+
+    A merge is `merge_linked` if the Jaccard similarity of its body's tokens and those of the candidate's cluster is
+    under NOVEL, else `merged`. A cluster is the candidate and its peers (id, peer), of any status.
+    """
+    merges = bands.filter("band = 'merge'").select("seq", "candidate")
+    bodies = store.select("id", F.explode(X.tokens(F.col("body"))).alias("token"))
+    cluster = merges.select("candidate").distinct().select(F.col("candidate").alias("id"), F.col("candidate").alias("peer"))
+    cluster = cluster.union(peers.select("id", "peer").join(cluster.select("id"), "id", "left_semi")).distinct()
+    corpus = cluster.join(bodies.withColumnRenamed("id", "peer"), "peer").select(F.col("id").alias("candidate"), "token").distinct()
+    own = merges.join(writes.select(F.col("id").alias("seq"), F.explode(X.tokens(F.col("body"))).alias("token")), "seq")
+    shared = own.join(corpus, ["candidate", "token"]).groupBy("seq").agg(F.count("*").alias("shared"))
+    sizes = own.groupBy("seq").agg(F.count("*").alias("n"))
+    whole = corpus.groupBy("candidate").agg(F.count("*").alias("m"))
+    rows = bands.join(shared, "seq", "left").join(sizes, "seq", "left").join(whole, "candidate", "left")
+    both, n, m = (F.coalesce(c, F.lit(0)) for c in ("shared", "n", "m"))
+    novel = (n + m > 0) & (both / (n + m - both) < NOVEL)
     return rows.select("seq", "candidate", "similarity", F.when(F.col("band") == "merge", F.when(novel, "merge_linked").otherwise("merged"))
                        .otherwise(F.col("band")).alias("outcome"))
 
 
+def effects(outcomes: DataFrame, writes: DataFrame, linkable: DataFrame) -> dict[str, DataFrame]:
+    """What the outcomes of writes leave behind: rows, edges, addenda, parked writes and the log.
+
+    rows (id, type): inserted and linked writes. edges (src, dst, type): same_topic from a linked write to its candidate,
+    where linkable (type) has a rule for it. addenda (id, seq): an absorbed write of a kind that keeps them (type 'error'
+    and an own happened_at) is noted at its candidate. parked (seq, candidate) wait. log has every write.
+    """
+    of = outcomes.join(writes.select(F.col("id").alias("seq"), "type", *[c for c in ("happened_at",) if c in writes.columns]), "seq")
+    dated = F.col("happened_at").isNotNull() if "happened_at" in writes.columns else F.lit(False)
+    return {
+        "rows": of.filter("outcome IN ('insert', 'merge_linked')").select(F.col("seq").alias("id"), "type"),
+        "edges": of.filter("outcome = 'merge_linked'").join(linkable, "type", "left_semi").select(
+            F.col("seq").alias("src"), F.col("candidate").alias("dst"), F.lit("same_topic").alias("type")),
+        "addenda": of.filter((F.col("outcome") == "merged") & (F.col("type") == "error") & dated).select(F.col("candidate").alias("id"), "seq"),
+        "parked": of.filter("outcome = 'pending'").select("seq", "candidate"),
+        "log": of.select("seq", F.col("outcome").alias("band"), "similarity", "candidate")}
+
+
 def clusters(nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, component): classes of facts linked by similarity; the rounds of banding are independent across them."""
-    tops = connected_components(near_pairs(nodes, threshold), "a", "b")
+    members = text_classes(nodes)
+    reps = nodes.join(members.filter("id = rep").select("id"), "id", "left_semi")
+    links = near_pairs(reps, threshold).select("a", "b").union(members.filter("id <> rep").select("rep", "id"))
+    tops = connected_components(links, "a", "b")
     return nodes.select("id").join(tops.withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component"))
+
+
+def sequential(writes: DataFrame, store: DataFrame, peers: DataFrame, low: float, high: float, max_rounds: int = 500) -> DataFrame:
+    """(seq, candidate, similarity, outcome) as if the writes (id, type, title, body) came one by one, by id.
+
+    A write sees the active store and the earlier writes of its type that were inserted or linked. Rounds decide, in
+    one step each, all writes whose nearest row no undecided earlier write can change; the least undecided write
+    always is one. A merge also waits for earlier writes that may join its cluster; of a cluster's waiting merges all
+    are decided up to the first that adds tokens to it. Copies are one class with one row that counts, so a group of
+    them takes few rounds. Ids of writes and store are distinct. More than max_rounds is an error.
+    """
+    columns = ["id", "type", "title", "body"]
+    live = store.filter("status = 'active'")
+    members, near = similar_classes(writes.select(*columns).unionByName(live.select(*columns)), low)
+    near = materialize(near, "near")
+    stored = live.select("id").join(members, "id").groupBy("rep").agg(F.min("id").alias("st")).withColumnRenamed("rep", "near")
+    tokens = materialize(writes.select("id", "body").unionByName(store.select("id", "body")).select(
+        "id", F.explode(X.tokens(F.col("body"))).alias("token")), "tokens")
+    sizes = tokens.groupBy("id").agg(F.count("*").alias("n"))
+    left = materialize(writes.select(F.col("id").alias("seq")).join(members.withColumnRenamed("id", "seq"), "seq"), "left")
+    done = None
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        waits = left.groupBy("rep").agg(F.min("seq").alias("m")).withColumnRenamed("rep", "near")
+        info = near.join(waits, "near", "left").join(stored, "near", "left")
+        if done is None:
+            info = info.withColumn("r", F.lit(None).cast("long"))
+        else:
+            rows = done.filter("outcome IN ('insert', 'merge_linked')").join(members.withColumnRenamed("id", "seq"), "seq")
+            info = info.join(rows.groupBy("rep").agg(F.min("seq").alias("r")).withColumnRenamed("rep", "near"), "near", "left")
+        info = info.filter("m IS NOT NULL OR st IS NOT NULL OR r IS NOT NULL")
+        seen = left.join(info, "rep")
+        candidate = F.least("st", F.when(F.col("r") < F.col("seq"), F.col("r")))
+        far = (-F.col("similarity")).alias("far")
+        keys = seen.groupBy("seq", "rep").agg(
+            F.min(F.when(candidate.isNotNull(), F.struct(far, candidate.alias("id")))).alias("best"),
+            F.min(F.when(F.col("m") < F.col("seq"), F.struct(far, F.col("m").alias("id")))).alias("ahead"))
+        blocked = F.col("ahead").isNotNull() & (F.col("best").isNull() | (F.col("ahead") < F.col("best")))
+        keys = materialize(keys.select("seq", "rep", F.col("best.id").alias("candidate"), (-F.col("best.far")).alias("similarity"),
+                                       blocked.alias("blocked")), "keys")
+        ready = keys.filter("NOT blocked").withColumn("outcome", F.coalesce(X.band(F.col("similarity"), low, high), F.lit("insert")))
+        plain = ready.filter("outcome <> 'merge'").select("seq", "candidate", "similarity", "outcome")
+        late = keys.filter("blocked").groupBy(F.col("rep").alias("near")).agg(F.min("seq").alias("late"))
+        late = near.filter(F.col("similarity") >= high).join(late, "near").groupBy("rep").agg(F.min("late").alias("late"))
+        of = members.join(late, "rep").select(F.col("id").alias("candidate"), "late")
+        batch = ready.filter("outcome = 'merge'").join(of, "candidate", "left").filter("late IS NULL OR seq < late").select(
+            "seq", "candidate", "similarity")
+        batch = materialize(batch, "batch")
+        heads = batch.select(F.col("candidate").alias("id")).distinct()
+        ties = peers.select("id", "peer")
+        if done is not None:
+            links = done.filter("outcome = 'merge_linked'").select(F.col("seq").alias("id"), F.col("candidate").alias("peer"))
+            ties = ties.union(links).union(links.select("peer", "id"))
+        cluster = heads.select("id", F.col("id").alias("peer")).union(ties.join(heads, "id", "left_semi").select("id", "peer")).distinct()
+        corpus = cluster.join(tokens.withColumnRenamed("id", "peer"), "peer").select(F.col("id").alias("candidate"), "token").distinct()
+        shared = batch.join(tokens.withColumnRenamed("id", "seq"), "seq").join(corpus, ["candidate", "token"]).groupBy("seq").agg(
+            F.count("*").alias("shared"))
+        whole = corpus.groupBy("candidate").agg(F.count("*").alias("size"))
+        judged = batch.join(sizes.withColumnRenamed("id", "seq"), "seq", "left").join(shared, "seq", "left").join(
+            whole, "candidate", "left").fillna(0, ["n", "shared", "size"])
+        union = F.col("n") + F.col("size") - F.col("shared")
+        judged = judged.withColumn("novel", (union > 0) & (F.col("shared") / union < NOVEL))
+        adds = judged.filter("novel AND n > shared").groupBy("candidate").agg(F.min("seq").alias("first"))
+        final = judged.join(adds, "candidate", "left").filter("first IS NULL OR seq <= first").select(
+            "seq", "candidate", "similarity", F.when(F.col("novel"), "merge_linked").otherwise("merged").alias("outcome"))
+        now = materialize(plain.unionByName(final), "decided")
+        done = now if done is None else materialize(done.unionByName(now), "done")
+        left = materialize(left.join(now, "seq", "left_anti"), "left")
+    else:
+        raise RuntimeError(f"writes have not settled after {max_rounds} rounds")
+    return done if done is not None else left.select("seq", F.col("rep").alias("candidate"), F.lit(0.0).alias("similarity"), F.lit("").alias("outcome"))

@@ -6,10 +6,9 @@ from factgraph.functions import text as X
 from factgraph.operators import briefing as B
 from factgraph.operators import evaluation as E
 from factgraph.operators import lifecycle as L
-from factgraph.operators import retrieval as R
 from factgraph.operators import visibility as V
 from factgraph.operators import writes as D
-from factgraph.plans.registry import PAIRS_SQL, access, query
+from factgraph.plans.registry import BANDS_SQL, access, incoming, query
 from factgraph.runtime import table
 from factgraph.sources import bundles
 from factgraph.sources import derived as S
@@ -50,14 +49,12 @@ def inbox_overdue(spark, sf_dir):
     return B.overdue(inbox(spark, sf_dir), now)
 
 
-TOP5_SQL = PAIRS_SQL + (", near AS (SELECT b AS seq, a AS candidate, similarity, row_number() OVER (PARTITION BY b ORDER BY similarity DESC, a) AS rank FROM pairs), "
-                        "waiting AS (SELECT seq FROM near WHERE rank = 1 AND similarity < 0.97), snap AS (SELECT n.* FROM near n JOIN waiting USING (seq) WHERE rank <= 5)")
+TOP5_SQL = BANDS_SQL + ", waiting AS (SELECT seq FROM bands WHERE band = 'pending'), snap AS (SELECT n.* FROM near n JOIN waiting USING (seq) WHERE rank <= 5)"
 
 
 def waiting(spark, sf_dir):
-    nodes = S.nodes(spark, sf_dir)
-    pairs = R.near_pairs(nodes, 0.9)
-    return nodes, L.parked(D.banded(nodes, pairs, 0.9, 0.97), D.candidates(pairs))
+    writes, _, near = incoming(spark, sf_dir)
+    return S.nodes(spark, sf_dir), L.parked(D.banded(writes, near, 0.9, 0.97), near)
 
 
 @query(f"{TOP5_SQL} SELECT seq, string_agg(candidate, ';' ORDER BY rank) AS candidates FROM snap GROUP BY seq")
@@ -66,33 +63,35 @@ def review_queue(spark, sf_dir):
 
 
 @query(f"{TOP5_SQL}, best AS (SELECT seq, arg_min(candidate, rank) AS nearest, arg_min(status = 'active', rank) AS alive, arg_min(candidate, rank) FILTER (status = 'active') AS related "
-       f"FROM snap JOIN nodes ON id = candidate GROUP BY seq), done AS (SELECT b.*, CASE WHEN created_at + INTERVAL 24 HOUR <= TIMESTAMP '{NOW}' OR (seq % 2 = 1 AND NOT alive) THEN 'expired' "
-       "WHEN seq % 2 = 1 THEN 'merged' ELSE 'inserted' END AS outcome FROM best b JOIN nodes ON id = seq) "
+       f"FROM snap JOIN nodes ON id = candidate GROUP BY seq), done AS (SELECT b.*, CASE WHEN created_at + INTERVAL 24 HOUR <= TIMESTAMP '{NOW}' OR (seq % 4 = 1 AND NOT alive) THEN 'expired' "
+       "WHEN seq % 4 = 1 THEN 'merged' ELSE 'inserted' END AS outcome FROM best b JOIN nodes ON id = seq) "
        "SELECT seq, outcome, CASE outcome WHEN 'merged' THEN nearest WHEN 'inserted' THEN related END AS target FROM done")
 def resolve_pending(spark, sf_dir):
     nodes, parked = waiting(spark, sf_dir)
     late = F.col("created_at") + F.expr("INTERVAL '24' HOUR") <= F.expr(f"timestamp'{NOW}'")
-    verdicts = nodes.select(F.col("id").alias("seq"), F.when(F.col("id") % 2 == 1, "merge").otherwise("distinct").alias("verdict"), late.alias("late"))
+    verdicts = nodes.select(F.col("id").alias("seq"), F.when(F.col("id") % 4 == 1, "merge").otherwise("distinct").alias("verdict"), late.alias("late"))
     return L.resolved(verdicts, parked, nodes)
 
 
-@query(f"{PAIRS_SQL}, top AS (SELECT b AS seq, max(similarity) AS s FROM pairs GROUP BY b) SELECT n.id AS new, n.id - 20 AS old, CASE WHEN o.id IS NULL THEN 'missing' "
-       "WHEN o.status <> 'active' OR s >= 0.9 THEN 'downgraded' WHEN o.type <> n.type THEN 'related' ELSE 'superseded' END AS outcome "
-       "FROM nodes n LEFT JOIN nodes o ON o.id = n.id - 20 LEFT JOIN top ON top.seq = n.id")
+@query(f"{BANDS_SQL} SELECT n.id AS new, n.id - 20 AS old, CASE WHEN o.id IS NULL THEN 'missing' "
+       "WHEN o.status <> 'active' OR band <> 'insert' THEN 'downgraded' WHEN o.type <> n.type THEN 'related' ELSE 'superseded' END AS outcome "
+       "FROM nodes n LEFT JOIN nodes o ON o.id = n.id - 20 LEFT JOIN bands ON seq = n.id")
 def supersede(spark, sf_dir):
+    writes, _, near = incoming(spark, sf_dir)
     nodes = S.nodes(spark, sf_dir)
     asked = nodes.select(F.col("id").alias("new"), (F.col("id") - 20).alias("old"))
-    return L.superseded(asked, nodes, D.banded(nodes, R.near_pairs(nodes, 0.9), 0.9, 0.97))
+    return L.superseded(asked, nodes, D.banded(writes, near, 0.9, 0.97))
 
 
-@query(f"{PAIRS_SQL}, top AS (SELECT b AS id, max(similarity) AS s FROM pairs GROUP BY b) SELECT n.id, CASE WHEN status <> 'active' THEN 'discarded' WHEN n.id % 5 = 0 THEN 'discarded' "
-       "WHEN n.id % 5 = 1 OR (s >= 0.9 AND s < 0.97) THEN 'pending' ELSE 'promoted' END AS status FROM nodes n LEFT JOIN top USING (id)")
+@query(f"{BANDS_SQL} SELECT n.id, CASE WHEN status <> 'active' THEN 'discarded' WHEN n.id % 5 = 0 THEN 'discarded' "
+       "WHEN n.id % 5 = 1 OR band = 'pending' OR band IS NULL THEN 'pending' ELSE 'promoted' END AS status FROM nodes n LEFT JOIN bands ON seq = n.id")
 def inbox_triage(spark, sf_dir):
     nodes = S.nodes(spark, sf_dir)
+    writes, _, near = incoming(spark, sf_dir)
     captured = nodes.select("id", F.when(F.col("status") == "active", "pending").otherwise("discarded").alias("status"))
-    bands = D.banded(nodes, R.near_pairs(nodes, 0.9), 0.9, 0.97).select(F.col("seq").alias("id"), "band")
+    bands = D.banded(writes, near, 0.9, 0.97).select(F.col("seq").alias("id"), "band")
     action = F.when(F.col("id") % 5 == 0, "discard").when(F.col("id") % 5 > 1, "promote")
-    return L.triaged(captured, bands.withColumn("action", action))
+    return L.triaged(captured, nodes.select("id").join(bands, "id", "left").withColumn("action", action))
 
 
 @query(f"{S.NODES_SQL}, u AS (SELECT doc_id * 2 AS id, CASE WHEN doc_id % 3 = 0 THEN 'New title ' || doc_id END AS title FROM documents) SELECT u.id, "

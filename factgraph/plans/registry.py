@@ -1,6 +1,8 @@
 """Registered queries of the fact graph and the SQL that checks them."""
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as X
@@ -10,7 +12,7 @@ from factgraph.operators import maintenance as M
 from factgraph.operators import retrieval as R
 from factgraph.operators import visibility as V
 from factgraph.operators import writes as D
-from factgraph.runtime import table
+from factgraph.runtime import materialize, table
 from factgraph.sources import derived as S
 
 QUERIES, SQL = {}, {}
@@ -120,15 +122,23 @@ def edge_rule_check(spark, sf_dir):
     return M.edge_violations(edges, ids.select("id", F.substring_index("id", ":", 1).alias("type")), rules)
 
 
-@query(f"{S.BUSINESS_SQL}, starts AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), moves AS (SELECT src AS a, dst AS b, src, dst, type FROM edges "
-       "UNION ALL SELECT dst, src, src, dst, type FROM edges WHERE type = 'located_in'), "
-       "w1 AS (SELECT start, 1 AS depth, src, dst, type, b AS node, [start, b] AS path FROM starts JOIN moves ON a = start WHERE b <> start), "
-       "w2 AS (SELECT start, 2 AS depth, m.src, m.dst, m.type, m.b AS node, list_append(path, m.b) AS path FROM w1 JOIN moves m ON m.a = node WHERE NOT list_contains(path, m.b)) "
-       "SELECT start, depth, src, dst, type, node, rn FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, src, dst, type, array_to_string(path, '>')) AS rn FROM "
-       "(SELECT * FROM w1 UNION ALL SELECT * FROM w2)) WHERE rn <= 50")
+def walk_sql(starts, edges, either, depth, limit, direction="out"):
+    """CTEs of a bounded walk: moves, w1 to w<depth>, walked. `starts` and `edges` name CTEs, `either` lists types that go both ways."""
+    back = "true" if direction == "both" else f"type IN ({', '.join(map(repr, either))})"
+    levels = [f"moves AS (SELECT src AS a, dst AS b, src, dst, type FROM {edges} UNION ALL SELECT dst, src, src, dst, type FROM {edges} WHERE {back})",
+              f"w1 AS (SELECT start, 1 AS depth, src, dst, type, b AS node, [start, b] AS path FROM {starts} JOIN moves ON a = start WHERE b <> start)"]
+    levels += [f"w{k} AS (SELECT start, {k} AS depth, m.src, m.dst, m.type, m.b AS node, list_append(path, m.b) AS path FROM w{k - 1} JOIN moves m ON m.a = node WHERE NOT list_contains(path, m.b))"
+               for k in range(2, depth + 1)]
+    union = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, depth + 1))
+    return ", ".join(levels) + (f", walked AS (SELECT start, depth, src, dst, type, node, rn, n > {limit} AS more FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY depth, src, dst, type, "
+                                f"array_to_string(path, '>')) AS rn, count(*) OVER (PARTITION BY start) AS n FROM ({union})) WHERE rn <= {limit})")
+
+
+@query(f"{S.BUSINESS_SQL}, starts AS (SELECT 'c:' || c_custkey AS start FROM customer), {walk_sql('starts', 'edges', ('located_in',), 4, 50)} "
+       "SELECT start, depth, src, dst, type, node, rn, more FROM walked")
 def bounded_walk(spark, sf_dir):
-    starts = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit("c:"), "c_custkey").alias("start"))
-    return G.walk(starts, G.steps(S.business_edges(spark, sf_dir), "out", ("located_in",)), 2, 50)
+    starts = table(spark, sf_dir, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("start"))
+    return G.walk(starts, G.steps(S.business_edges(spark, sf_dir), "out", ("located_in",)), 4, 50)
 
 
 @query(f"{S.BUSINESS_SQL}, m AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), h0 AS (SELECT 's:' || s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 0), "
@@ -186,39 +196,129 @@ def search_batch(spark, sf_dir):
     return R.limited(R.fused(vector, lexical, nodes), 10)
 
 
-@query()
-def search_collapsed(spark, sf_dir):
+NEAR_SQL = """nodes_near AS (SELECT DISTINCT x.request_id, x.id AS a, y.id AS b FROM placed x JOIN placed y ON y.request_id = x.request_id AND x.id <> y.id),
+near AS (SELECT a, b FROM (SELECT a, b, CAST(sum(x.w * y.w) AS DOUBLE) / sqrt(CAST(any_value(p.nn) * any_value(q.nn) AS DOUBLE)) AS similarity FROM (SELECT DISTINCT a, b FROM nodes_near) m
+  JOIN nv x ON x.id = a JOIN nv y ON y.id = b AND y.dim = x.dim JOIN nn p ON p.id = a JOIN nn q ON q.id = b GROUP BY a, b) WHERE similarity >= 0.9),
+told AS (SELECT src AS a, dst AS b FROM doc_edges UNION SELECT dst, src FROM doc_edges), close AS (SELECT a, b FROM near ANTI JOIN told USING (a, b)),
+kept(request_id, place, ids) AS (SELECT request_id, 0, CAST([] AS BIGINT[]) FROM (SELECT DISTINCT request_id FROM placed) UNION ALL
+  SELECT k.request_id, k.place + 1, CASE WHEN EXISTS (SELECT 1 FROM close WHERE a = p.id AND list_contains(k.ids, b)) THEN k.ids ELSE list_append(k.ids, p.id) END
+  FROM kept k JOIN placed p ON p.request_id = k.request_id AND p.place = k.place + 1),
+final AS (SELECT request_id, ids FROM kept QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY place DESC) = 1),
+alone AS (SELECT request_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS place FROM final)"""
+SEARCH_SQL = LEGS_SQL + f", {S.DOC_EDGES_SQL}, {NEAR_SQL}"
+
+
+def searched(spark, sf_dir):
+    """Nodes and all collapsed results, best first."""
     nodes, vector, lexical = legs(spark, sf_dir)
-    found = R.fused(vector, lexical, nodes)
-    hits = nodes.join(found.select("id").distinct(), "id", "left_semi")
-    return R.limited(R.collapsed(found, R.near_pairs(hits, 0.97)), 10)
+    found = materialize(R.fused(vector, lexical, nodes), "fused")
+    pairs = R.undeclared(R.pairs_in_results(found, nodes, 0.9), S.document_edges(spark, sf_dir))
+    return nodes, R.collapsed(found, pairs)
 
 
-PAIRS_SQL = f"""{S.NODES_SQL}, toks AS (SELECT id, type, unnest({TOKENS_SQL.format("title || chr(10) || body")}) AS t FROM nodes),
-v AS (SELECT id, type, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 4096 AS dim, count(*) AS w FROM toks GROUP BY ALL), nn AS (SELECT id, sum(w * w) AS nn FROM v GROUP BY id),
-pairs AS (SELECT a, b, similarity FROM (SELECT x.id AS a, y.id AS b, CAST(sum(x.w * y.w) AS DOUBLE) / sqrt(CAST(any_value(p.nn) * any_value(q.nn) AS DOUBLE)) AS similarity
-  FROM v x JOIN v y ON x.dim = y.dim AND x.type = y.type AND x.id < y.id JOIN nn p ON p.id = x.id JOIN nn q ON q.id = y.id GROUP BY x.id, y.id) WHERE similarity >= 0.9)"""
+@query(f"RECURSIVE {SEARCH_SQL} SELECT request_id, id, score, CAST(a.place AS INT) AS place, count(*) OVER (PARTITION BY request_id) > 10 AS truncated FROM alone a JOIN placed USING (request_id, id) QUALIFY a.place <= 10")
+def search_collapsed(spark, sf_dir):
+    return R.limited(searched(spark, sf_dir)[1], 10)
+
+
+@query(f"RECURSIVE {SEARCH_SQL}, deg AS (SELECT r.principal, e.id, count(*) AS n FROM (SELECT src AS id, dst AS other FROM doc_edges UNION ALL SELECT dst, src FROM doc_edges) e "
+       "JOIN nodes x ON x.id = e.id JOIN nodes y ON y.id = e.other JOIN readable r ON r.scope_id = x.scope_id JOIN readable v ON v.scope_id = y.scope_id AND v.principal = r.principal GROUP BY ALL) "
+       "SELECT request_id, a.id, p.score, CAST(a.place AS INT) AS place, t.truncated, n.type, n.scope_id AS scope, n.title, n.status, n.author, coalesce(d.n, 0) AS edge_count FROM alone a JOIN placed p USING (request_id, id) "
+       "JOIN requests q USING (request_id) JOIN nodes n ON n.id = a.id LEFT JOIN deg d ON d.id = a.id AND d.principal = q.principal "
+       "JOIN (SELECT request_id, count(*) > 10 AS truncated FROM alone GROUP BY request_id) t USING (request_id) WHERE a.place <= 10 AND NOT (q.scope = 'all' AND q.principal = 'p3')")
+def search_enveloped(spark, sf_dir):
+    nodes, found = searched(spark, sf_dir)
+    asked, _ = V.refused_all(S.requests(spark, sf_dir), "principal = 'p3'")
+    edges, may = S.document_edges(spark, sf_dir), access(spark, sf_dir)[1]
+    ends = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
+    scopes = nodes.select("id", "scope_id")
+    seen = ends.join(scopes, "id").join(scopes.withColumnsRenamed({"id": "other", "scope_id": "there"}), "other")
+    both = seen.join(may.select("principal", "scope_id"), "scope_id").join(
+        may.select("principal", F.col("scope_id").alias("there")), ["principal", "there"], "left_semi")
+    degree = both.groupBy("principal", "id").agg(F.count("*").alias("edge_count"))
+    rows = R.limited(found, 10).join(asked.select("request_id", "principal"), "request_id").join(nodes, "id").join(degree, ["principal", "id"], "left")
+    return rows.select("request_id", "id", "score", "place", "truncated", "type", F.col("scope_id").alias("scope"), "title", "status", "author",
+                       F.coalesce("edge_count", F.lit(0)).alias("edge_count"))
+
+
+VECTORS_SQL = f"""{S.NODES_SQL}, toks AS (SELECT id, type, unnest({TOKENS_SQL.format("title || chr(10) || body")}) AS t FROM nodes),
+v AS (SELECT id, type, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 4096 AS dim, count(*) AS w FROM toks GROUP BY ALL), nn AS (SELECT id, sum(w * w) AS nn FROM v GROUP BY id)"""
+PAIRS_SQL = f"""{VECTORS_SQL}, pairs AS (SELECT a, b, similarity FROM (SELECT x.id AS a, y.id AS b, CAST(sum(x.w * y.w) AS DOUBLE) / sqrt(CAST(any_value(p.nn) * any_value(q.nn) AS DOUBLE)) AS similarity
+  FROM v x JOIN v y ON x.dim = y.dim AND x.type = y.type AND x.id < y.id JOIN nn p ON p.id = x.id JOIN nn q ON q.id = y.id GROUP BY x.id, y.id) WHERE similarity >= 0.9),
+reps AS (SELECT id, min(id) OVER (PARTITION BY type, title, body) AS rep FROM nodes)"""
+BANDS_SQL = f"""{PAIRS_SQL}, {S.SCOPES_SQL}, sets AS (SELECT id AS seq, scope_id FROM nodes WHERE id % 2 = 1 UNION SELECT n.id, r.scope_id FROM nodes n JOIN readable r ON r.principal = n.author AND r.ambient WHERE n.id % 2 = 1),
+near AS (SELECT p.seq, candidate, similarity, row_number() OVER (PARTITION BY p.seq ORDER BY similarity DESC, candidate) AS rank FROM (SELECT a AS seq, b AS candidate, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs) p
+  JOIN nodes s ON s.id = candidate AND s.status = 'active' AND s.id % 2 = 0 JOIN sets ON sets.seq = p.seq AND sets.scope_id = s.scope_id WHERE p.seq % 2 = 1),
+bands AS (SELECT id AS seq, candidate, similarity, CASE WHEN similarity >= 0.97 THEN 'merge' WHEN similarity >= 0.9 THEN 'pending' ELSE 'insert' END AS band
+  FROM (SELECT id FROM nodes WHERE id % 2 = 1) LEFT JOIN (SELECT * FROM near WHERE rank = 1) ON seq = id)"""
+
+
+def incoming(spark, sf_dir):
+    """(writes, store, candidates): facts of odd id written to those of even id, each in the writer's scopes."""
+    nodes = S.nodes(spark, sf_dir)
+    writes, store = nodes.filter("id % 2 = 1"), nodes.filter("id % 2 = 0")
+    ambient = access(spark, sf_dir)[1].filter("ambient").select(F.col("principal").alias("author"), "scope_id")
+    sets = writes.select(F.col("id").alias("seq"), "scope_id").union(
+        writes.select(F.col("id").alias("seq"), "author").join(ambient, "author").select("seq", "scope_id")).distinct()
+    return writes, store, materialize(D.candidates(writes, store, sets, 0.9), "candidates")
 
 
-@query(f"{PAIRS_SQL} SELECT a, b, similarity FROM pairs")
+@query(f"{PAIRS_SQL} SELECT 'pair' AS kind, a, b, similarity FROM pairs WHERE a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps) UNION ALL SELECT 'copy', rep, id, 1e0 FROM reps WHERE id <> rep")
 def similarity_join(spark, sf_dir):
-    return R.near_pairs(S.nodes(spark, sf_dir), 0.9)
+    nodes = S.nodes(spark, sf_dir)
+    members = materialize(R.text_classes(nodes), "members")
+    pairs = R.near_pairs(nodes.join(members.filter("id = rep").select("id"), "id", "left_semi"), 0.9)
+    return pairs.select(F.lit("pair").alias("kind"), "a", "b", "similarity").union(
+        members.filter("id <> rep").select(F.lit("copy"), "rep", "id", F.lit(1.0)))
 
 
-@query(f"{PAIRS_SQL}, top AS (SELECT b AS seq, a AS candidate, similarity FROM pairs QUALIFY row_number() OVER (PARTITION BY b ORDER BY similarity DESC, a) = 1) "
-       "SELECT id AS seq, candidate, similarity, CASE WHEN similarity >= 0.97 THEN 'merge' WHEN similarity >= 0.9 THEN 'pending' ELSE 'insert' END AS band FROM nodes LEFT JOIN top ON seq = id")
+@query(f"{BANDS_SQL} SELECT seq, candidate, similarity, band FROM bands")
 def band_writes(spark, sf_dir):
-    nodes = S.nodes(spark, sf_dir)
-    return D.banded(nodes, R.near_pairs(nodes, 0.9), 0.9, 0.97)
+    writes, _, near = incoming(spark, sf_dir)
+    return D.banded(writes, near, 0.9, 0.97)
 
 
-@query()
+OUTCOMES_SQL = f"""{BANDS_SQL}, {S.DOC_EDGES_SQL}, words AS (SELECT id, unnest(list_distinct({TOKENS_SQL.format("body")})) AS token FROM nodes),
+merges AS (SELECT seq, candidate FROM bands WHERE band = 'merge'), cluster AS (SELECT candidate, candidate AS peer FROM merges UNION SELECT src, dst FROM doc_edges UNION SELECT dst, src FROM doc_edges),
+corpus AS (SELECT DISTINCT candidate, token FROM cluster JOIN words ON id = peer WHERE peer % 2 = 0), counts AS (SELECT m.seq, (SELECT count(*) FROM words w WHERE w.id = m.seq) AS n,
+  (SELECT count(*) FROM corpus c WHERE c.candidate = m.candidate) AS size, (SELECT count(*) FROM words w JOIN corpus c USING (token) WHERE w.id = m.seq AND c.candidate = m.candidate) AS shared FROM merges m),
+outcomes AS (SELECT b.seq, candidate, similarity, CASE WHEN band <> 'merge' THEN band WHEN n + size > 0 AND shared / (n + size - shared) < 0.8 THEN 'merge_linked' ELSE 'merged' END AS outcome FROM bands b LEFT JOIN counts USING (seq))"""
+
+
+def outcomes(spark, sf_dir):
+    writes, store, near = incoming(spark, sf_dir)
+    edges = S.document_edges(spark, sf_dir)
+    peers = edges.select(F.col("src").alias("id"), F.col("dst").alias("peer")).union(edges.select("dst", "src"))
+    return writes, store, D.with_novelty(D.banded(writes, near, 0.9, 0.97), writes, store, peers)
+
+
+@query(f"{OUTCOMES_SQL} SELECT seq, candidate, similarity, outcome FROM outcomes")
 def band_outcomes(spark, sf_dir):
-    nodes = S.nodes(spark, sf_dir)
-    return D.with_novelty(D.banded(nodes, R.near_pairs(nodes, 0.9), 0.9, 0.97), nodes)
+    return outcomes(spark, sf_dir)[2]
+
+
+@query(f"{OUTCOMES_SQL}, o AS (SELECT outcomes.*, n.type, CASE WHEN seq % 3 = 0 THEN '2024' END AS happened_at FROM outcomes JOIN nodes n ON n.id = seq) SELECT 'rows' AS output, count(*) AS n FROM o WHERE outcome IN ('insert', 'merge_linked') "
+       "UNION ALL SELECT 'edges', count(*) FROM o WHERE outcome = 'merge_linked' AND type IN ('en', 'de', 'error') UNION ALL SELECT 'addenda', count(*) FROM o WHERE outcome = 'merged' AND type = 'error' AND happened_at IS NOT NULL "
+       "UNION ALL SELECT 'parked', count(*) FROM o WHERE outcome = 'pending' UNION ALL SELECT 'log', count(*) FROM o")
+def write_effects(spark, sf_dir):
+    writes, _, ends = outcomes(spark, sf_dir)
+    writes = writes.withColumn("happened_at", F.when(F.col("id") % 3 == 0, "2024"))
+    made = D.effects(materialize(ends, "outcomes"), writes, spark.sql("SELECT * FROM VALUES ('en'), ('de'), ('error') AS t(type)"))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("output"), "n") for k, df in made.items()]
+    return reduce(DataFrame.union, parts)
 
 
 @query()
+def sequential_writes(spark, sf_dir):
+    """Facts of odd id written one after another to those of even id."""
+    nodes = S.nodes(spark, sf_dir)
+    edges = S.document_edges(spark, sf_dir)
+    peers = edges.select(F.col("src").alias("id"), F.col("dst").alias("peer")).union(edges.select("dst", "src"))
+    return D.sequential(nodes.filter("id % 2 = 1"), nodes.filter("id % 2 = 0"), peers, 0.9, 0.97)
+
+
+@query(f"RECURSIVE {PAIRS_SQL}, e AS (SELECT a, b FROM pairs WHERE similarity >= 0.95 UNION SELECT b, a FROM pairs WHERE similarity >= 0.95), "
+       "reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY id")
 def similarity_components(spark, sf_dir):
     return D.clusters(S.nodes(spark, sf_dir), 0.95)
 
@@ -325,13 +425,13 @@ def latest_snapshot(spark, sf_dir):
     return M.latest(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id "
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id "
        "WHERE a.vec_id % 20 = 0 AND list_dot_product(a.e, b.e) >= 0.3")
 def dense_neighbours(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     a = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("ea"))
     b = rows.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("eb"))
-    return a.join(b, "label").filter("a < b").filter(X.cosine(F.col("ea"), F.col("eb")) >= 0.3).select("a", "b")
+    return a.join(b, "label").filter("a <> b").filter(X.cosine(F.col("ea"), F.col("eb")) >= 0.3).select("a", "b")
 
 
 @query("SELECT url_id AS id, slug FROM (SELECT page_id AS url_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 63) AS slug FROM pages)")

@@ -1,12 +1,15 @@
 """Session helpers: table paths and lineage cuts in the folder that all executors share."""
 
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CUTTING = threading.RLock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The session's checkpoint folder; a temporary one only where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -25,12 +31,13 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: a lineage cut that outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")  # the table holds the result; its shuffle files are of no more use
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    with CUTTING:  # cuts of one process take turns, since each changes the session's setting for a while
+        before = spark.conf.get(CLEAN, None)
+        spark.conf.set(CLEAN, "true")  # the table holds the result; its shuffle files are of no more use
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.functions.text import heading
 from factgraph.runtime import table
 
 AS_OF = "2024-02-01 00:00:00"
@@ -15,7 +16,7 @@ def nodes(spark, sf_dir) -> DataFrame:
     toxic = labels.filter("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
     return docs.join(toxic, "doc_id", "left").select(
         F.lit("s1").alias("space_id"), F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.col("source").alias("scope_id"),
-        F.substring("text", 1, 200).alias("title"), F.substring("text", 1, 8000).alias("body"), "n_chars",
+        heading(F.col("text")).alias("title"), F.coalesce("text", F.lit("")).alias("body"), "n_chars",
         F.when(F.col("toxic"), "archived").otherwise("active").alias("status"),
         F.concat(F.lit("p"), F.col("doc_id") % 5).alias("author"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, doc_id, 0)").alias("created_at"))
@@ -77,8 +78,10 @@ def usage_events(spark, sf_dir) -> DataFrame:
                                                  F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-NODES_SQL = """nodes AS (SELECT 's1' AS space_id, doc_id AS id, lang AS type, source AS scope_id, substr(text, 1, 200) AS title,
-  substr(text, 1, 8000) AS body, n_chars, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'archived' ELSE 'active' END AS status,
+HEADING_SQL = r"""(SELECT CASE WHEN h IS NULL OR h = '' THEN 'untitled' WHEN length(h) > 200 THEN substr(h, 1, 199) || '…' ELSE h END
+  FROM (SELECT regexp_extract({0}, '^[ \t\n\r]*([^.!?\n]*[.!?]?)', 1) AS h))"""
+NODES_SQL = """nodes AS (SELECT 's1' AS space_id, doc_id AS id, lang AS type, source AS scope_id, """ + HEADING_SQL.format("text") + """ AS title,
+  coalesce(text, '') AS body, n_chars, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'archived' ELSE 'active' END AS status,
   'p' || (doc_id % 5) AS author, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS created_at FROM documents)"""
 SCOPES_SQL = """scopes AS (SELECT source AS scope_id, i, 'p' || (i % 5) AS owner,
   CASE i % 3 WHEN 0 THEN 'private' WHEN 1 THEN 'team-read' ELSE 'team-write' END AS visibility, i % 10 = 0 AS ambient, i = 19 AS archived
@@ -98,5 +101,6 @@ BUSINESS_SQL = """edges AS (SELECT DISTINCT 'o:' || o_orderkey AS src, 'c:' || o
   UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey, 'supplied_by' FROM lineitem
   UNION ALL SELECT DISTINCT 'c:' || c_custkey, 'n:' || c_nationkey, 'located_in' FROM customer)"""
 DOC_EDGES_SQL = """doc_edges AS (SELECT a.doc_id AS src, b.doc_id AS dst, 'relates_to' AS type
-  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 20 AND a.source = b.source)"""
+  FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM (SELECT DISTINCT source, doc_id FROM documents WHERE source IS NOT NULL)) a
+  JOIN (SELECT DISTINCT doc_id FROM documents) b ON b.doc_id = a.next)"""
 USAGE_SQL = "usage AS (SELECT event_id, 'u' || user_id AS principal, event_type, ts, value FROM events)"

@@ -1,4 +1,8 @@
+import collections
+import hashlib
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,11 +102,74 @@ def test_similarity_join_is_exact(spark):
     assert got == {k: v for k, v in every.items() if v >= 0.7} and len(got) >= 10
 
 
+def cosine(a, b):
+    def dims(text):
+        out = collections.Counter()
+        for t in re.findall(r"[^\W_]+", text.lower()):
+            out[int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 4096] += 1
+        return out
+    x, y = dims(a), dims(b)
+    return sum(n * y[d] for d, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()) or 1)
+
+
+def one_by_one(writes_, store, low, high):
+    """The outcomes of writes in order, by a plain loop."""
+    rows, links, out = {i: (t, x) for i, t, x in store}, collections.defaultdict(set), {}
+    bodies = {i: x for i, _, x in store} | {i: x for i, _, x in writes_}
+    for i, kind, text in writes_:
+        own = text + "\n" + text
+        near = sorted((-cosine(own, x + "\n" + x), k) for k, (t, x) in rows.items() if t == kind)
+        near = [(-s, k) for s, k in near if -s >= low]
+        if not near or near[0][0] < high:
+            out[i] = ("pending", near[0][1]) if near else ("insert", None)
+        else:
+            c = near[0][1]
+            corpus = set().union(*(re.findall(r"[^\W_]+", bodies[k].lower()) for k in {c} | links[c]))
+            mine = set(re.findall(r"[^\W_]+", text.lower()))
+            novel = len(mine & corpus) / len(mine | corpus) < 0.8 if mine | corpus else False
+            out[i] = ("merge_linked" if novel else "merged", c)
+            if novel:
+                links[i].add(c)
+                links[c].add(i)
+        if out[i][0] in ("insert", "merge_linked"):
+            rows[i] = (kind, text)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_sequential_writes_equal_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(30)]
+    base = [rng.choices(words, k=rng.randint(3, 14)) for _ in range(6)]
+    texts = []
+    for k in range(60):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
+            t.insert(rng.randrange(len(t) + 1), rng.choice(words) if rng.random() < 0.5 else f"n{k}")
+        texts.append(" ".join(t))
+    rows = [(k, rng.choice(["x", "x", "y"]), t) for k, t in enumerate(texts)]
+    store, new = [(k + 1000, t, x) for k, t, x in rows[:8]], rows[8:]
+    schema = "id long, type string, title string, body string, status string"
+    frame = lambda some: spark.createDataFrame([(k, t, x, x, "active") for k, t, x in some], schema)
+    none = spark.createDataFrame([], "id long, peer long")
+    got = writes.sequential(frame(new), frame(store), none, 0.7, 0.9)
+    want = one_by_one(new, store, 0.7, 0.9)
+    assert {r.seq: (r.outcome, r.candidate) for r in got.collect()} == want
+    assert {x for x, _ in want.values()} == {"insert", "pending", "merged", "merge_linked"}
+
+
 def test_outcomes(spark):
-    nodes = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, "alpha beta gamma delta")], "id long, body string")
-    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 0.98)], "a long, b long, similarity double")
-    got = {r.seq: r.outcome for r in writes.with_novelty(writes.banded(nodes, pairs, 0.9, 0.97), nodes).collect()}
-    assert got == {1: "insert", 2: "merged", 3: "merge_linked"}
+    store = spark.createDataFrame([(1, "alpha beta", "active"), (9, "gamma delta", "archived")], "id long, body string, status string")
+    new = spark.createDataFrame([(2, "alpha beta"), (3, "alpha beta gamma delta"), (4, "")], "id long, body string")
+    near = spark.createDataFrame([(2, 1, 1.0, 1), (3, 1, 0.98, 1)], "seq long, candidate long, similarity double, rank int")
+    bands = writes.banded(new, near, 0.9, 0.97)
+    none = spark.createDataFrame([], "id long, peer long")
+    assert {r.seq: r.outcome for r in writes.with_novelty(bands, new, store, none).collect()} == {2: "merged", 3: "merge_linked", 4: "insert"}
+    peers = spark.createDataFrame([(1, 9)], "id long, peer long")  # an archived peer counts
+    outcomes = writes.with_novelty(bands, new, store, peers)
+    assert {r.seq: r.outcome for r in outcomes.collect()} == {2: "merge_linked", 3: "merged", 4: "insert"}
+    left = writes.effects(outcomes, new.withColumn("type", F.lit("error")).withColumn("happened_at", F.lit("2024")), spark.sql("SELECT 'error' AS type"))
+    assert rows(left["edges"]) == [(2, 1, "same_topic")] and rows(left["addenda"]) == [(1, 3)] and left["rows"].count() == 2 and left["log"].count() == 3
 
 
 def test_conformance_order_of_errors(spark):
