@@ -1,10 +1,11 @@
 """Table audits: constraints, conformance, drift and content matches, as rows that name what is wrong."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.functions import attrs as A
+from factgraph.functions import text as X
+
 
 def violations(df: DataFrame, key: str, rules: dict[str, str]) -> DataFrame:
     """(id, rule) for each rule, an SQL predicate of what must hold, that a row breaks; an unknown result breaks it."""
@@ -16,7 +17,7 @@ def edge_violations(edges: DataFrame, types: DataFrame, rules: DataFrame) -> Dat
     """(src, dst, type, reason): self loops, missing ends, and end types that no rule allows."""
     a, b = types.select(F.col("id").alias("src"), F.col("type").alias("ta")), types.select(F.col("id").alias("dst"), F.col("type").alias("tb"))
     legal = rules.select("type", F.col("src_type").alias("ta"), F.col("dst_type").alias("tb"), F.lit(True).alias("legal"))
-    rows = edges.join(a, "src", "left").join(b, "dst", "left").join(F.broadcast(legal), ["type", "ta", "tb"], "left")
+    rows = edges.join(a, "src", "left").join(b, "dst", "left").join(legal, ["type", "ta", "tb"], "left")
     reason = F.when(F.col("src") == F.col("dst"), "self loop").when(F.col("ta").isNull() | F.col("tb").isNull(), "missing end").when(
         F.col("legal").isNull(), "no rule")
     return rows.select("src", "dst", "type", reason.alias("reason")).filter("reason IS NOT NULL")
@@ -58,6 +59,26 @@ def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
     return log.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).filter("rn = 1").drop("rn")
 
 
-def summary(parts: dict[str, DataFrame]) -> DataFrame:
-    """(check, n): row counts of named tables."""
-    return reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in parts.items()])
+def reembed_summary(nodes: DataFrame, stamp: str) -> DataFrame:
+    """(scope_id, scanned, current, stale, surface_changed, to_embed) of nodes with stamp, surface and stored_surface."""
+    stale, changed = F.col("stamp") != stamp, ~F.col("surface").eqNullSafe(F.col("stored_surface"))
+
+    def n(c):
+        return F.sum(c.cast("long"))
+
+    return nodes.groupBy("scope_id").agg(
+        F.count("*").alias("scanned"), n(~stale).alias("current"), n(stale).alias("stale"), n(changed).alias("surface_changed"),
+        n(stale | changed).alias("to_embed"))
+
+
+def reembedded(nodes: DataFrame, stamp: str, embed=None, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(id, dim, w, stamp) of nodes whose stamp or surface is out of date; rows that are current are not read further.
+
+    embed takes (id, text) and gives (id, dim, w); the default hashes tokens. A run that is repeated after its result
+    was stored finds nothing to do.
+    """
+    due = nodes.filter((F.col("stamp") != stamp) | ~F.col("surface").eqNullSafe(F.col("stored_surface")))
+    text = A.prefixed(A.searchable_text(F.col("title"), F.col("body"), F.col("surface")), "document", prefixes or {})
+    rows = due.select("id", text.alias("text"))
+    vectors = embed(rows) if embed else X.hashed_vectors(rows, "id", F.col("text"))
+    return vectors.withColumn("stamp", F.lit(stamp))

@@ -383,8 +383,7 @@ def first_seen(spark, sf_dir):
 def recall_at_k(spark, sf_dir):
     nodes, vector, lexical = legs(spark, sf_dir)
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    evidence = docs.join(F.broadcast(bench.withColumnRenamed("text", "q")), F.expr("contains(text, q)")).select(
-        F.col("item_id").alias("request_id"), F.col("doc_id").alias("id"))
+    evidence = E.evidence_of(bench.select(F.col("item_id").alias("request_id"), F.col("text").alias("q")), docs.select(F.col("doc_id").alias("id"), "text"))
     return E.recall_at(R.fused(vector, lexical, nodes), evidence, (1, 5, 10, 30))
 
 
