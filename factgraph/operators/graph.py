@@ -111,3 +111,29 @@ def summaries(edges: DataFrame, k: int = 10) -> DataFrame:
         edges.select(F.col("dst"), F.lit("in"), "type", F.col("src")))
     order = Window.partitionBy("id", "direction").orderBy("peer", "type")
     return both.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("rn")
+
+
+def neighbour_links(ids: DataFrame, edges: DataFrame, titles: DataFrame, k: int = 5) -> DataFrame:
+    """(id, direction, type, peer, title): the first k edges of each node by direction, type and peer, with the peer's title."""
+    both = edges.select(F.col("src").alias("id"), F.lit("out").alias("direction"), "type", F.col("dst").alias("peer")).union(
+        edges.select("dst", F.lit("in"), "type", "src"))
+    order = Window.partitionBy("id").orderBy("direction", "type", "peer")
+    rows = both.join(ids.select("id").distinct(), "id", "left_semi").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("rn")
+    return rows.join(titles.select(F.col("id").alias("peer"), "title"), "peer").select("id", "direction", "type", "peer", "title")
+
+
+def beyond_hits(hits: DataFrame, moves: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
+    """(request_id, id, depth): nodes that walks from a request's hits reach and that are no hits of it, at their least depth."""
+    starts = hits.select(F.col("id").alias("start")).distinct()
+    reached = hydrated(walk(starts, moves, depth, limit), starts, nodes, roots)
+    rows = hits.select("request_id", F.col("id").alias("start")).join(reached, "start").filter("depth > 0")
+    return rows.groupBy("request_id", "id").agg(F.min("depth").alias("depth")).join(hits.select("request_id", "id"), ["request_id", "id"], "left_anti")
+
+
+def combined(first: DataFrame, second: DataFrame, limit: int = 12) -> DataFrame:
+    """(request_id, id, source, place): rows (request_id, id, place) of two retrievals, the first ones before, each id once."""
+    rows = first.select("request_id", "id", "place", F.lit(0).alias("s")).union(second.select("request_id", "id", "place", F.lit(1)))
+    once = rows.groupBy("request_id", "id").agg(F.min(F.struct("s", "place")).alias("x"))
+    order = Window.partitionBy("request_id").orderBy("x.s", "x.place", "id")
+    return once.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= limit).select(
+        "request_id", "id", F.when(F.col("x.s") == 0, "briefing").otherwise("search").alias("source"), F.col("rn").alias("place"))
