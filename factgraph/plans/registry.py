@@ -199,10 +199,11 @@ def search_batch(spark, sf_dir):
 NEAR_SQL = """nodes_near AS (SELECT DISTINCT x.request_id, x.id AS a, y.id AS b FROM placed x JOIN placed y ON y.request_id = x.request_id AND x.id <> y.id),
 near AS (SELECT a, b FROM (SELECT a, b, CAST(sum(x.w * y.w) AS DOUBLE) / sqrt(CAST(any_value(p.nn) * any_value(q.nn) AS DOUBLE)) AS similarity FROM (SELECT DISTINCT a, b FROM nodes_near) m
   JOIN nv x ON x.id = a JOIN nv y ON y.id = b AND y.dim = x.dim JOIN nn p ON p.id = a JOIN nn q ON q.id = b GROUP BY a, b) WHERE similarity >= 0.9),
-told AS (SELECT src AS a, dst AS b FROM doc_edges UNION SELECT dst, src FROM doc_edges), close AS (SELECT a, b FROM near ANTI JOIN told USING (a, b)),
+told AS (SELECT src AS a, dst AS b FROM doc_edges UNION SELECT dst, src FROM doc_edges), close AS (SELECT a AS id, list(b) AS peers FROM near ANTI JOIN told USING (a, b) GROUP BY a),
+lined AS MATERIALIZED (SELECT request_id, p.id, place, coalesce(peers, CAST([] AS BIGINT[])) AS peers FROM placed p LEFT JOIN close c ON c.id = p.id),
 kept(request_id, place, ids) AS (SELECT request_id, 0, CAST([] AS BIGINT[]) FROM (SELECT DISTINCT request_id FROM placed) UNION ALL
-  SELECT k.request_id, k.place + 1, CASE WHEN EXISTS (SELECT 1 FROM close WHERE a = p.id AND list_contains(k.ids, b)) THEN k.ids ELSE list_append(k.ids, p.id) END
-  FROM kept k JOIN placed p ON p.request_id = k.request_id AND p.place = k.place + 1),
+  SELECT k.request_id, k.place + 1, CASE WHEN list_has_any(k.ids, p.peers) THEN k.ids ELSE list_append(k.ids, p.id) END
+  FROM kept k JOIN lined p ON p.request_id = k.request_id AND p.place = k.place + 1),
 final AS (SELECT request_id, ids FROM kept QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY place DESC) = 1),
 alone AS (SELECT request_id, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS place FROM final)"""
 SEARCH_SQL = LEGS_SQL + f", {S.DOC_EDGES_SQL}, {NEAR_SQL}"
