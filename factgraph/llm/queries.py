@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from factgraph.llm import bpe, chat, decontamination, pii, quality, secrets, sharding, simhash, substrings, urls
+from factgraph.llm import bpe, chat, classifier, decontamination, pii, quality, resampling, secrets, sharding, simhash, substrings, urls, variants
 from factgraph.runtime import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -52,7 +52,23 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    """Every document's n-gram weight towards the benchmark texts, its score, and its rank if it is among the 5 % drawn."""
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Every frequent word with its number of near words, its form and its root."""
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark, sf_dir):
+    """Every document's quality score, learnt from the labelled rows that are not held out."""
+    return classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_byte_level_bpe, op3_simhash_near_dedup, op4_quality_rules, op5_pii,
-    op6_benchmark_decontamination, op7_url_filters, op8_sharding, op9_substring_dedup, op10_secret_scans)}
+    op6_benchmark_decontamination, op7_url_filters, op8_sharding, op9_substring_dedup, op10_secret_scans,
+    op11_importance_resampling, op12_spelling_variants, op13_quality_classifier)}
 SQL = {"op7_url_filters": urls.OP7_SQL}
