@@ -7,7 +7,6 @@ them (a phone without its plus, a spelled-out mail address) teach what the patte
 """
 
 import bisect
-import functools
 import re
 
 import numpy as np
@@ -199,12 +198,20 @@ def mail_features(tokens, i, j, form, dots, wide):
         f"y{j < len(tokens) and tokens[j][0].lower() in ('dot', '[', '(', '{', '-')}", "one")]
 
 
-@functools.lru_cache(1 << 14)
+#: Places of names seen so far, so many at most; a plain dict, since a decorated function is pickled by its name only.
+PLACES, MOST_PLACES = {}, 1 << 14
+
+
 def stable(name: str) -> int:
+    if name in PLACES:
+        return PLACES[name]
     h = 2166136261
     for c in name.encode():
         h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return h % FEATURES
+    if len(PLACES) >= MOST_PLACES:
+        PLACES.clear()
+    PLACES[name] = h % FEATURES
+    return PLACES[name]
 
 
 def logsum(x, axis=None):

@@ -3,8 +3,8 @@
 The classifier is a logistic regression over hashed word n-grams (1 and 2 words) and character n-grams (3 to 5
 code points), each family as shares of the text's n-grams, so a text's length does not matter. It is trained on
 a bounded sample of labelled rows, calibrated by Platt scaling on a held-out fifth, and scores Arrow batches.
-Texts are featurised whole in the tasks; what reaches the driver is a sparse vector of 2**BITS places at most
-for each row of the sample.
+Texts are featurised whole in the tasks and written as sparse vectors; what reaches the driver are sums of 2**BITS
+places, one for each of the sample's PARTS partitions and round.
 """
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.llm.batches import steps
+from factgraph.runtime import discard, materialize
 
 #: Labelled rows the classifier is fitted on at most.
 SAMPLE_ROWS = 1_500
@@ -21,6 +22,8 @@ SAMPLE_ROWS = 1_500
 KEEP_AT = 0.5
 #: Bytes of text that a step handles at once, and n-grams that are hashed at once, of whatever text.
 STEP, CHUNK = 1 << 18, 1 << 17
+#: Partitions of the sample.
+PARTS = 6
 BITS, FAMILIES = 18, 5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\f"
@@ -159,49 +162,65 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.bincount(to, np.concatenate(shares), len(at)).astype(np.float32)
 
 
-def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 40) -> Classifier | None:
-    """None where the sample lacks one of the two labels. The list of vectors is emptied."""
-    y = np.array(labels, float)
-    if len(set(labels)) < 2:
-        return None
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    weight = np.where(held, 0, np.where(y == 1, 0.5 / max(1, y[~held].sum()), 0.5 / max(1, (1 - y[~held]).sum())))
-    w, bias, square, slope = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
-
-    ends = np.cumsum([len(at) for at, _ in vectors])
-    col, val = np.concatenate([at for at, _ in vectors]), np.concatenate([share for _, share in vectors])
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends, prepend=0))
-    vectors.clear()  # the arrays above hold all of it
-    parts = [slice(i, i + (1 << 20)) for i in range(0, len(col), 1 << 20)]
+def fit(sample: DataFrame, rounds: int = 40) -> Classifier | None:
+    """The classifier of a table (quality, held, places, shares) of vector() rows; None where it lacks one of the two labels.
 
-    def raw():
-        out = np.zeros(len(y))
-        for x in parts:
-            out += np.bincount(row[x], w[col[x]] * val[x], len(y))
-        return out
+    Each round is a job over the table whose tasks add up the gradient of their rows, so neither the driver nor a task
+    holds more than one vector and 2**BITS sums besides the weights. Rows of `held` calibrate, if both labels are among them.
+    """
+    sizes = {(x.quality, x.held): x.n for x in sample.groupBy("quality", "held").agg(F.count("*").alias("n")).collect()}  # four at most
+    n = [[sizes.get((q, h), 0) for h in (False, True)] for q in (0, 1)]
+    if not all(map(sum, n)):
+        return None
+    whole = not all(map(all, n))  # too few rows to hold some out
+    share = [0.5 / (sum(x) if whole else x[0]) for x in n]
+
+    def raw_scores(batch, w):
+        vectors = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(batch.column("places").to_pylist(), batch.column("shares").to_pylist())]
+        return vectors, np.array([float(w[a] @ v) for a, v in vectors])
+
+    def gradient(w, bias):
+        def run(batches):
+            g, slope = np.zeros(1 << BITS), 0.0
+            for part in batches:
+                for batch in (part.slice(i, 16) for i in range(0, part.num_rows, 16)):
+                    y = np.asarray(batch.column("quality").to_pylist(), float)
+                    held = np.asarray(batch.column("held").to_pylist()) & (not whole)
+                    vectors, score = raw_scores(batch, w)
+                    error = (1 / (1 + np.exp(-np.clip(score + bias, -30, 30))) - y) * np.where(held, 0, np.where(y == 1, share[1], share[0]))
+                    for (at, v), e in zip(vectors, error):
+                        if e:
+                            g[at] += e * v
+                    slope += error.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([slope])], names=["g", "slope"])
+
+        parts = sample.mapInArrow(run, "g binary, slope double").collect()  # one row for each of the table's few partitions
+        return sum(np.frombuffer(x.g) for x in parts), sum(x.slope for x in parts)
 
+    w, bias, square, slope = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
     for _ in range(rounds):  # AdaGrad
-        p = 1 / (1 + np.exp(-np.clip(raw() + bias, -30, 30)))
-        error = (p - y) * weight
-        g = np.zeros(1 << BITS)
-        for x in parts:
-            g += np.bincount(col[x], error[row[x]] * val[x], 1 << BITS)
+        g, own = gradient(w.astype(np.float32), bias)
         square += g * g
         w -= g / np.sqrt(square)
-        slope += error.sum() ** 2
-        bias -= 0.5 * error.sum() / np.sqrt(slope)
-    score = raw()
-    use = held if held.any() else ~held
-    s, t = score[use], y[use]
+        slope += own ** 2
+        bias -= 0.5 * own / np.sqrt(slope)
+    weights = w.astype(np.float32)
+
+    def run(batches):
+        for part in batches:
+            for batch in (part.slice(i, 16) for i in range(0, part.num_rows, 16)):
+                yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(raw_scores(batch, weights)[1])], names=["quality", "score"])
+
+    use = sample if whole else sample.filter("held")
+    found = use.mapInArrow(run, "quality int, score double").collect()  # two numbers for each row of the bounded sample
+    s, t = np.array([x.score for x in found]), np.array([x.quality for x in found], float)
     s0, sd = s.mean(), s.std() or 1.0
     s = (s - s0) / sd
     a, b = 1.0, 0.0
     for _ in range(500):  # Platt scaling
         e = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30))) - t
         a, b = a - 0.5 * ((e * s).mean() + 0.001 * a), b - 0.5 * e.mean()
-    return Classifier(w.astype(np.float32), a / sd, b - a * s0 / sd)
+    return Classifier(weights, a / sd, b - a * s0 / sd)
 
 
 def known_labels(labels: DataFrame) -> DataFrame:
@@ -222,19 +241,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
             for k, x in enumerate(texts):
                 at, share = vector(x)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(k, 1).columns[:2], pa.array([xxhash.xxh3_64_intdigest(x) >> 1], pa.int64()),
+                    [batch.slice(k, 1).column(1), pa.array([xxhash.xxh3_64_intdigest(x) % 5 == 4]),
                      pa.array([at.tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())],
-                    names=["doc_id", "quality", "hash", "places", "shares"])
+                    names=["quality", "held", "places", "shares"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sampled_labels(labels, rows)), "doc_id")
     chosen = chosen.filter("text IS NOT NULL").groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min("text").alias("text"))
-    found = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, hash long, places binary, shares binary")
-    found = sorted(found.collect(), key=lambda x: (x["hash"], x.doc_id))  # `rows` rows at most
-    rng = np.random.default_rng(7)
-    found = [found[i] for i in rng.permutation(len(found))]
-    qualities, vectors = [x.quality for x in found], [(np.frombuffer(x.places, np.int32), np.frombuffer(x.shares, np.float32)) for x in found]
-    del found
-    return fit(vectors, qualities)
+    found = chosen.mapInArrow(run, "quality int, held boolean, places binary, shares binary")
+    sample = materialize(found.repartition(PARTS), "sample")
+    model = fit(sample)
+    discard(sample)
+    return model
 
 
 def held_out(docs: DataFrame, labels: DataFrame, model: Classifier, rows: int = SAMPLE_ROWS, bins: int = 10) -> DataFrame:
