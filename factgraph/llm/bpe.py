@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factgraph.llm.batches import lists, steps
 
 #: Bytes of each of an encoder's two cache generations, with ENTRY for an entry beside its text and ids.
-CACHE, ENTRY = 8 << 20, 240
+CACHE, ENTRY = 48 << 20, 240
 #: Bytes of text that the encoder handles at once, and of uncached pre-tokens that one queue serves.
 STEP = 1 << 18
 NONE = 1 << 30
