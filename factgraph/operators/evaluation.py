@@ -235,7 +235,7 @@ def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def drafts(turns: DataFrame, size: int = 80) -> DataFrame:
     """(conv_id, turn, title, body): one node of each turn; a long title ends at a word."""
-    cut = F.regexp_replace(F.substring("text", 1, size), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.substring("text", 1, size), r"\s+\S*\z", "")
     title = F.when(F.length("text") <= size, F.col("text")).when(cut == "", F.substring("text", 1, size)).otherwise(cut)
     return turns.select("conv_id", "turn", title.alias("title"), F.col("text").alias("body"))
 

@@ -6,7 +6,7 @@ from factgraph.functions import attrs as A
 from factgraph.operators import evaluation as E
 from factgraph.operators import retrieval as R
 from factgraph.plans.registry import LEGS_SQL, PAIRS_SQL, legs, query
-from factgraph.runtime import table
+from factgraph.runtime import materialize, table
 from factgraph.sources import derived as S
 
 ANSWERS_SQL = ("answers AS (SELECT d.doc_id AS item, 'arm' || (d.doc_id % 2) AS arm, lang AS category, CAST(quality AS BIGINT) AS correct, CAST(toxic AS BIGINT) AS abstained, d.doc_id % 17 = 0 AS reader_error, "
@@ -95,10 +95,13 @@ def extractor_costs(spark, sf_dir):
         F.round(F.sum("n_chars") / 1000.0, 3).alias("seconds"))
 
 
-@query(f"{PAIRS_SQL}, l AS (SELECT a || '-' || b AS pair, similarity, a % 3 = b % 3 AS same FROM pairs), x AS (SELECT max((similarity, pair)) FILTER (NOT same) AS b, min((similarity, pair)) FILTER (same) AS a FROM l) "
+@query(f"{PAIRS_SQL}, l AS (SELECT a || '-' || b AS pair, similarity, a % 3 = b % 3 AS same FROM pairs WHERE a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps)), x AS (SELECT max((similarity, pair)) FILTER (NOT same) AS b, min((similarity, pair)) FILTER (same) AS a FROM l) "
        "SELECT b[1] AS low, b[2] AS low_pair, a[1] AS high, a[2] AS high_pair, round(a[1] - b[1], 6) AS width, CASE WHEN a[1] > b[1] THEN round((a[1] + b[1]) / 2, 6) END AS middle FROM x")
 def threshold_window(spark, sf_dir):
-    pairs = R.near_pairs(S.nodes(spark, sf_dir), 0.9)
+    """Pairs of different texts only: copies are represented by the least of them."""
+    nodes = S.nodes(spark, sf_dir)
+    members = materialize(R.text_classes(nodes), "members")
+    pairs = R.near_pairs(nodes.join(members.filter("id = rep").select("id"), "id", "left_semi"), 0.9)
     return E.threshold_window(pairs.select(F.concat_ws("-", "a", "b").alias("pair"), "similarity", (F.col("a") % 3 == F.col("b") % 3).alias("same")))
 
 
