@@ -1,5 +1,8 @@
 """Lifecycles of facts: pages of pending and inbox rows, parking, resolving, superseding, updating and linking."""
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,8 +146,9 @@ def admitted(events: DataFrame, limits: dict[str, int], window_s: int = 60) -> D
     At most limits[kind] events of a key and kind are admitted in any window; refused ones do not count, and kinds
     without a limit are always admitted. An event depends on the window before it only, so a pause of a whole window
     cuts a key's events into runs that are decided apart. Runs are found on counts by window length, not on events;
-    a run within its limit is admitted as it is, and only the others go through Python, each as a group. A run that
-    never pauses is one group: each decision in it rests on the one before.
+    a run within its limit is admitted as it is, and only the others go through Python, as a sorted stream of which
+    no more than a window's admitted times are held. A run that never pauses is one task's: each decision in it rests
+    on the one before.
     """
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("kind")]
     rows = events.select("event_id", "key", "kind", "s", F.floor(F.col("s") / window_s).alias("slot"))
@@ -157,19 +161,23 @@ def admitted(events: DataFrame, limits: dict[str, int], window_s: int = 60) -> D
     runs = rows.alias("e").join(slots.alias("r"), F.expr("e.key <=> r.key AND e.kind <=> r.kind AND e.slot = r.slot")).select(
         "e.event_id", "e.key", "e.kind", "e.s", "r.run", "r.within")
 
-    def decide(group, rows):
-        most, kept, first, out = limits[group[1]], [], 0, []
-        rows = rows.sort_values(["s", "event_id"])
-        for s in rows["s"].tolist():
-            while first < len(kept) and kept[first] <= s - window_s:
-                first += 1
-            out.append(len(kept) - first < most)
-            if out[-1]:
-                kept.append(s)
-        return rows[["event_id", "key", "kind"]].assign(admitted=out)
+    def decide(batches):
+        group, kept = None, deque()  # the admitted times of the window, as many as the limit at most
+        for batch in batches:
+            out = []
+            for *at, s in zip(*(batch.column(c).to_pylist() for c in ("key", "kind", "run", "s"))):
+                if at != group:
+                    group, kept = at, deque()
+                while kept and kept[0] <= s - window_s:
+                    kept.popleft()
+                out.append(len(kept) < limits[at[1]])
+                if out[-1]:
+                    kept.append(s)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("event_id", "key", "kind")] + [pa.array(out, pa.bool_())],
+                                             names=["event_id", "key", "kind", "admitted"])
 
     types = runs.schema
     schema = ", ".join(f"{c} {types[c].dataType.simpleString()}" for c in ("event_id", "key", "kind"))
-    busy = runs.filter("NOT within").groupBy("key", "kind", "run").applyInPandas(
-        lambda group, rows: decide(group, rows), f"{schema}, admitted boolean")
-    return runs.filter("within").select("event_id", "key", "kind", F.lit(True).alias("admitted")).union(busy)
+    busy = runs.filter("NOT within").repartition("key", "kind", "run").sortWithinPartitions("key", "kind", "run", "s", "event_id")
+    return runs.filter("within").select("event_id", "key", "kind", F.lit(True).alias("admitted")).union(
+        busy.mapInArrow(decide, f"{schema}, admitted boolean"))
