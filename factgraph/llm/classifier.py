@@ -1,7 +1,7 @@
 """Quality classifier: a regularised quadratic discriminant over transformed statistics of whole texts.
 
 Each text gives a fixed number of statistics (lengths, shares of kinds of characters, repetition, words and lines), each
-taken through a logarithm or a log odds. Tasks add up the rows, the sums and the products of the statistics of all
+taken through a logarithm or a log odds; they are written once, in one pass over the texts. Tasks add up the rows, the sums and the products of the statistics of all
 labelled training rows by class; these few numbers give each class a mean and a covariance, which is shrunk towards the
 pooled one and towards its own diagonal. A text's score is the calibrated difference of the two log densities, from
 Mahalanobis distances by Cholesky factors that are computed once and travel with the model.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.batches import steps
 from factgraph.llm.quality import known_labels, repeated_words, word_hashes
+from factgraph.runtime import materialize
 
 #: Texts of this score are predicted to be of quality 1; rows whose digest of doc_id is 0 modulo FOLDS are held out.
 KEEP_AT, FOLDS = 0.3, 5
@@ -21,6 +22,8 @@ KEEP_AT, FOLDS = 0.3, 5
 POOLED, DIAGONAL, RIDGE = 0.15, 0.1, 1e-3
 #: Bytes of text that a step handles, and bins of the log density difference (within SPAN either way) for its calibration.
 STEP, BINS, SPAN = 1 << 18, 400, 40.0
+#: Rows of statistics that are scored at once.
+STEP_ROWS = 4096
 
 KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": b" \t\r\n\x0b\x0c", "stop": b".!?", "pause": b",;:'\"()-",
          "symbol": b"#*$%&|<>@^~=+\\/_[]{}`", "beyond": range(128, 256)}
@@ -82,10 +85,30 @@ def is_held_out(key):
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(quality, text) of all labelled documents outside the held-out part; labels that contradict each other do not count."""
-    known = known_labels(labels).filter(~is_held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("quality", "text")
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, x): the statistics of every row's whole text, packed; a table that fitting and scoring share."""
+    def run(batches):
+        for batch, texts in steps(batches, size=STEP):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.tobytes() for x in statistics(texts)], pa.binary())], names=["doc_id", "held_out", "x"])
+
+    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    return materialize(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, x binary"), "statistics")
+
+
+def training(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(quality, x) of all labelled rows of described() outside the held-out part; labels that contradict each other do not count.
+
+    Both sides grow with the corpus, so only statistics are shuffled, and no texts.
+    """
+    known = known_labels(labels).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return rows.filter("NOT held_out").select("doc_id", "x").join(known, "doc_id").select("quality", "x")
+
+
+def unpacked(batches):
+    """Yield (record batch of STEP_ROWS rows at most, their statistics), given batches whose last column is x."""
+    for whole in batches:
+        for batch in (whole.slice(i, STEP_ROWS) for i in range(0, whole.num_rows, STEP_ROWS)):
+            yield batch, np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist())).reshape(-1, len(NAMES))
 
 
 def moments(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -94,8 +117,8 @@ def moments(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
     def run(batches):
         total = np.zeros((2, 1 + d + d * d))
-        for batch, texts in steps(batches, size=STEP):
-            x, y = statistics(texts), np.asarray(batch.column(0).to_pylist())
+        for batch, x in unpacked(batches):
+            y = np.asarray(batch.column(0).to_pylist())
             for c in (0, 1):
                 own = x[y == c]
                 total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
@@ -110,7 +133,7 @@ def moments(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def fit(rows: DataFrame) -> Discriminant | None:
-    """The model of training rows (quality, text); None where one of the two classes has no row.
+    """The model of training rows (quality, x); None where one of the two classes has no row.
 
     Platt's two numbers are fitted to the counts of both classes in bins of the difference, taken over all training rows.
     """
@@ -132,8 +155,8 @@ def fit(rows: DataFrame) -> Discriminant | None:
 
     def run(batches):
         total = np.zeros((2, BINS), np.int64)
-        for batch, texts in steps(batches, size=STEP):
-            at = np.minimum(((model.difference(statistics(texts)) + SPAN) * (BINS / (2 * SPAN))).astype(np.int64), BINS - 1)
+        for batch, x in unpacked(batches):
+            at = np.minimum(((model.difference(x) + SPAN) * (BINS / (2 * SPAN))).astype(np.int64), BINS - 1)
             np.add.at(total, (np.asarray(batch.column(0).to_pylist()), at), 1)
         y, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(at, pa.int32()), pa.array(total[y, at])], names=["quality", "at", "n"])
@@ -163,15 +186,15 @@ def classified(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) ->
     the model: other columns are ignored. Without training rows of both classes every score is 0.5. A very long text is
     a step of its own, read whole.
     """
-    model = fit(training(docs, labels))
+    rows = described(docs)
+    model = fit(training(rows, labels))
 
     def run(batches):
-        for batch, texts in steps(batches, size=STEP):
-            score = model.score(statistics(texts)) if model else np.full(len(texts), 0.5)
+        for batch, x in unpacked(batches):
+            score = model.score(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score), pa.array((score >= keep_at).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
