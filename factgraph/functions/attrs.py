@@ -82,7 +82,9 @@ def with_source(cited, source, bound: int = 8000):
 
 
 # Number words and filler words of the evaluation's text comparison.
-NUMBERS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}
+NUMBERS = {w: str(n) for n, w in enumerate(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+NUMBERS |= {w: str(10 * n) for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 FILLER = ("a", "an", "the", "of", "to", "in", "on", "at", "and", "is", "was", "were", "are")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as X
+from factgraph.operators import dense as N
 from factgraph.operators import evaluation as E
 from factgraph.operators import graph as G
 from factgraph.operators import maintenance as M
@@ -434,6 +435,23 @@ def dense_neighbours(spark, sf_dir):
     return a.join(b, "label").filter("a <> b").filter(X.cosine(F.col("ea"), F.col("eb")) >= 0.3).select("a", "b")
 
 
+@query("WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id "
+       "WHERE list_cosine_similarity(a.e, b.e) >= 0.3")
+def dense_pairs(spark, sf_dir):
+    """All pairs of one label in reach, by blocked matrix products."""
+    found = N.dense_pairs(table(spark, sf_dir, "embeddings"), 0.3, "label", "vec_id", "embedding")
+    return found.select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS request_id, b.vec_id AS id, list_cosine_similarity(a.e, b.e) AS similarity FROM v a, v b WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.e, b.e) >= 0.1), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT request_id, id, round(similarity, 4) AS similarity, rank FROM r WHERE rank <= 10")
+def dense_leg(spark, sf_dir):
+    """The ten nearest of all vectors to every vector whose id 20 divides."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = N.dense_top(rows.filter("id % 20 = 0").withColumnRenamed("id", "request_id"), rows, 10, 0.1)
+    return found.select("request_id", "id", F.round("similarity", 4).alias("similarity"), "rank")
+
+
 @query("SELECT url_id AS id, slug FROM (SELECT page_id AS url_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 63) AS slug FROM pages)")
 def slug_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), X.slug(F.col("url")).alias("slug"))

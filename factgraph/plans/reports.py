@@ -1,8 +1,10 @@
 """Registered queries of evaluation tables and reports, and the SQL that checks them."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import attrs as A
+from factgraph.functions import scoring as rules
 from factgraph.operators import evaluation as E
 from factgraph.operators import retrieval as R
 from factgraph.plans.registry import LEGS_SQL, PAIRS_SQL, legs, query
@@ -171,3 +173,31 @@ def probe_hits(spark, sf_dir):
     nodes, vector, lexical = legs(spark, sf_dir)
     probes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.lower(F.split_part("text", F.lit(" "), F.lit(5))).alias("answer"))
     return E.probe_hits(R.fused(vector, lexical, nodes), nodes, probes, 5)
+
+
+def event_answers(spark, sf_dir):
+    """(item, arm, gold, answer, correct, adversarial): what a user did on which day, and replies that tell it in several forms from the event before."""
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("kind", F.coalesce(F.lag("event_type").over(before), F.lit("nothing"))).withColumn("then", F.coalesce(F.lag("ts").over(before), "ts"))
+    part = F.when(F.dayofmonth("then") <= 10, "early").when(F.dayofmonth("then") <= 20, "mid").otherwise("late")
+    n, day = F.col("event_id"), F.date_format("ts", "d MMMM yyyy")
+    answer = (
+        F.when(n % 6 == 0, F.concat(F.lit("It was "), "kind", F.lit(", then "), "event_type", F.date_format("ts", "', on' yyyy-MM-dd")))
+        .when(n % 6 == 1, F.concat(part, F.date_format("then", " MMMM yyyy"), F.lit(": "), "event_type"))
+        .when(n % 6 == 2, F.concat(F.lit("before "), day, F.lit(", "), "event_type", F.lit(" and "), "kind"))
+        .when(n % 6 == 3, F.lit("INSUFFICIENT")).when(n % 6 == 4, F.concat("event_type", F.date_format("then", "' in' MMM yyyy"))))
+    return rows.select(
+        n.alias("item"), F.concat(F.lit("arm"), F.col("user_id") % 2).alias("arm"), F.concat("event_type", F.lit(" and "), "kind", F.lit(", "), day).alias("gold"),
+        answer.alias("answer"), (F.col("value") >= 50).alias("correct"), (F.col("event_type") == "error").alias("adversarial"))
+
+
+@query()
+def rescored_answers(spark, sf_dir):
+    """The rule-based score of each reply; tests hold it against a plain version."""
+    return rules.rescored(event_answers(spark, sf_dir)).select("item", "n_parts", F.round("coverage", 6).alias("coverage"), "covered", "is_answer")
+
+
+@query()
+def fair_scores(spark, sf_dir):
+    """Strict, fair and partial accuracy of each arm."""
+    return rules.fair_scores(event_answers(spark, sf_dir))
