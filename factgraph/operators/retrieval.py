@@ -1,5 +1,7 @@
 """Batch hybrid retrieval: two ranked legs, reciprocal rank fusion, near-duplicate collapse, limit."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,16 +121,39 @@ def near_pairs(nodes: DataFrame, threshold: float, block: str = "type") -> DataF
     head = v.filter("head").select("id", "block", "dim", "nn")
     met = head.alias("x").join(head.alias("y"), ["block", "dim"]).filter("x.id < y.id").select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return similarities(met, v).filter(F.col("similarity") >= threshold)
+    return similarities(met, packed(v)).filter(F.col("similarity") >= threshold)
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """(id, nn, dims, ws) of sparse vectors (id, dim, w, nn): one row for each, its dimensions in order."""
+    rows = vectors.groupBy("id").agg(F.first("nn").alias("nn"), F.array_sort(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), F.col("w").cast("long").alias("w")))).alias("v"))
+    return rows.select("id", "nn", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws"))
 
 
 def similarities(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b) by sparse vectors (id, dim, w, nn); pairs without a common dimension are left out."""
-    x = vectors.select(F.col("id").alias("a"), "dim", F.col("w").alias("wa"), F.col("nn").alias("na"))
-    y = vectors.select(F.col("id").alias("b"), "dim", F.col("w").alias("wb"), F.col("nn").alias("nb"))
-    dots = pairs.join(x, "a").join(y, ["b", "dim"]).groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.first(F.col("na") * F.col("nb")).alias("nn"))
-    return dots.select("a", "b", (F.col("dot") / F.sqrt(F.col("nn").cast("double"))).alias("similarity"))
+    """(a, b, similarity) of pairs (a, b) by packed() vectors; pairs without a common dimension are left out.
+
+    A pair meets its two vectors once each, and an Arrow batch of pairs is one intersection of sorted numbers.
+    """
+    x, y = (vectors.select(F.col("id").alias(k), F.col("nn").alias(f"n{k}"), F.col("dims").alias(f"d{k}"), F.col("ws").alias(f"w{k}")) for k in "ab")
+    rows = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", (F.col("na") * F.col("nb")).alias("nn"), "da", "wa", "db", "wb")
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("a", "b", "nn")]
+
+    def dots(batches):
+        for batch in batches:
+            sides = []
+            for d, w in (("da", "wa"), ("db", "wb")):
+                dims = batch.column(d)
+                row = np.repeat(np.arange(batch.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
+                sides.append((row * X.DIMS + dims.flatten().to_numpy(), batch.column(w).flatten().to_numpy()))
+            (ka, wa), (kb, wb) = sides
+            both, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+            dot = np.zeros(batch.num_rows, np.int64)
+            np.add.at(dot, both // X.DIMS, wa[i] * wb[j])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dot)], names=["a", "b", "nn", "dot"])
+
+    found = rows.mapInArrow(dots, f"a {kinds[0]}, b {kinds[1]}, nn {kinds[2]}, dot long").filter("dot > 0")
+    return found.select("a", "b", (F.col("dot") / F.sqrt(F.col("nn").cast("double"))).alias("similarity"))
 
 
 def pairs_in_results(results: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -139,7 +164,7 @@ def pairs_in_results(results: DataFrame, nodes: DataFrame, threshold: float) ->
     hits = nodes.join(ids.select("id").distinct(), "id", "left_semi")
     v = X.hashed_vectors(searchable(hits), "id", F.col("searchable"))
     v = v.join(X.with_norm(v, "id"), "id")
-    return similarities(met, v).filter(F.col("similarity") >= threshold)
+    return similarities(met, packed(v)).filter(F.col("similarity") >= threshold)
 
 
 def undeclared(pairs: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("same_topic", "relates_to")) -> DataFrame:
