@@ -1,14 +1,20 @@
 """Deduplicating writes: each incoming fact merges, waits, or is inserted by its nearest stored fact."""
 
+import itertools
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as X
 from factgraph.operators.components import connected_components
 from factgraph.operators.retrieval import near_pairs, text_classes
-from factgraph.runtime import materialize
+from factgraph.runtime import discard, materialize, shared_folder
 
 NOVEL, SNAPSHOT = 0.8, 5
+#: Rows and tokens of a group of similar facts that one task folds; larger groups take rounds.
+FOLD, FOLD_TOKENS = 2_000, 2_000_000
 
 
 def similar_classes(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -94,42 +100,125 @@ def clusters(nodes: DataFrame, threshold: float) -> DataFrame:
         "id", F.coalesce("component", "id").alias("component"))
 
 
-def sequential(writes: DataFrame, store: DataFrame, peers: DataFrame, low: float, high: float, max_rounds: int = 500) -> DataFrame:
+def neighbourhoods(writes: DataFrame, live: DataFrame, low: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (id, rep), near (rep, near, similarity), groups (id, group)): rows of different groups never reach each other."""
+    columns = ["id", "type", "title", "body"]
+    members, near = similar_classes(writes.select(*columns).unionByName(live.select(*columns)), low)
+    near = materialize(near.filter(F.col("similarity") >= low), "near")  # thresholds over 1 leave copies apart too
+    tops = connected_components(near.filter("rep < near").select(F.col("rep").alias("a"), F.col("near").alias("b")))
+    groups = members.join(tops.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("group"))
+    return members, near, materialize(groups, "groups")
+
+
+def sequential(writes: DataFrame, store: DataFrame, peers: DataFrame, low: float, high: float, sets: DataFrame | None = None,
+               fold: int = FOLD, fold_tokens: int = FOLD_TOKENS) -> DataFrame:
     """(seq, candidate, similarity, outcome) as if the writes (id, type, title, body) came one by one, by id.
 
-    A write sees the active store and the earlier writes of its type that were inserted or linked. Rounds decide, in
-    one step each, all writes whose nearest row no undecided earlier write can change; the least undecided write
-    always is one. A merge also waits for earlier writes that may join its cluster; of a cluster's waiting merges all
-    are decided up to the first that adds tokens to it. Copies are one class with one row that counts, so a group of
-    them takes few rounds. Ids of writes and store are distinct. More than max_rounds is an error.
+    A write sees the active store and the earlier writes of its type that were inserted or linked, in the scopes that
+    sets (seq, scope_id) gives it, if given; then both sides have a scope_id. Groups that no similarity links are
+    apart: a write that is alone in its group is inserted, a group of `fold` rows and `fold_tokens` tokens at most is
+    folded in one task, and larger ones take rounds of jobs over all of them. Ids of writes and store are distinct.
+    Stored rows that are not active, and rows of other scopes, still count as peers (id, peer) of a cluster.
     """
-    columns = ["id", "type", "title", "body"]
+    if sets is None:
+        writes, store = (df.withColumn("scope_id", F.lit("")) for df in (writes, store))
+        sets = writes.select(F.col("id").alias("seq"), "scope_id")
     live = store.filter("status = 'active'")
-    members, near = similar_classes(writes.select(*columns).unionByName(live.select(*columns)), low)
-    near = materialize(near, "near")
-    stored = live.select("id").join(members, "id").groupBy("rep").agg(F.min("id").alias("st")).withColumnRenamed("rep", "near")
+    members, near, groups = neighbourhoods(writes, live, low)
     tokens = materialize(writes.select("id", "body").unionByName(store.select("id", "body")).select(
         "id", F.explode(X.tokens(F.col("body"))).alias("token")), "tokens")
+    sizes = groups.join(tokens, "id", "left").groupBy("group").agg(F.count_distinct("id").alias("rows"), F.count("token").alias("tokens"))
+    kind = F.when(F.col("rows") == 1, "alone").when((F.col("rows") <= fold) & (F.col("tokens") <= fold_tokens), "small").otherwise("large")
+    ways = materialize(groups.join(sizes.select("group", kind.alias("way")), "group"), "ways")
+
+    def of(df, way):
+        return df.join(ways.filter(F.col("way") == way).select("id"), "id", "left_semi")
+
+    alone = of(writes, "alone").select(F.col("id").alias("seq"), F.lit(None).cast("long").alias("candidate"), F.lit(None).cast("double").alias("similarity"),
+                                       F.lit("insert").alias("outcome"))
+    out = alone.unionByName(folded(of(writes, "small"), of(live, "small"), sets, members, near, ways, tokens, peers, low, high))
+    large = materialize(of(writes, "large"), "large")
+    if large.isEmpty():
+        return out
+    return out.unionByName(by_rounds(large, of(live, "large"), sets, members, near, tokens, peers, low, high))
+
+
+def folded(writes, live, sets, members, near, groups, tokens, peers, low, high) -> DataFrame:
+    """The outcomes of writes whose groups are small: a group's rows meet in one task and are decided one by one."""
+    bags = tokens.groupBy("id").agg(F.collect_list("token").alias("own"))
+    around = peers.select("id", "peer").join(tokens.withColumnRenamed("id", "peer"), "peer").groupBy("id").agg(F.collect_set("token").alias("around"))
+    links = near.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "near"))).alias("links"))
+    seen = sets.groupBy("seq").agg(F.collect_set("scope_id").alias("seen")).withColumnRenamed("seq", "id")
+    rows = writes.select("id", "scope_id", F.lit(True).alias("new")).unionByName(live.select("id", "scope_id", F.lit(False).alias("new")))
+    rows = rows.join(members, "id").join(groups.select("id", "group"), "id").join(bags, "id", "left").join(around, "id", "left").join(seen, "id", "left")
+    rows = rows.join(links.join(members.filter("id = rep").select("rep"), "rep"), rows["id"] == links["rep"], "left").drop(links["rep"])
+
+    def decide(group):
+        places, linked, out = {}, {}, []  # (class, scope) -> least id of a row there
+        reach = {r.rep: r.links for r in group.itertuples() if r.links is not None}
+        own = {r.id: set(() if r.own is None else r.own) for r in group.itertuples()}
+        base = {r.id: own[r.id] | set(() if r.around is None else r.around) for r in group.itertuples()}
+
+        def add(rep, scope, i):
+            places[rep, scope] = min(i, places.get((rep, scope), i))
+
+        for r in group.itertuples():
+            if not r.new:
+                add(r.rep, r.scope_id, r.id)
+        for r in group[group["new"]].sort_values("id").itertuples():
+            best = min(((x["far"], places[x["near"], scope]) for x in reach.get(r.rep, ()) for scope in (() if r.seen is None else r.seen)
+                        if (x["near"], scope) in places), default=None)
+            similarity = -best[0] if best else None
+            outcome = "insert" if best is None else "pending" if similarity < high else "merge"
+            if outcome == "merge":
+                i = best[1]
+                corpus = base[i].union(*(own[k] for k in linked.get(i, ())))
+                union = len(own[r.id] | corpus)
+                novel = union > 0 and len(own[r.id] & corpus) / union < NOVEL
+                outcome = "merge_linked" if novel else "merged"
+                if novel:
+                    linked.setdefault(i, set()).add(r.id)
+                    linked.setdefault(r.id, set()).add(i)
+            if outcome in ("insert", "merge_linked"):
+                add(r.rep, r.scope_id, r.id)
+            out.append((r.id, best[1] if best else None, similarity, outcome))
+        done = pd.DataFrame(out, columns=["seq", "candidate", "similarity", "outcome"])
+        return done.astype({"seq": "int64", "candidate": "Int64", "similarity": "float64"})
+
+    return rows.groupBy("group").applyInPandas(decide, "seq long, candidate long, similarity double, outcome string")
+
+
+def by_rounds(writes, live, sets, members, near, tokens, peers, low, high) -> DataFrame:
+    """The outcomes of writes by rounds, for groups of any size.
+
+    A round decides, in one step each, all writes whose nearest row no undecided earlier write can change; the least
+    undecided write always is one. A merge also waits for earlier writes that may join its cluster; of a cluster's
+    waiting merges all are decided up to the first that adds tokens to it. Copies of one scope are one class with one
+    row that counts, so a group of them takes few rounds. What a round decides is appended; its other tables go.
+    """
+    spark = writes.sparkSession
+    schema = "seq long, candidate long, similarity double, outcome string"
+    decided = f"{shared_folder(spark)}/decided-{uuid.uuid4().hex}"
+    rank = near.select("rep", "near", (-F.col("similarity")).alias("far"))
+    stored = live.select("id", "scope_id").join(members, "id").groupBy("rep", "scope_id").agg(F.min("id").alias("st"))
+    stored = materialize(stored, "stored")
     sizes = tokens.groupBy("id").agg(F.count("*").alias("n"))
-    left = materialize(writes.select(F.col("id").alias("seq")).join(members.withColumnRenamed("id", "seq"), "seq"), "left")
-    done = None
-    for _ in range(max_rounds):
+    left = materialize(writes.select(F.col("id").alias("seq"), "scope_id").join(members.withColumnRenamed("id", "seq"), "seq"), "left")
+    homes = left
+    for turn in itertools.count():
         if left.isEmpty():
             break
-        waits = left.groupBy("rep").agg(F.min("seq").alias("m")).withColumnRenamed("rep", "near")
-        info = near.join(waits, "near", "left").join(stored, "near", "left")
-        if done is None:
-            info = info.withColumn("r", F.lit(None).cast("long"))
-        else:
-            rows = done.filter("outcome IN ('insert', 'merge_linked')").join(members.withColumnRenamed("id", "seq"), "seq")
-            info = info.join(rows.groupBy("rep").agg(F.min("seq").alias("r")).withColumnRenamed("rep", "near"), "near", "left")
-        info = info.filter("m IS NOT NULL OR st IS NOT NULL OR r IS NOT NULL")
-        seen = left.join(info, "rep")
+        done = spark.read.schema(schema).parquet(f"{decided}/turn=*") if turn else spark.createDataFrame([], schema)
+        spots = left.groupBy("rep", "scope_id").agg(F.min("seq").alias("m"))
+        rows = done.filter("outcome IN ('insert', 'merge_linked')").join(homes, "seq").groupBy("rep", "scope_id").agg(F.min("seq").alias("r"))
+        spots = spots.join(stored, ["rep", "scope_id"], "full_outer").join(rows, ["rep", "scope_id"], "full_outer")
+        spots = rank.join(spots.withColumnRenamed("rep", "near"), "near").select("rep", "scope_id", "far", "m", "st", "r")
+        seen = left.select("seq", "rep").join(sets, "seq").join(spots, ["rep", "scope_id"], "left")
         candidate = F.least("st", F.when(F.col("r") < F.col("seq"), F.col("r")))
-        far = (-F.col("similarity")).alias("far")
         keys = seen.groupBy("seq", "rep").agg(
-            F.min(F.when(candidate.isNotNull(), F.struct(far, candidate.alias("id")))).alias("best"),
-            F.min(F.when(F.col("m") < F.col("seq"), F.struct(far, F.col("m").alias("id")))).alias("ahead"))
+            F.min(F.when(candidate.isNotNull(), F.struct("far", candidate.alias("id")))).alias("best"),
+            F.min(F.when(F.col("m") < F.col("seq"), F.struct("far", F.col("m").alias("id")))).alias("ahead"))
+        keys = left.select("seq", "rep").join(keys.drop("rep"), "seq", "left")  # a write that sees no scope at all is inserted
         blocked = F.col("ahead").isNotNull() & (F.col("best").isNull() | (F.col("ahead") < F.col("best")))
         keys = materialize(keys.select("seq", "rep", F.col("best.id").alias("candidate"), (-F.col("best.far")).alias("similarity"),
                                        blocked.alias("blocked")), "keys")
@@ -142,10 +231,8 @@ def sequential(writes: DataFrame, store: DataFrame, peers: DataFrame, low: float
             "seq", "candidate", "similarity")
         batch = materialize(batch, "batch")
         heads = batch.select(F.col("candidate").alias("id")).distinct()
-        ties = peers.select("id", "peer")
-        if done is not None:
-            links = done.filter("outcome = 'merge_linked'").select(F.col("seq").alias("id"), F.col("candidate").alias("peer"))
-            ties = ties.union(links).union(links.select("peer", "id"))
+        links = done.filter("outcome = 'merge_linked'").select(F.col("seq").alias("id"), F.col("candidate").alias("peer"))
+        ties = peers.select("id", "peer").union(links).union(links.select("peer", "id"))
         cluster = heads.select("id", F.col("id").alias("peer")).union(ties.join(heads, "id", "left_semi").select("id", "peer")).distinct()
         corpus = cluster.join(tokens.withColumnRenamed("id", "peer"), "peer").select(F.col("id").alias("candidate"), "token").distinct()
         shared = batch.join(tokens.withColumnRenamed("id", "seq"), "seq").join(corpus, ["candidate", "token"]).groupBy("seq").agg(
@@ -158,9 +245,9 @@ def sequential(writes: DataFrame, store: DataFrame, peers: DataFrame, low: float
         adds = judged.filter("novel AND n > shared").groupBy("candidate").agg(F.min("seq").alias("first"))
         final = judged.join(adds, "candidate", "left").filter("first IS NULL OR seq <= first").select(
             "seq", "candidate", "similarity", F.when(F.col("novel"), "merge_linked").otherwise("merged").alias("outcome"))
-        now = materialize(plain.unionByName(final), "decided")
-        done = now if done is None else materialize(done.unionByName(now), "done")
-        left = materialize(left.join(now, "seq", "left_anti"), "left")
-    else:
-        raise RuntimeError(f"writes have not settled after {max_rounds} rounds")
-    return done if done is not None else left.select("seq", F.col("rep").alias("candidate"), F.lit(0.0).alias("similarity"), F.lit("").alias("outcome"))
+        plain.unionByName(final).write.parquet(f"{decided}/turn={turn}")
+        now = spark.read.schema(schema).parquet(f"{decided}/turn={turn}")
+        before, left = left, materialize(left.join(now, "seq", "left_anti"), "left")
+        for table in (keys, batch, *([before] if turn else [])):
+            discard(table)
+    return spark.read.schema(schema).parquet(f"{decided}/turn=*") if turn else spark.createDataFrame([], schema)

@@ -112,13 +112,16 @@ def cosine(a, b):
     return sum(n * y[d] for d, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()) or 1)
 
 
-def one_by_one(writes_, store, low, high):
-    """The outcomes of writes in order, by a plain loop."""
-    rows, links, out = {i: (t, x) for i, t, x in store}, collections.defaultdict(set), {}
-    bodies = {i: x for i, _, x in store} | {i: x for i, _, x in writes_}
-    for i, kind, text in writes_:
+def one_by_one(writes_, store, low, high, sees=None, ties=()):
+    """The outcomes of writes (id, type, text, scope) in order, by a plain loop."""
+    rows, links, out = {x[0]: x[1:] for x in store}, collections.defaultdict(set), {}
+    bodies = {x[0]: x[2] for x in store + writes_}
+    for a, b in ties:
+        links[a].add(b)
+    for i, kind, text, scope in writes_:
         own = text + "\n" + text
-        near = sorted((-cosine(own, x + "\n" + x), k) for k, (t, x) in rows.items() if t == kind)
+        seen = sees[i] if sees else {scope}
+        near = sorted((-cosine(own, x + "\n" + x), k) for k, (t, x, s) in rows.items() if t == kind and s in seen)
         near = [(-s, k) for s, k in near if -s >= low]
         if not near or near[0][0] < high:
             out[i] = ("pending", near[0][1]) if near else ("insert", None)
@@ -132,32 +135,49 @@ def one_by_one(writes_, store, low, high):
                 links[i].add(c)
                 links[c].add(i)
         if out[i][0] in ("insert", "merge_linked"):
-            rows[i] = (kind, text)
+            rows[i] = (kind, text, scope)
     return out
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_sequential_writes_equal_a_plain_loop(spark, seed):
+def stream_of_facts(seed, n=60):
     rng = random.Random(seed)
     words = [f"w{k}" for k in range(30)]
     base = [rng.choices(words, k=rng.randint(3, 14)) for _ in range(6)]
     texts = []
-    for k in range(60):
+    for k in range(n):
         t = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
             t.insert(rng.randrange(len(t) + 1), rng.choice(words) if rng.random() < 0.5 else f"n{k}")
         texts.append(" ".join(t))
-    rows = [(k, rng.choice(["x", "x", "y"]), t) for k, t in enumerate(texts)]
-    store, new = [(k + 1000, t, x) for k, t, x in rows[:8]], rows[8:]
-    schema = "id long, type string, title string, body string, status string"
-    frame = lambda some: spark.createDataFrame([(k, t, x, x, "active") for k, t, x in some], schema)
-    none = spark.createDataFrame([], "id long, peer long")
-    got = writes.sequential(frame(new), frame(store), none, 0.7, 0.9)
-    want = one_by_one(new, store, 0.7, 0.9)
+    return [(k, rng.choice(["x", "x", "y"]), t, rng.choice(["s", "t", "u"])) for k, t in enumerate(texts)]
+
+
+def facts(spark, some):
+    schema = "id long, type string, title string, body string, scope_id string, status string"
+    return spark.createDataFrame([(k, t, x, x, s, "active") for k, t, x, s in some], schema)
+
+
+@pytest.mark.parametrize("seed, fold, scoped", [(1, 0, False), (2, 2_000, False), (3, 9, True), (4, 2_000, True)])
+def test_sequential_writes_equal_a_plain_loop(spark, seed, fold, scoped):
+    rng = random.Random(seed)
+    rows = stream_of_facts(seed)
+    if not scoped:
+        rows = [(*x[:3], "") for x in rows]
+    store, new = [(k + 1000, *x) for k, *x in rows[:8]], rows[8:]
+    sees = {x[0]: {x[3]} | set(rng.sample(["s", "t", "u"], rng.randint(0, 1))) for x in new} if scoped else None
+    ties = [(1000, 1001), (1001, 1000), (12, 1003)]
+    sets = spark.createDataFrame([(i, s) for i, own in (sees or {}).items() for s in own], "seq long, scope_id string") if scoped else None
+    got = writes.sequential(facts(spark, new), facts(spark, store), spark.createDataFrame(ties, "id long, peer long"), 0.7, 0.9, sets, fold)
+    want = one_by_one(new, store, 0.7, 0.9, sees, ties)
     assert {r.seq: (r.outcome, r.candidate) for r in got.collect()} == want
     assert {x for x, _ in want.values()} == {"insert", "pending", "merged", "merge_linked"}
 
 
+def test_sequential_writes_without_rows(spark):
+    none = facts(spark, [])
+    assert writes.sequential(none, none, spark.createDataFrame([], "id long, peer long"), 0.7, 0.9).count() == 0
+
+
 def test_outcomes(spark):
     store = spark.createDataFrame([(1, "alpha beta", "active"), (9, "gamma delta", "archived")], "id long, body string, status string")
     new = spark.createDataFrame([(2, "alpha beta"), (3, "alpha beta gamma delta"), (4, "")], "id long, body string")
