@@ -1,5 +1,8 @@
 """Batch hybrid retrieval: two ranked legs, reciprocal rank fusion, near-duplicate collapse, limit."""
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,6 +12,8 @@ from factgraph.functions import text as X
 from factgraph.runtime import materialize
 
 LEG, RRF = 30, 60
+#: Requests of one matrix, and nodes that a task multiplies by it at once.
+REQUESTS, NODES = 512, 256
 
 
 def ranked(df: DataFrame, k: int, *order) -> DataFrame:
@@ -16,33 +21,83 @@ def ranked(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def vector_leg(requests: DataFrame, nodes: DataFrame, sets: DataFrame, floor: float | None = None, k: int = LEG) -> DataFrame:
+def vector_leg(requests: DataFrame, nodes: DataFrame, sets: DataFrame, floor: float | None = None, k: int = LEG,
+               block: int = REQUESTS) -> DataFrame:
     """(request_id, id, similarity, rank): top k by cosine of hashed token vectors, ties by id.
 
-    An inverted-index join on dimensions; nodes that share no dimension have similarity 0 and are not ranked.
+    Requests go to the tasks as one matrix for each `block` of them, with the scopes that sets (request_id, scope_id)
+    gives them; each task multiplies its packed nodes by it and keeps k rows of a request, so no pairs are shuffled but
+    the best. Nodes that share no dimension have similarity 0 and are not ranked.
     """
     live = searchable(nodes.filter("status = 'active'"))
-    v = X.hashed_vectors(live, "id", F.col("searchable"))
-    q = X.hashed_vectors(requests, "request_id", F.col("query"))
-    dots = v.join(q.withColumnRenamed("w", "qw"), "dim").groupBy("request_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = (
-        dots.join(X.with_norm(v, "id"), "id").join(X.with_norm(q, "request_id").withColumnRenamed("nn", "qn"), "request_id")
-        .join(live.select("id", "scope_id"), "id").join(sets, ["request_id", "scope_id"], "left_semi")
-        .select("request_id", "id", (F.col("dot") / F.sqrt((F.col("nn") * F.col("qn")).cast("double"))).alias("similarity")))
-    if floor is not None:
-        scored = scored.filter(F.col("similarity") >= floor)
-    return ranked(scored, k, F.desc("similarity"), "id")
+    w = F.col("w")
+    v = live.select("id", "scope_id", F.explode(X.all_tokens(F.col("searchable"))).alias("t")).groupBy(
+        "id", "scope_id", X.dimension(F.col("t")).alias("dim")).agg(F.count("*").alias("w"))
+    v = v.groupBy("id", "scope_id").agg(F.sum(w * w).alias("nn"), F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "w")).alias("v")).select(
+        "id", "scope_id", "nn", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws"))
+    q = X.hashed_vectors(requests, "request_id", F.col("query")).groupBy("request_id").agg(
+        F.sum(w * w).alias("nn"), F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "w")).alias("v"))
+    q = q.join(sets.groupBy("request_id").agg(F.collect_set("scope_id").alias("scopes")), "request_id").orderBy("request_id")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((q, "request_id"), (v, "id"))]
+    schema = f"request_id {kinds[0]}, id {kinds[1]}, similarity double"
+    stream, parts = q.toLocalIterator(), []
+    while rows := list(itertools.islice(stream, block)):
+        if parts == [] and len(rows) == block:
+            v = materialize(v, "vectors")  # more blocks may follow
+        parts.append(v.mapInArrow(_nearest(rows, floor, k), schema))
+    found = functools.reduce(DataFrame.union, parts) if parts else requests.sparkSession.createDataFrame([], schema)
+    return ranked(found, k, F.desc("similarity"), "id")
+
+
+def _nearest(rows, floor: float | None, k: int):
+    """A task that ranks packed nodes for the requests in rows (request_id, nn, v, scopes)."""
+    matrix, own = np.zeros((X.DIMS, len(rows))), np.array([float(r.nn) for r in rows])
+    for at, r in enumerate(rows):
+        for x in r.v:
+            matrix[x.dim, at] = x.w
+    names, masks, none = [r.request_id for r in rows], {}, np.zeros(len(rows), bool)
+    for at, r in enumerate(rows):
+        for scope in r.scopes:
+            masks.setdefault(scope, none.copy())[at] = True
+
+    def run(batches):
+        best, kind = [[] for _ in names], None
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for part in (batch.slice(i, NODES) for i in range(0, batch.num_rows, NODES)):
+                dims = part.column("dims")
+                row = np.repeat(np.arange(part.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
+                dense = np.zeros((part.num_rows, X.DIMS))
+                dense[row, dims.flatten().to_numpy()] = part.column("ws").flatten().to_numpy()
+                dot = dense @ matrix
+                seen = np.array([masks.get(s, none) for s in part.column("scope_id").to_pylist()]).reshape(len(dot), -1)
+                near = np.where(seen & (dot > 0), dot / np.sqrt(part.column("nn").to_numpy().astype(float)[:, None] * own), -1.0)
+                ids = part.column("id").to_pylist()
+                for at in np.flatnonzero(near.max(axis=0, initial=-1.0) >= max(floor or 0.0, 0.0)).tolist():
+                    column = near[:, at]
+                    least = max(best[at][-1][0] if len(best[at]) >= k else 0.0, floor or 0.0)
+                    hits = np.flatnonzero((column >= least) & (column > 0))
+                    if len(hits):
+                        best[at] = sorted(best[at] + [(float(column[i]), ids[i]) for i in hits], key=lambda x: (-x[0], x[1]))[:k]
+        flat = [(names[at], i, s) for at, found in enumerate(best) for s, i in found]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat]), pa.array([x[1] for x in flat], kind), pa.array([x[2] for x in flat])],
+                                             names=["request_id", "id", "similarity"])
+    return run
 
 
 def lexical_leg(requests: DataFrame, nodes: DataFrame, sets: DataFrame, share: float = 0.5, k: int = LEG) -> DataFrame:
-    """(request_id, id, hits, rank): nodes with at least `share` of the query's distinct tokens, by number matched, then id."""
+    """(request_id, id, hits, rank): nodes with at least `share` of the query's distinct tokens, by number matched, then id.
+
+    Tokens meet inside the scopes that sets (request_id, scope_id) gives a request, so no others are counted.
+    """
     live = nodes.filter("status = 'active'")
-    postings = live.select("id", F.explode(X.tokens(F.concat_ws("\n", "title", "body"))).alias("token"))
+    postings = live.select("id", "scope_id", F.explode(X.tokens(F.concat_ws("\n", "title", "body"))).alias("token"))
     terms = requests.select("request_id", F.explode(X.tokens(F.col("query"))).alias("token"))
     need = terms.groupBy("request_id").agg(F.count("*").alias("n"))
-    found = postings.join(terms, "token").groupBy("request_id", "id").agg(F.count("*").alias("hits"))
+    asked = terms.join(sets.select("request_id", "scope_id").distinct(), "request_id")
+    found = postings.join(asked, ["token", "scope_id"]).groupBy("request_id", "id").agg(F.count("*").alias("hits"))
     found = found.join(need, "request_id").filter(F.col("hits") >= F.col("n") * share)
-    found = found.join(live.select("id", "scope_id"), "id").join(sets, ["request_id", "scope_id"], "left_semi")
     return ranked(found.select("request_id", "id", "hits"), k, F.desc("hits"), "id")
 
 

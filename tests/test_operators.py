@@ -226,3 +226,20 @@ def test_document_edges_of_uneven_sources(spark, tmp_path, monkeypatch):
         ids = [k for k, s in rows if s == source]
         want |= set(zip(ids, ids[1:]))
     assert {(r.src, r.dst) for r in derived.document_edges(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("block, floor", [(512, None), (3, None), (3, 0.4)])
+def test_vector_leg_equals_all_cosines_in_scope(spark, block, floor):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(25)]
+    nodes = [(k, "x", " ".join(rng.choices(words, k=rng.randint(0, 9))), "", rng.choice("stu"), rng.choice(["active"] * 4 + ["archived"])) for k in range(90)]
+    asked = [(k, " ".join(rng.choices(words, k=4))) for k in range(7)] + [(7, ""), (8, "w1")]
+    sees = {k: set(rng.sample("stu", rng.randint(0, 2))) for k, _ in asked}
+    df = spark.createDataFrame(nodes, "id long, type string, title string, body string, scope_id string, status string")
+    sets = spark.createDataFrame([(k, s) for k, own in sees.items() for s in own], "request_id long, scope_id string")
+    got = retrieval.vector_leg(spark.createDataFrame(asked, "request_id long, query string"), df, sets, floor, 5, block).collect()
+    want = []
+    for k, query in asked:
+        near = sorted((-cosine(query, f"{t}\n{b}"), i) for i, _, t, b, s, status in nodes if status == "active" and s in sees[k])
+        want += [(k, i, n) for n, (s, i) in enumerate([x for x in near if -x[0] > 0 and (floor is None or -x[0] >= floor)][:5], 1)]
+    assert sorted((r.request_id, r.id, r["rank"]) for r in got) == sorted(want) and len(want) > 15
