@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factgraph.plans.registry import query
 from factgraph.runtime import shared_folder, table
+from factgraph.sources import bundles
 from factgraph.sources import conversations as C
 
 SESSION = 3  # turns of a session
@@ -70,3 +71,13 @@ def parallel_session_problems(spark, sf_dir):
         F.lit('{"question_type": "multi-session", "question": "q", "question_id": "'), F.col("conv_id").cast("string"), F.lit('", "haystack_session_ids": ['), F.array_join(ids, ", "), F.lit('], "haystack_sessions": ['),
         F.array_join(F.transform("s", lambda x: x["json"]), ", "), F.lit("]}")).alias("value"))
     return C.parallel_sessions(spark, written(lines, "questions"), multi_line=False).problems.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS line, CASE doc_id % 7 WHEN 0 THEN 'invalid JSON' WHEN 2 THEN 'missing body' END AS reason FROM documents QUALIFY doc_id % 7 IN (0, 2)")
+def refused_fact_lines(spark, sf_dir):
+    """Documents written as one file of fact lines, some broken and some blank: the refused ones by their line."""
+    kind = F.col("doc_id") % 7
+    fact = F.to_json(F.struct(F.lit("note").alias("type"), F.lit("title").alias("title"), F.concat(F.lit("body "), "source").alias("body")))
+    value = F.when(kind == 0, "{").when(kind == 1, "").when(kind == 2, F.regexp_replace(fact, '"body":[^}]*', '"links":[]')).otherwise(fact)
+    ordered = table(spark, sf_dir, "documents").select("doc_id", value.alias("value")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    return bundles.read_facts(spark, written(ordered.select("value"), "facts"))[1].select("line", "reason")

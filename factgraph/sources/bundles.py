@@ -1,20 +1,37 @@
 """Line-delimited JSON: scans of facts with the reasons for refused lines, space bundles, and review files."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factgraph.runtime import materialize
+
 #: The keys of a fact line, and the kinds of a bundle line.
 REQUIRED, OPTIONAL = ("type", "title", "body"), ("attrs", "links")
 KINDS = ("header", "scope", "node_type", "node", "edge")
 VERSION = 1
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines numbered from 1 in each file, however files are split.
+
+    The lines of a split are numbered as they are read and written once; the splits of a file are then counted, and
+    prefix sums over them, a row for each split, give the number that a split starts with.
+    """
+    read = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    read = materialize(read, "lines")
+    splits = read.groupBy("file", "start").agg(F.min("at").alias("low"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("low")).alias("base"))
+    return read.join(splits, ["file", "start"]).select("file", (F.col("at") + F.col("base")).alias("line"), "value")
+
+
 def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) lines of JSON files: good has the fact's columns, bad (file, value, reason). Blank lines are skipped.
+    """(good, bad) lines of JSON files: good has the fact's columns, bad (file, line, value, reason). Blank lines are skipped, but count.
 
-    Lines are named by file and text, since a split file has no line numbers. attrs and links stay JSON.
+    attrs and links stay JSON.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter("trim(value) <> ''")
+    lines = numbered_lines(spark, path).filter("trim(value) <> ''")
     kind = F.substring(F.ltrim("value"), 1, 1)
     parsed = lines.withColumn("fact", F.when(kind == "{", F.expr("try_variant_get(try_parse_json(value), '$', 'map<string,variant>')")))
     fields = {k: F.expr(f"to_json(fact['{k}'])") for k in REQUIRED + OPTIONAL}
@@ -30,7 +47,7 @@ def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     judged = parsed.withColumn("reason", reason)
     good = judged.filter("reason IS NULL").select(
         *[F.expr(f"variant_get(fact['{k}'], '$', 'string')").alias(k) for k in REQUIRED], *[fields[k].alias(k) for k in OPTIONAL])
-    return good, judged.filter("reason IS NOT NULL").select("file", "value", "reason")
+    return good, judged.filter("reason IS NOT NULL").select("file", "line", "value", "reason")
 
 
 def bundle(nodes: DataFrame, edges: DataFrame, scopes: DataFrame) -> dict[str, DataFrame]:
@@ -67,6 +84,23 @@ def read_bundle(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict
     return {k: lines.filter(F.col("part") == k).select(F.from_json("value", s).alias("r")).select("r.*") for k, s in schemas.items()}
 
 
+def read_bundle_file(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a bundle in one file of lines {"kind", ...}, whose first line is the header.
+
+    Raises ValueError on a first line that is no header of a known version, on further headers, unknown kinds, and
+    lines that are no objects, naming the first of them. Blank lines are skipped.
+    """
+    lines = numbered_lines(spark, path).filter("trim(value) <> ''").withColumn("kind", F.get_json_object("value", "$.kind"))
+    head = lines.filter("line = 1").select("kind", F.get_json_object("value", "$.version").cast("int").alias("version")).take(2)
+    if len(head) != 1 or tuple(head[0]) != ("header", VERSION):
+        raise ValueError("line 1: a bundle starts with one header of a known version")
+    wrong = lines.filter((F.col("line") > 1) & ~F.coalesce(F.col("kind").isin(*[k for k in KINDS if k != "header"]), F.lit(False)))
+    first = wrong.agg(F.min(F.struct("line", "kind")).alias("x")).first().x
+    if first is not None:
+        raise ValueError(f"line {first.line}: unknown kind {first.kind}")
+    return {k: lines.filter(F.col("kind") == k).select(F.from_json("value", s).alias("r")).select("r.*") for k, s in schemas.items()}
+
+
 def write_review(rows: DataFrame, path: str) -> bool:
     """rows as CSV files with a header, arrays joined by semicolons; nothing is written when there are none."""
     if rows.isEmpty():

@@ -84,6 +84,37 @@ def test_fact_lines(spark, tmp_path):
     ok, no = bundles.read_facts(spark, str(tmp_path))
     assert rows(ok) == [("a", "t", "b", '{"k":1}', "[]"), ("a", "t", "b", None, None)]
     assert {r.value: r.reason for r in no.collect()} == bad
+    text = "\n\n".join([*good, *bad]).split("\n")
+    assert {(r.line, r.value) for r in no.collect()} == {(n, x) for n, x in enumerate(text, 1) if x in bad}
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    for name, n in (("a.txt", 900), ("b.txt", 7), ("empty.txt", 0)):
+        (tmp_path / name).write_text("".join("\n" if k % 5 == 0 else f"{k} " + "x" * (k % 90) + "\n" for k in range(1, n + 1)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("1000", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        try:
+            found = bundles.numbered_lines(spark, str(tmp_path)).collect()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert len(found) == 907
+        for r in found:
+            assert r.value == "" if r.line % 5 == 0 else r.value.split(" ")[0] == str(r.line)
+
+
+def test_bundle_in_one_file(spark, tmp_path):
+    schemas = {"scope": "scope_id string", "node": "id long, type string"}
+    good = ['{"kind": "header", "version": 1}', '{"kind": "scope", "scope_id": "s"}', "", '{"kind": "node", "id": 3, "type": "a"}', '{"kind": "edge"}']
+    (tmp_path / "good").write_text("\n".join(good))
+    back = bundles.read_bundle_file(spark, str(tmp_path / "good"), schemas)
+    assert rows(back["scope"]) == [("s",)] and rows(back["node"]) == [(3, "a")]
+    for name, lines, line in (("late", good[1:] + good[:1], 1), ("old", [good[0].replace("1", "9")], 1), ("twice", good + good[:1], 6), ("odd", good[:2] + ["[]"], 3), ("none", [], 1)):
+        (tmp_path / name).write_text("\n".join(lines))
+        with pytest.raises(ValueError, match=f"line {line}:"):
+            bundles.read_bundle_file(spark, str(tmp_path / name), schemas)
 
 
 def test_bundle_round_trip(spark, tmp_path):
