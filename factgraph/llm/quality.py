@@ -162,7 +162,7 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.bincount(to, np.concatenate(shares), len(at)).astype(np.float32)
 
 
-def fit(sample: DataFrame, rounds: int = 40) -> Classifier | None:
+def fit(sample: DataFrame, rounds: int = 20) -> Classifier | None:
     """The classifier of a table (quality, held, places, shares) of vector() rows; None where it lacks one of the two labels.
 
     Each round is a job over the table whose tasks add up the gradient of their rows, so neither the driver nor a task
@@ -180,8 +180,10 @@ def fit(sample: DataFrame, rounds: int = 40) -> Classifier | None:
         return vectors, np.array([float(w[a] @ v) for a, v in vectors])
 
     def gradient(w, bias):
+        sent = sample.sparkSession.sparkContext.broadcast(w)  # 2**BITS numbers, of no more use after the round
+
         def run(batches):
-            g, slope = np.zeros(1 << BITS), 0.0
+            g, slope, w = np.zeros(1 << BITS), 0.0, sent.value
             for part in batches:
                 for batch in (part.slice(i, 16) for i in range(0, part.num_rows, 16)):
                     y = np.asarray(batch.column("quality").to_pylist(), float)
@@ -192,10 +194,19 @@ def fit(sample: DataFrame, rounds: int = 40) -> Classifier | None:
                         if e:
                             g[at] += e * v
                     slope += error.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([g.astype(np.float32).tobytes()], pa.binary()), pa.array([slope])], names=["g", "slope"])
+
+        def add(batches):
+            g, slope = np.zeros(1 << BITS, np.float32), 0.0
+            for batch in batches:
+                for own, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    g, slope = g + np.frombuffer(own, np.float32), slope + part
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([slope])], names=["g", "slope"])
 
-        parts = sample.mapInArrow(run, "g binary, slope double").collect()  # one row for each of the table's few partitions
-        return sum(np.frombuffer(x.g) for x in parts), sum(x.slope for x in parts)
+        # The sums of the few partitions are added up in a task, so that one of them reaches the driver, and none stays there.
+        total = sample.mapInArrow(run, "g binary, slope double").repartition(1).mapInArrow(add, "g binary, slope double").first()
+        sent.destroy()
+        return np.frombuffer(total.g, np.float32).astype(float), total.slope
 
     w, bias, square, slope = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
     for _ in range(rounds):  # AdaGrad
