@@ -7,12 +7,16 @@ precedes. Ranking follows covers: shortest runs of positions that hold every ask
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.functions.stemming import stems
+
 #: Weights of title, body, attribute surface and addenda; a cover of up to FLAT positions counts whole.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 FLAT = 4
-# English words that carry no meaning of their own.
-STOP = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such",
-        "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+# English words that carry no meaning of their own, as published with the stemmer.
+STOP = tuple("""i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their
+theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as
+until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split())
 
 
 def words(c):
@@ -20,11 +24,8 @@ def words(c):
 
 
 def lexeme(word, mode: str = "simple"):
-    """A word as it is searched: simple leaves it; english drops plural endings by Harman's three rules."""
-    if mode == "simple":
-        return word
-    return F.when(word.rlike("[^ea]ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("[^aeo]es$"), F.regexp_replace(word, "s$", "")).when(
-        word.rlike("[^us]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
+    """A word as it is searched: simple leaves it, english takes its stem; stop words are left out by the caller."""
+    return word if mode == "simple" else stems(word)
 
 
 def postings(nodes: DataFrame, sections: dict[str, str], mode: str = "simple") -> DataFrame:
