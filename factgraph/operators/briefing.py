@@ -6,9 +6,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.operators.retrieval import fused, lexical_leg, vector_leg
+
 TOP = 10
 
 
+@dataclass(frozen=True)
+class Semantic:
+    """A section filled by hybrid search with a request's hint: node types (none: all), the rows kept, and the vector leg's floor."""
+
+    name: str
+    types: tuple[str, ...] = ()
+    top: int = TOP
+    floor: float | None = None
+
+
 @dataclass(frozen=True)
 class Section:
     """A named filter: an SQL predicate on node columns, and edge types that a row must not have going out."""
@@ -38,6 +50,35 @@ def briefing(sections: list[Section], seen: DataFrame, edges: DataFrame, princip
         "principal", "section", "id", F.coalesce("place", F.lit(0)).alias("place"))
 
 
+def semantic_rows(section: Semantic, requests: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(request_id, section, id, place): the best active nodes of the section's types for each request (request_id, query), by both legs.
+
+    sets (request_id, scope_id) gives the scopes of a request. A null or blank query has no rows; all requests are one plan.
+    """
+    asked = requests.filter("trim(query) <> ''")
+    nodes = nodes.filter(F.col("type").isin(*section.types)) if section.types else nodes
+    found = fused(vector_leg(asked, nodes, sets, section.floor), lexical_leg(asked, nodes, sets), nodes)
+    return found.filter(F.col("place") <= section.top).select("request_id", F.lit(section.name).alias("section"), "id", "place")
+
+
+def hinted(sections: list[Semantic], requests: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """semantic_rows of each section; a section without rows for a request is one row with null id and place 0."""
+    found = reduce(DataFrame.unionByName, [semantic_rows(s, requests, nodes, sets) for s in sections])
+    wanted = requests.select("request_id", F.explode(F.array(*[F.lit(s.name) for s in sections])).alias("section"))
+    return wanted.join(found, ["request_id", "section"], "left").select("request_id", "section", "id", F.coalesce("place", F.lit(0)).alias("place"))
+
+
+def audited(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, principal, sections, nodes): an audit row for each request over all scopes, with what it showed."""
+    shown = found.groupBy("request_id").agg(F.count_distinct("section").alias("sections"), F.count_distinct("id").alias("nodes"))
+    return requests.filter("scope = 'all'").select("request_id", "principal").join(shown, "request_id")
+
+
+def surfaced(found: DataFrame) -> DataFrame:
+    """(request_id, id): each node that a request showed, once, whatever the sections: what recall statistics count."""
+    return found.filter("id IS NOT NULL").select("request_id", "id").distinct()
+
+
 def with_linked(found: DataFrame, edges: DataFrame, seen: DataFrame, kind: str) -> DataFrame:
     """(principal, section, id, peer, nth): the visible nodes that an edge of `kind` leads to, newest first, all of them."""
     out = edges.filter(F.col("type") == kind).select(F.col("src").alias("id"), F.col("dst").alias("peer"))

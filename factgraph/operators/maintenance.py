@@ -54,6 +54,18 @@ def drift(old: DataFrame, new: DataFrame, key: list[str], value: list[str]) -> D
     return a.join(b, key, "full_outer").select(*key, change.alias("change")).filter("change IS NOT NULL")
 
 
+def compared(one: DataFrame, two: DataFrame, key: str, content: str, group) -> DataFrame:
+    """(group, n, same, changed, missing, extra) of two copies (key, content): rows that only one side has count too.
+
+    Contents are equal null to null; a key that repeats meets each row of that key on the other side.
+    """
+    a = one.select(key, F.col(content).alias("a"), F.lit(True).alias("in_a"))
+    b = two.select(key, F.col(content).alias("b"), F.lit(True).alias("in_b"))
+    state = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
+    rows = a.join(b, key, "full_outer").select(group.alias("group"), state.alias("state"))
+    return rows.groupBy("group").agg(F.count("*").alias("n"), *[F.sum((F.col("state") == k).cast("long")).alias(k) for k in ("same", "changed", "missing", "extra")])
+
+
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
     """The current snapshot of an append-only log: each key's row of greatest seq."""
     return log.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).filter("rn = 1").drop("rn")

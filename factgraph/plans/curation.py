@@ -1,5 +1,7 @@
 """Registered queries of attributes, registries, permissions and table maintenance, and the SQL that checks them."""
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -7,8 +9,8 @@ from factgraph.functions import attrs as A
 from factgraph.functions import text as X
 from factgraph.operators import maintenance as M
 from factgraph.operators import registries as Y
-from factgraph.plans.registry import access, query
-from factgraph.runtime import table
+from factgraph.plans.registry import TOKENS_SQL, access, query
+from factgraph.runtime import in_parts, shared_folder, table
 from factgraph.sources import derived as S
 
 #: Attributes of events, some of them wrong, as an expression of both engines.
@@ -219,15 +221,15 @@ def pending_mine(spark, sf_dir):
     return S.nodes(spark, sf_dir).filter("author = 'p2' AND status = 'active'").select("id", "title", "n_chars")
 
 
-@query("SELECT doc_id % 3 AS side, count(*) AS n, sum(hash_ok) AS same FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS hash_ok FROM documents WHERE doc_id % 4 <> 0) GROUP BY ALL")
+@query("WITH c AS (SELECT doc_id, doc_id % 4 = 0 AS lost, doc_id % 4 = 1 AS moved, doc_id % 3 = 1 AND text IS NOT NULL AS other FROM documents), r AS (SELECT doc_id % 3 AS side, CASE WHEN lost OR moved THEN 'missing' WHEN other THEN 'changed' ELSE 'same' END AS state FROM c "
+       "UNION ALL SELECT -(doc_id + 1) % 3, 'extra' FROM c WHERE moved) SELECT side, count(*) AS n, count(*) FILTER (state = 'same') AS same, count(*) FILTER (state = 'changed') AS changed, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'extra') AS extra FROM r GROUP BY side")
 def snapshot_compare(spark, sf_dir):
-    """Rows of a copy that lacks every fourth document and has others changed, compared by content."""
+    """A copy that lacks every fourth document, holds others under another id and has others changed, compared by content; rows on one side only count."""
     docs = bodies(spark, sf_dir)
     content = F.sha2(F.to_json(F.struct("text", "lang")).cast("binary"), 256)
-    one = docs.select("doc_id", content.alias("a"))
     copy = docs.filter("doc_id % 4 <> 0").withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    both = one.join(copy.select("doc_id", content.alias("b")), "doc_id")
-    return both.groupBy((F.col("doc_id") % 3).alias("side")).agg(F.count("*").alias("n"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("same"))
+    copy = copy.withColumn("doc_id", F.when(F.col("doc_id") % 4 == 1, -(F.col("doc_id") + 1)).otherwise(F.col("doc_id")))
+    return M.compared(docs.select("doc_id", content.alias("a")), copy.select("doc_id", content.alias("a")), "doc_id", "a", F.col("doc_id") % 3).withColumnRenamed("group", "side")
 
 
 def reembedding(spark, sf_dir):
@@ -242,7 +244,29 @@ def reembed_summary(spark, sf_dir):
     return M.reembed_summary(reembedding(spark, sf_dir), "z2-4096")
 
 
-@query()
+DUE_SQL = (f"{S.NODES_SQL}, due AS (SELECT id, unnest({TOKENS_SQL.format('title || chr(10) || body || chr(10) || ' + chr(39) + 'lang: ' + chr(39) + ' || type')}) AS t FROM nodes WHERE id % 4 <> 0 OR id % 5 = 0) "
+           "SELECT id, CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 4096 AS dim, count(*) AS w, 'z2-4096' AS stamp FROM due GROUP BY ALL")
+
+
+@query(DUE_SQL)
 def reembedded_vectors(spark, sf_dir):
-    """Vectors of the rows whose stamp or surface is out of date, by the default embedder with its document prefix."""
+    """Vectors of the rows whose stamp or surface is out of date, by the default embedder."""
     return M.reembedded(reembedding(spark, sf_dir), "z2-4096")
+
+
+@query(DUE_SQL)
+def reembedded_resumed(spark, sf_dir):
+    """The same in four parts by a run that fails after two of them and is started again."""
+    path, left = f"{shared_folder(spark)}/reembedded-{uuid.uuid4().hex}", [2]
+
+    def embed(rows):
+        left[0] -= 1
+        if left[0] == -1:
+            raise InterruptedError
+        return M.reembedded(rows, "z2-4096")
+
+    try:
+        in_parts(reembedding(spark, sf_dir), "id", path, 4, embed)
+    except InterruptedError:
+        pass
+    return in_parts(reembedding(spark, sf_dir), "id", path, 4, embed)

@@ -8,7 +8,7 @@ from factgraph.operators import evaluation as E
 from factgraph.operators import lifecycle as L
 from factgraph.operators import visibility as V
 from factgraph.operators import writes as D
-from factgraph.plans.registry import BANDS_SQL, access, incoming, query
+from factgraph.plans.registry import BANDS_SQL, LEGS_SQL, access, incoming, query
 from factgraph.runtime import table
 from factgraph.sources import bundles
 from factgraph.sources import derived as S
@@ -153,6 +153,44 @@ def briefing_linked(spark, sf_dir):
     return B.with_linked(found, edges, seen, "relates_to")
 
 
+HINTS = [B.Semantic("related", ("en", "fr"), 5, 0.2), B.Semantic("german", ("de",), 3)]
+
+
+def hints_sql(types: str, floor: float, top: int, name: str) -> str:
+    """A query of LEGS_SQL over some types and with a floor, as rows of a section."""
+    legs = LEGS_SQL.replace("FROM nodes WHERE status = 'active'", f"FROM nodes WHERE status = 'active' AND type IN ({types})").replace("FROM vec) WHERE rank", f"FROM vec WHERE similarity >= {floor}) WHERE rank")
+    return f"(WITH {legs} SELECT request_id, '{name}' AS section, id, place FROM placed WHERE place <= {top})"
+
+
+HINTS_SQL = (f"found AS ({hints_sql(chr(39) + 'en' + chr(39) + ', ' + chr(39) + 'fr' + chr(39), 0.2, 5, 'related')} UNION ALL {hints_sql(chr(39) + 'de' + chr(39), 0, 3, 'german')}), "
+             "hinted AS (SELECT request_id, section, id, CAST(coalesce(place, 0) AS INT) AS place FROM (SELECT item_id AS request_id, unnest(['related', 'german']) AS section FROM benchmark) LEFT JOIN found USING (request_id, section))")
+
+
+def hints(spark, sf_dir):
+    requests = S.requests(spark, sf_dir)
+    return requests, B.hinted(HINTS, requests, S.nodes(spark, sf_dir), V.scope_sets(requests, access(spark, sf_dir)[1]))
+
+
+@query(f"{HINTS_SQL} SELECT request_id, section, id, place FROM hinted")
+def briefing_semantic(spark, sf_dir):
+    """Sections filled by hybrid search with each request's hint."""
+    return hints(spark, sf_dir)[1]
+
+
+@query(f"{HINTS_SQL} SELECT request_id, 'p' || (request_id % 5) AS principal, count(DISTINCT section) AS sections, count(DISTINCT id) AS nodes FROM hinted WHERE request_id % 3 = 0 GROUP BY request_id")
+def briefing_audit(spark, sf_dir):
+    """Audit rows of the briefings over all scopes."""
+    requests, found = hints(spark, sf_dir)
+    return B.audited(found, requests)
+
+
+@query(f"{HINTS_SQL} SELECT id, count(DISTINCT request_id) AS recalls FROM hinted WHERE id IS NOT NULL GROUP BY id")
+def briefing_recalls(spark, sf_dir):
+    """How many briefings showed each node; one counts once, whatever its sections."""
+    rows = B.surfaced(hints(spark, sf_dir)[1]).withColumn("ts", F.lit(S.AS_OF).cast("timestamp"))
+    return L.recall_statistics(rows).select("id", "recalls")
+
+
 @query(f"{S.NODES_SQL}, {S.SCOPES_SQL}, {S.DOC_EDGES_SQL}, s AS (SELECT scope_id FROM scopes WHERE visibility <> 'private'), k AS (SELECT id, type FROM nodes JOIN s USING (scope_id)) "
        "SELECT 'scope' AS kind, scope_id AS key FROM s UNION ALL SELECT DISTINCT 'node_type', type FROM k UNION ALL SELECT 'node', CAST(id AS VARCHAR) FROM k "
        "UNION ALL SELECT 'edge', src || '>' || dst FROM doc_edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")

@@ -7,7 +7,7 @@ from factgraph.functions import attrs as A
 from factgraph.functions import scoring as rules
 from factgraph.operators import evaluation as E
 from factgraph.operators import retrieval as R
-from factgraph.plans.registry import LEGS_SQL, PAIRS_SQL, legs, query
+from factgraph.plans.registry import LEGS_SQL, OUTCOMES_SQL, PAIRS_SQL, legs, outcomes, query
 from factgraph.runtime import materialize, table
 from factgraph.sources import derived as S
 
@@ -66,11 +66,11 @@ def paired_answers(spark, sf_dir):
     return E.paired(rows, ("arm0", "arm1"))
 
 
-LABELLED_SQL = ("s AS (SELECT doc_id AS seq, lang || (n_chars % 7) AS cls, CASE WHEN doc_id % 11 = 0 THEN 'contradiction' ELSE 'restated' END AS kind FROM documents), "
-                "o AS (SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'merged' WHEN 2 THEN 'merge_linked' ELSE 'pending' END AS outcome, CASE WHEN doc_id % 4 IN (1, 2) THEN doc_id - doc_id % 13 - 4 END AS candidate FROM documents)")
+LABELLED_SQL = (OUTCOMES_SQL + ", s AS (SELECT doc_id AS seq, lang || (n_chars % 7) AS cls, CASE WHEN doc_id % 11 = 0 THEN 'contradiction' ELSE 'restated' END AS kind, doc_id > min(doc_id) OVER (PARTITION BY lang || (n_chars % 7)) AS again FROM documents), "
+                "o AS (SELECT seq, outcome, candidate FROM outcomes)")
 
 
-@query(f"WITH {LABELLED_SQL}, r AS (SELECT s.*, o.outcome, w.cls AS owner, s.seq > min(s.seq) OVER (PARTITION BY s.cls) AS again, outcome IN ('merged', 'merge_linked') AS merged, s.kind = 'contradiction' AS against FROM s JOIN o USING (seq) LEFT JOIN s w ON w.seq = o.candidate), "
+@query(f"{LABELLED_SQL}, r AS (SELECT s.*, o.outcome, w.cls AS owner, outcome IN ('merged', 'merge_linked') AS merged, s.kind = 'contradiction' AS against FROM s JOIN o USING (seq) LEFT JOIN s w ON w.seq = o.candidate), "
        "t AS (SELECT count(*) FILTER (merged AND NOT against AND owner = cls) AS within, count(*) FILTER (merged AND NOT against AND owner <> cls) AS across, count(*) FILTER (merged AND against) AS contradictions, count(*) FILTER (merged AND NOT against AND owner IS NULL) AS unattributed, "
        "count(*) FILTER (again AND NOT against) AS opportunities, count(*) FILTER (outcome = 'pending') AS waiting, count(*) FILTER (outcome IN ('insert', 'merge_linked')) AS nodes, count(DISTINCT cls) AS classes, count(*) AS writes FROM r) "
        "SELECT within, across, contradictions, unattributed, opportunities, round(CASE WHEN within + across > 0 THEN within / (within + across) ELSE 1e0 END, 6) AS precision, round(CASE WHEN within + across + contradictions > 0 THEN within / (within + across + contradictions) ELSE 1e0 END, 6) AS precision_all, "
@@ -78,16 +78,15 @@ LABELLED_SQL = ("s AS (SELECT doc_id AS seq, lang || (n_chars % 7) AS cls, CASE
 def dedup_quality(spark, sf_dir):
     n, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
     stream = docs.select(n.alias("seq"), F.concat("lang", F.col("n_chars") % 7).alias("cls"), F.when(n % 11 == 0, "contradiction").otherwise("restated").alias("kind"))
-    outcome = F.when(n % 4 == 0, "insert").when(n % 4 == 1, "merged").when(n % 4 == 2, "merge_linked").otherwise("pending")
-    return E.dedup_quality(stream, docs.select(n.alias("seq"), outcome.alias("outcome"), F.when((n % 4).isin(1, 2), n - n % 13 - 4).alias("candidate")))
+    return E.dedup_quality(stream, outcomes(spark, sf_dir)[2])
 
 
-@query(f"WITH {LABELLED_SQL}, d AS (SELECT source, outcome FROM o JOIN documents ON doc_id = seq) SELECT source, count(*) AS total, count(*) FILTER (outcome = 'insert') AS \"insert\", count(*) FILTER (outcome = 'merged') AS merged, "
+@query(f"{LABELLED_SQL}, d AS (SELECT source, outcome FROM o JOIN documents ON doc_id = seq) SELECT source, count(*) AS total, count(*) FILTER (outcome = 'insert') AS \"insert\", count(*) FILTER (outcome = 'merged') AS merged, "
        "count(*) FILTER (outcome = 'merge_linked') AS merge_linked, count(*) FILTER (outcome = 'pending') AS pending FROM d GROUP BY source")
 def ingest_tally(spark, sf_dir):
-    n = F.col("doc_id")
-    outcome = F.when(n % 4 == 0, "insert").when(n % 4 == 1, "merged").when(n % 4 == 2, "merge_linked").otherwise("pending")
-    return E.outcome_tally(table(spark, sf_dir, "documents").select("source", outcome.alias("outcome")), ["source"], ("insert", "merged", "merge_linked", "pending"))
+    """What became of the written facts, by source."""
+    rows = outcomes(spark, sf_dir)[2].join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "source"), "seq")
+    return E.outcome_tally(rows, ["source"], ("insert", "merged", "merge_linked", "pending"))
 
 
 @query("SELECT lang AS extractor, count(*) AS drafts, CAST(sum(n_chars) AS BIGINT) AS chars, round(avg(CASE WHEN doc_id % 4 = 3 THEN 1e0 ELSE 0e0 END), 6) AS confirm_rate, round(sum(n_chars) / 1000.0, 3) AS seconds FROM documents GROUP BY lang")

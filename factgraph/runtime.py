@@ -4,8 +4,10 @@ import re
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -53,3 +55,19 @@ def discard(df: DataFrame) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def in_parts(rows: DataFrame, key: str, path: str, parts: int, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(rows), worked off in `parts` parts by a hash of key, each appended once and then marked as done.
+
+    A run that was killed and is started again over the same rows skips the parts that are done and writes the one it
+    was at anew, so any number of runs gives the same table. make takes and gives DataFrames of any one part. Null keys
+    are in one part; without rows the table is empty.
+    """
+    spark = rows.sparkSession
+    for k in range(parts):
+        if not exists(spark, f"{path}/done/part={k}"):
+            own = make(rows.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k))
+            own.write.mode("overwrite").parquet(f"{path}/rows/part={k}")
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/done/part={k}")
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/part=*").drop("part")

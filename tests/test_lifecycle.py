@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.operators import briefing, lifecycle
+from factgraph.operators import briefing, lifecycle, maintenance
 from factgraph.sources import bundles
 
 
@@ -141,3 +141,41 @@ def test_review_file(spark, tmp_path):
     assert bundles.write_review(df, str(tmp_path / "some"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "some"))
     assert rows(back) == [("1", 'a "quoted", title', "3;4")]
+
+
+def test_parts_of_a_killed_run_are_not_made_again(spark, tmp_path):
+    from factgraph.runtime import in_parts
+
+    rows_ = spark.createDataFrame([(k if k % 9 else None, k) for k in range(50)], "id long, v long")
+    made = []
+
+    def make(df):
+        if len(made) == 2:
+            made.append("killed")
+            raise InterruptedError
+        made.append(df.count())
+        return df.withColumn("w", F.col("v") * 2)
+
+    with pytest.raises(InterruptedError):
+        in_parts(rows_, "id", str(tmp_path / "out"), 4, make)
+    done = in_parts(rows_, "id", str(tmp_path / "out"), 4, make)
+    assert sorted(map(tuple, done.select("v", "w").collect())) == [(k, 2 * k) for k in range(50)] and len(made) == 5
+    assert in_parts(rows_, "id", str(tmp_path / "out"), 4, make).count() == 50 and len(made) == 5
+    assert in_parts(rows_.limit(0), "id", str(tmp_path / "none"), 2, lambda df: df).count() == 0
+
+
+def test_copies_are_compared_on_both_sides(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "id long, c string")
+    two = spark.createDataFrame([(1, "a"), (2, "x"), (3, None), (5, "e"), (6, "f")], "id long, c string")
+    assert rows(maintenance.compared(one, two, "id", "c", F.lit("g"))) == [("g", 6, 2, 1, 1, 2)]
+
+
+def test_semantic_sections_without_hint_or_scope_are_empty(spark):
+    nodes = spark.createDataFrame([(1, "a", "red fox", "", "s", "active", 1), (2, "b", "red fox", "", "s", "active", 2), (3, "a", "red dog", "", "t", "active", 3)],
+                                  "id long, type string, title string, body string, scope_id string, status string, created_at long")
+    asked = spark.createDataFrame([(1, "p", "red fox", "all"), (2, "p", " ", "all"), (3, "q", "red", "t"), (4, "q", "red", "all")], "request_id long, principal string, query string, scope string")
+    sets = spark.createDataFrame([(1, "s"), (1, "t"), (2, "s"), (3, "t")], "request_id long, scope_id string")
+    found = briefing.hinted([briefing.Semantic("a", ("a",)), briefing.Semantic("any", top=1)], asked, nodes, sets)
+    assert rows(found) == [(1, "a", 1, 1), (1, "a", 3, 2), (1, "any", 1, 1), (2, "a", None, 0), (2, "any", None, 0), (3, "a", 3, 1), (3, "any", 3, 1), (4, "a", None, 0), (4, "any", None, 0)]
+    assert rows(briefing.audited(found, asked)) == [(1, "p", 2, 2), (2, "p", 2, 0), (4, "q", 2, 0)]
+    assert rows(briefing.surfaced(found)) == [(1, 1), (1, 3), (3, 3)]
