@@ -5,10 +5,10 @@
    bits of its anchor's and its own hash. Only anchors that occur twice or more can hold a repeated window.
 2. Equal segments meet in one row, their first place; whole repeats of it are settled. Anchors with several
    texts are left, whose windows may repeat in part.
-3. Their segments are dealt to shards by anchor, so equal windows share a shard. A task builds an FM-index (suffix
-   array, Burrows-Wheeler transform in a wavelet matrix of packed bits) over its segments and streams each
-   window through backward search. The matching statistic of a window end counts up to 20 words; the interval
-   that is left names all places of the window, and the least of them is its first.
+3. Their segments are dealt to shards by anchor, so equal windows share a shard. A task builds a compressed FM-index
+   (Burrows-Wheeler transform in a wavelet matrix of packed bits, sampled places) over its segments, and streams the
+   segments' words past it: backward search computes the matching statistic of each end, and where it reaches 20
+   words the interval names all places of that window, which are located, and the least of them is its first.
 4. An anchor with very many texts is dealt window by window, each window to several salted shards. What is first
    in its salt meets once more, so no task holds a window's rows whole.
 """
@@ -28,6 +28,8 @@ from factgraph.runtime import discard, materialize
 GRAM, CROWD = 6, 500
 #: Words that a task gathers, shards whole, before it builds their index.
 GATHER = 400_000
+#: Every so many places of a text the index keeps the position; every so many ends are searched before the others.
+SAMPLE, STRIDE = 8, 5
 
 
 def anchors(h: np.ndarray, counts: np.ndarray, window: int):
@@ -81,35 +83,93 @@ class WaveletMatrix:
             first, low, high = out
         return low - first, high - first
 
+    def access(self, at: np.ndarray):
+        """The value at each place, and how often it occurs before."""
+        value, first = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for _, words, ones, zeros in self.levels:
+            bit = (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out = []
+            for x in (first, at):
+                n = ones[x >> 6] + np.bitwise_count(words[x >> 6] & ((np.uint64(1) << (x & 63).astype(np.uint64)) - np.uint64(1)))
+                out.append(np.where(bit, zeros + n, x - n))
+            first, at = out
+            value = value << 1 | bit
+        return value, at - first
+
 
 class FmIndex:
-    """Suffix array and transform of integer texts; order is exact for patterns of up to 31 values."""
+    """Compressed self-index of an integer text of values from 0 on: its Burrows-Wheeler transform in a wavelet matrix, and
+    the text positions of every SAMPLE-th place. Neither the text nor the suffix array is kept."""
 
     def __init__(self, text: np.ndarray):
-        n = len(text)
-        rank = text.astype(np.int64)
-        for step in (1, 2, 4, 8, 16):
+        text = np.append(text.astype(np.int64) + 1, 0)  # 0 ends the text and occurs once
+        n, rank, step = len(text), text, 1
+        while True:  # prefix doubling, until all suffixes differ
             nxt = np.zeros(n, np.int64)
             nxt[:-step] = rank[step:] + 1
             key = rank * (int(nxt.max()) + 1) + nxt
-            order = np.argsort(key, kind="stable")
+            suffixes = np.argsort(key, kind="stable")
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(0, np.diff(key[order]) != 0))
-        self.suffixes = np.argsort(rank, kind="stable")
+            rank[suffixes] = np.cumsum(np.append(0, np.diff(key[suffixes]) != 0))
+            if rank[suffixes[-1]] == n - 1:
+                break
+            step *= 2
         sigma = int(text.max()) + 1
         self.before = np.zeros(sigma + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=sigma), out=self.before[1:])
-        self.matrix = WaveletMatrix(text[self.suffixes - 1].astype(np.int64), max(1, (sigma - 1).bit_length()))
-
-    def search(self, text: np.ndarray, starts: np.ndarray, length: int):
-        """Suffix interval of each text[start : start + length], by backward search."""
-        last = text[starts + length - 1]
-        low, high = self.before[last], self.before[last + 1]
-        for k in range(length - 2, -1, -1):
-            c = text[starts + k].astype(np.int64)
-            a, b = self.matrix.rank(c, low, high)
-            low, high = self.before[c] + a, self.before[c] + b
-        return low, high
+        self.matrix = WaveletMatrix(text[suffixes - 1], max(1, (sigma - 1).bit_length()))
+        sampled = suffixes % SAMPLE == 0
+        self.marks = WaveletMatrix(sampled.astype(np.int64), 1)
+        self.samples = suffixes[sampled].astype(np.int32)
+
+    def statistics(self, text: np.ndarray, ends: np.ndarray, most: int):
+        """(size, low, high): the matching statistic of each end, up to `most`, and the interval of its match.
+
+        That is the longest run of values up to text[end] that occurs twice or more in the index, found by backward steps
+        until the interval would shrink to the run itself. text may hold values that the index has not.
+        """
+        size, low, high = (np.zeros(len(ends), np.int64) for _ in range(3))
+        a, b, at = np.zeros(len(ends), np.int64), np.full(len(ends), self.before[-1]), np.arange(len(ends))
+        for k in range(most):
+            c = text[ends[at] - k].astype(np.int64) + 1
+            known = c < len(self.before) - 1
+            a, b, at, c = a[known], b[known], at[known], c[known]
+            x, y = self.matrix.rank(c, a, b)
+            a, b = self.before[c] + x, self.before[c] + y
+            more = b - a > 1
+            a, b, at = a[more], b[more], at[more]
+            size[at], low[at], high[at] = k + 1, a, b
+        return size, low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The text position of each row of the index: steps back through the transform to the nearest sampled place."""
+        out, steps_, at = np.zeros(len(rows), np.int64), 0, np.arange(len(rows))
+        while len(at):
+            known, place = self.marks.access(rows)
+            found = known == 1
+            out[at[found]] = self.samples[place[found]] + steps_
+            at, rows = at[~found], rows[~found]
+            value, nth = self.matrix.access(rows)
+            rows, steps_ = self.before[value] + nth, steps_ + 1
+        return out
+
+
+def repeats(index: FmIndex, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, window: int):
+    """(window starts, low, high) of the windows of a streamed text whose matching statistic reaches `window`.
+
+    A statistic grows by one a place at most, so after every STRIDE-th end only the ends that can still reach it are searched.
+    """
+    wide = np.maximum(0, sizes - window + 1)
+    offset = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    ends = np.repeat(begin, wide) + offset + window - 1
+    size, low, high = (np.zeros(len(ends), np.int64) for _ in range(3))
+    first = np.flatnonzero(offset % STRIDE == 0)
+    size[first], low[first], high[first] = index.statistics(text, ends[first], window)
+    back = offset % STRIDE
+    rest = np.flatnonzero((back > 0) & (size[np.arange(len(ends)) - back] + back >= window))
+    size[rest], low[rest], high[rest] = index.statistics(text, ends[rest], window)
+    whole = size == window
+    return (ends - window + 1)[whole], low[whole], high[whole]
 
 
 def earlier_windows(segments: list[list[bytes]], docs: np.ndarray, starts: np.ndarray, window: int) -> list[np.ndarray]:
@@ -123,22 +183,27 @@ def earlier_windows(segments: list[list[bytes]], docs: np.ndarray, starts: np.nd
     text, sizes = np.array(text, np.int64), np.array(sizes)
     index = FmIndex(text)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    place = np.arange(len(text)) - np.repeat(begin, sizes + 1)
-    order = np.lexsort((np.repeat(starts, sizes + 1) + place, np.repeat(docs, sizes + 1)))
-    doc, at = np.repeat(docs, sizes + 1)[order], (np.repeat(starts, sizes + 1) + place)[order]
-    new = np.append(True, (np.diff(doc) != 0) | (np.diff(at) != 0))
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.cumsum(new)
-    of = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - window + 1))
-    offset = np.concatenate([np.arange(max(0, s - window + 1)) for s in sizes.tolist()])
-    query = begin[of] + offset
-    low, high = index.search(text, query, window)
-    places, back = np.unique(low, return_inverse=True)
-    ends = np.zeros(len(places), np.int64)
+    query, low, high = repeats(index, text, begin, sizes, window)
+    # The places of each distinct interval, and the first of them by (doc, start).
+    low, back = np.unique(low, return_inverse=True)
+    ends = np.zeros(len(low), np.int64)
     ends[back] = high
-    least = np.minimum.reduceat(np.append(rank[index.suffixes], 0), np.stack([places, ends], 1).ravel())[::2]
-    hit = least[back] < rank[query]
-    return np.split(offset[hit], np.searchsorted(of[hit], np.arange(1, len(sizes))))
+    n = ends - low
+    rows = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    at = index.locate(rows)
+    segment = np.searchsorted(begin, at, side="right") - 1
+    doc, start = docs[segment], starts[segment] + at - begin[segment]
+    order = np.lexsort((start, doc))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(start[order]) != 0)))[:len(order)]
+    least = np.minimum.reduceat(rank, np.cumsum(n) - n) if len(n) else rank
+    lead = np.zeros(len(n), np.int64)
+    lead[np.repeat(np.arange(len(n)), n)[np.flatnonzero(rank == np.repeat(least, n))]] = np.flatnonzero(rank == np.repeat(least, n))
+    own = np.searchsorted(begin, query, side="right") - 1
+    place = starts[own] + query - begin[own]
+    hit = (docs[own] != doc[lead[back]]) | (place != start[lead[back]])
+    of, offset = own[hit], (query - begin[own])[hit]
+    return np.split(offset, np.searchsorted(of, np.arange(1, len(sizes))))
 
 
 WINDOWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("skip", pa.int32()), ("shard", pa.int64()), ("words", pa.binary())])
