@@ -222,3 +222,25 @@ def test_cached_factors_give_the_normal_density():
     model = classifier.Discriminant([m, np.zeros(4)], [np.linalg.inv(lower), np.eye(4)], [2 * np.log(np.diag(lower)).sum(), 0.0])
     direct = [-0.5 * v @ v + 0.5 * (v - m) @ np.linalg.inv(cov) @ (v - m) + 0.5 * np.log(np.linalg.det(cov)) for v in x]
     assert np.allclose(model.difference(x), direct)
+
+
+def test_pipeline_of_hostile_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, a very long text, further columns, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    words = ["".join(rng.choices(["ta", "re", "on", "mi", "sol"], k=rng.randint(1, 4))) for _ in range(900)]
+    text = [" ".join(rng.choices(words, k=60)) for _ in range(6)] + [" ".join(rng.choices(words, k=60_000))]
+    rows = [(k, t, None, None, None, "clash", 1) for k, t in enumerate(text)] + [(3, text[3], "en", "s", 9, "x", 2)] * 2
+    rows += [(None, text[4], "en", "s", 1, "x", 3), (None, None, None, None, None, None, None), (8, None, "en", "s", 0, "x", 4), (9, "", "en", "s", 0, "x", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, shard int"
+    empty = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table, df in zip(("benchmark", "labels"), empty):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    kept = sorted((r.doc_id, r.decoded_sha256) for r in got if r.doc_id is not None)
+    assert kept == [(k, hashlib.sha256(t.encode()).hexdigest()) for k, t in enumerate(text)]
+    assert [r.decoded_sha256 for r in got if r.doc_id is None] == [hashlib.sha256(text[4].encode()).hexdigest()]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
