@@ -12,27 +12,30 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the classifier reject go."""
+    """Documents that the base rules or the classifier reject go; null and empty texts do, repeated rows, null ids and further columns stay."""
     return quality.kept_rows(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one of the smallest doc_id."""
+    """One document of each near-duplicate class stays, the one of the smallest doc_id; of repeated rows one does, rows without a doc_id all stay."""
     return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a region of a benchmark text go."""
+    """Documents that hold a region of a benchmark text go; null texts, null ids, repeated rows and further columns stay."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay, their secrets are masked, and n_chars counts what is left."""
+    """Documents stay, repeated ones too, their secrets are masked, and n_chars counts what is left, null for a null text."""
     return secrets.masked(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """ids (binary, little-endian unsigned 32-bit integers) of each document, their count, and digests of them and of the text decoded from them."""
+    """ids (binary, little-endian unsigned 32-bit integers) of each document, their count, and digests of them and of the text decoded from them.
+
+    Null texts are empty; null ids and repeated rows stay; further columns end here.
+    """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, packed=True)
     return bpe.digests(bpe.bpe_decode(ids, path), "ids")
