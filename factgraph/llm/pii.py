@@ -325,6 +325,13 @@ def other_phones(own: str) -> list[str]:
             f"({rest[0]}) " + "-".join(rest[1:]) if len(rest) > 1 else "0" + rest[0], "0" + "/".join([rest[0], "".join(rest[1:])])]
 
 
+def other_dates(y: int, m: int, d: int) -> list[str]:
+    """Written forms of a date, and of a date with a time, which are no phone numbers."""
+    forms = [f"{y}{x}{m:02}{x}{d:02}" for x in "-/."] + [f"{a:02}{x}{b:02}{x}{y}" for x in "-/." for a, b in ((d, m), (m, d))]
+    forms += [f"{a}{x}{b}{x}{y % 100:02}" for x in "-/." for a, b in ((d, m), (m, d))] + [f"{y}{m:02}{d:02}", f"{y}-{y + 1}"]
+    return forms + [f"{y}-{m:02}-{d:02} {d % 24:02}:{m * 4:02}", f"{y}-{m:02}-{d:02}T{d % 24:02}:{m * 4:02}:{d:02}", f"{d:02}.{m:02}.{y}, {d % 24}:{m * 4:02}"]
+
+
 def rewritten(text: str, spans, rng):
     """Other written forms of base spans in their surroundings, each as (text, kind, start, end).
 
@@ -356,7 +363,9 @@ def rewritten(text: str, spans, rng):
             yield f"{left}look at {three}.{right}", None, 0, 0
             yield f"{left}{one} at www.{two}.com{right}", None, 0, 0
         if kind == "phone":
-            yield f"{left}{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}{right}", None, 0, 0
+            dates = other_dates(int(rng.integers(1900, 2100)), int(rng.integers(1, 13)), int(rng.integers(1, 32)))
+            for k in rng.permutation(len(dates))[:3].tolist():
+                yield left + dates[k] + right, None, 0, 0
             yield f"{left}{rng.integers(1, 400)}.{rng.integers(100, 999)}.{rng.integers(100, 999)}{right}", None, 0, 0
             yield f"{left}{rng.integers(10 ** 5, 10 ** 13)}{right}", None, 0, 0
 
