@@ -100,6 +100,11 @@ def test_similarity_join_is_exact(spark):
     got = {(r.a, r.b): r.similarity for r in retrieval.near_pairs(nodes, 0.7).collect()}
     every = {(r.a, r.b): r.similarity for r in retrieval.near_pairs(nodes, 0.01).collect()}
     assert got == {k: v for k, v in every.items() if v >= 0.7} and len(got) >= 10
+    kinds = nodes.withColumn("type", F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y"))
+    for share, size in ((9.0, 8), (-1.0, 1000), (-1.0, 8), (0.5, 8)):  # all by prefixes, all in one tile, in many, and mixed
+        assert {(r.a, r.b): r.similarity for r in retrieval.near_pairs(nodes, 0.7, share=share, size=size).collect()} == got
+        own = {(r.a, r.b): r.similarity for r in retrieval.near_pairs(kinds, 0.7, share=share, size=size).collect()}
+        assert own == {(a, b): s for (a, b), s in got.items() if a % 3 == b % 3 != 2}
 
 
 def cosine(a, b):
