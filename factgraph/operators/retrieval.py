@@ -13,7 +13,7 @@ from factgraph.functions import text as X
 from factgraph.runtime import materialize
 
 LEG, RRF = 30, 60
-#: Requests of one matrix, and nodes that a task multiplies by it at once.
+#: Requests that go to the tasks at a time, and nodes whose products with them a task adds up at once.
 REQUESTS, NODES = 512, 256
 #: Share of a block's pairs that may meet in near_pairs() before its vectors are multiplied in tiles, and vectors of a tile's side, about.
 SPARSE, TILE = 0.02, 1024
@@ -28,9 +28,9 @@ def vector_leg(requests: DataFrame, nodes: DataFrame, sets: DataFrame, floor: fl
                block: int = REQUESTS) -> DataFrame:
     """(request_id, id, similarity, rank): top k by cosine of hashed token vectors, ties by id.
 
-    Requests go to the tasks as one matrix for each `block` of them, with the scopes that sets (request_id, scope_id)
-    gives them; each task multiplies its packed nodes by it and keeps k rows of a request, so no pairs are shuffled but
-    the best. Nodes that share no dimension have similarity 0 and are not ranked.
+    Requests go to the tasks as postings by dimension, `block` of them at a time, with the scopes that sets (request_id, scope_id)
+    gives them; each task adds up the products of its packed nodes and keeps k rows of a request, so no pairs are
+    shuffled but the best. Nodes that share no dimension have similarity 0 and are not ranked.
     """
     live = searchable(nodes.filter("status = 'active'"))
     w = F.col("w")
@@ -54,10 +54,11 @@ def vector_leg(requests: DataFrame, nodes: DataFrame, sets: DataFrame, floor: fl
 
 def _nearest(rows, floor: float | None, k: int):
     """A task that ranks packed nodes for the requests in rows (request_id, nn, v, scopes)."""
-    matrix, own = np.zeros((X.DIMS, len(rows))), np.array([float(r.nn) for r in rows])
-    for at, r in enumerate(rows):
-        for x in r.v:
-            matrix[x.dim, at] = x.w
+    own = np.array([float(r.nn) for r in rows])
+    postings = sorted((x.dim, at, float(x.w)) for at, r in enumerate(rows) for x in r.v)  # by dimension: which requests have it, and how often
+    held = np.bincount([d for d, _, _ in postings], minlength=X.DIMS) if postings else np.zeros(X.DIMS, np.int64)
+    start = np.cumsum(held) - held
+    which, weight = np.array([at for _, at, _ in postings], np.int64), np.array([w for *_, w in postings])
     names, masks, none = [r.request_id for r in rows], {}, np.zeros(len(rows), bool)
     for at, r in enumerate(rows):
         for scope in r.scopes:
@@ -70,9 +71,11 @@ def _nearest(rows, floor: float | None, k: int):
             for part in (batch.slice(i, NODES) for i in range(0, batch.num_rows, NODES)):
                 dims = part.column("dims")
                 row = np.repeat(np.arange(part.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
-                dense = np.zeros((part.num_rows, X.DIMS))
-                dense[row, dims.flatten().to_numpy()] = part.column("ws").flatten().to_numpy()
-                dot = dense @ matrix
+                dim = dims.flatten().to_numpy()
+                n = held[dim]
+                at = np.repeat(start[dim] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                dot = np.bincount(np.repeat(row, n) * len(rows) + which[at], np.repeat(part.column("ws").flatten().to_numpy(), n) * weight[at],
+                                  part.num_rows * len(rows)).reshape(part.num_rows, -1)
                 seen = np.array([masks.get(s, none) for s in part.column("scope_id").to_pylist()]).reshape(len(dot), -1)
                 near = np.where(seen & (dot > 0), dot / np.sqrt(part.column("nn").to_numpy().astype(float)[:, None] * own), -1.0)
                 ids = part.column("id").to_pylist()
