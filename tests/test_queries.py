@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factgraph.plans import composites, curation, lifecycle, registry, reports  # noqa: F401
+from factgraph.plans import composites, curation, lifecycle, registry, reports, scans, seams, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
