@@ -15,6 +15,10 @@ def all_tokens(c):
     return F.filter(F.split(F.lower(c), F.lit(r"[^\p{L}\p{N}]+")), lambda x: x != "")
 
 
+def has_tokens(c):
+    return F.lower(c).rlike(r"[\p{L}\p{N}]")
+
+
 def jaccard(a, b):
     """Of token arrays; 1.0 when both are empty."""
     n = F.size(F.array_union(a, b))

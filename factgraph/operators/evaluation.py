@@ -223,9 +223,49 @@ def threshold_window(pairs: DataFrame) -> DataFrame:
     A threshold in (low, high] separates them; there is none where low >= high.
     """
     out = pairs.agg(F.max(F.when(~F.col("same"), F.struct("similarity", "pair"))).alias("b"), F.min(F.when(F.col("same"), F.struct("similarity", "pair"))).alias("a"))
-    width = F.col("a.similarity") - F.col("b.similarity")
-    return out.select(F.col("b.similarity").alias("low"), F.col("b.pair").alias("low_pair"), F.col("a.similarity").alias("high"), F.col("a.pair").alias("high_pair"),
-                      F.round(width, 6).alias("width"), F.when(width > 0, F.round((F.col("a.similarity") + F.col("b.similarity")) / 2, 6)).alias("middle"))
+    return window_row(out.select(F.col("b.similarity").alias("low"), F.col("b.pair").alias("low_pair"), F.col("a.similarity").alias("high"), F.col("a.pair").alias("high_pair")))
+
+
+def window_row(ends: DataFrame) -> DataFrame:
+    width = F.col("high") - F.col("low")
+    return ends.select("low", "low_pair", "high", "high_pair", F.round(width, 6).alias("width"), F.when(width > 0, F.round((F.col("high") + F.col("low")) / 2, 6)).alias("middle"))
+
+
+def class_window(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """threshold_window() of all pairs of members (id, rep, label), `a-b` with a < b, same where their labels are equal.
+
+    Members of one rep are copies, with similarity 1; others have that of their reps, of which pairs (a, b, similarity)
+    has those in reach. Copies count in full, but their pairs are not made: the labels in two classes tell which kinds
+    of pairs they have, and among the classes that meet at an end's similarity the greatest id of each label tells
+    whether a member is the lesser id of such a pair. Ids are integers; there are few labels, and none is null.
+    """
+    tops = members.groupBy("rep", "label").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    classes = materialize(tops.groupBy("rep").agg(F.collect_list(F.struct("label", "n", "top")).alias("tops")), "classes")
+    one, two = (classes.select(F.col("rep").alias(k), F.col("tops").alias(f"tops_{k}")) for k in "ab")
+    own = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"), F.col("tops").alias("tops_a"), F.col("tops").alias("tops_b"))
+    met = pairs.select("a", "b", "similarity").join(one, "a").join(two, "b").select(own.columns).union(own)
+    here, there = (F.transform(f"tops_{k}", lambda x: x["label"]) for k in "ab")
+    same = F.when(F.col("a") == F.col("b"), F.exists("tops_a", lambda x: x["n"] > 1)).otherwise(F.arrays_overlap(here, there))
+    links = materialize(met.select("a", "b", "similarity", same.alias("same"), (F.size(F.array_union(here, there)) > 1).alias("other")), "links")
+    ends = materialize(links.agg(F.max(F.when(F.col("other"), F.col("similarity"))).alias("low"), F.min(F.when(F.col("same"), F.col("similarity"))).alias("high")), "ends")
+
+    def end(kind, value, pick):
+        """One row with the first or last by name of the pairs of a kind that have the end's similarity."""
+        tied = links.filter(kind).join(F.broadcast(ends), F.col("similarity") == F.col(value)).select("a", "b")
+        ways = materialize(tied.union(tied.select("b", "a")).toDF("rep", "near").distinct(), "ways")
+        held = ways.join(classes.select(F.col("rep").alias("near"), F.explode("tops").alias("x")), "near").groupBy("rep", F.col("x.label").alias("label")).agg(F.max("x.top").alias("top"))
+        held = materialize(held.groupBy("rep").agg(F.collect_list(F.struct("label", "top")).alias("held")), "held")  # a join of its own, so that a large class can be split
+
+        def fits(label, mine):
+            return label == mine if kind == "same" else label != mine
+
+        lesser = members.join(held, "rep").filter(F.exists("held", lambda x: (x["top"] > F.col("id")) & fits(x["label"], F.col("label"))))
+        lesser = lesser.agg(pick(F.struct(F.col("id").cast("string").alias("name"), "id", "rep", "label")).alias("x"))
+        near = ways.join(F.broadcast(lesser), F.col("rep") == F.col("x.rep")).select(F.col("near").alias("rep"), "x")
+        greater = members.join(near, "rep").filter((F.col("id") > F.col("x.id")) & fits(F.col("label"), F.col("x.label")))
+        return greater.agg(pick(F.concat("x.name", F.lit("-"), F.col("id").cast("string"))).alias(f"{value}_pair"))
+
+    return window_row(ends.crossJoin(end("other", "low", F.max)).crossJoin(end("same", "high", F.min)))
 
 
 def not_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from factgraph.functions import text as X
 from factgraph.operators import evaluation, graph, maintenance, retrieval, visibility, writes
 from factgraph.operators.components import connected_components
+from factgraph.plans import reports
+from factgraph.sources import derived
 
 
 def rows(df):
@@ -107,6 +109,40 @@ def test_similarity_join_is_exact(spark):
         assert own == {(a, b): s for (a, b), s in got.items() if a % 3 == b % 3 != 2}
 
 
+def plain_window(spark, nodes):
+    pairs = retrieval.near_pairs(nodes, 0.9)
+    return rows(evaluation.threshold_window(pairs.select(F.concat_ws("-", "a", "b").alias("pair"), "similarity", (F.col("a") % 3 == F.col("b") % 3).alias("same"))))
+
+
+@pytest.mark.parametrize("seed", (1, 2, 3))
+def test_class_window_is_that_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(60)}" for _ in range(14)] for _ in range(5)]
+    texts = [" ".join([*b, f"x{k}"][k % 2:]) for b in base for k in range(5)] + ["alone"]
+    ids = rng.sample(range(-20, 130), 60)
+    step = 3 if seed == 2 else 1  # with 3 all pairs are of one label
+    drawn = rng.sample(texts, 26) if seed == 3 else rng.choices(texts, k=60)  # without copies, and with
+    nodes = spark.createDataFrame([(i * step, "xy"[t < "w3"], t, t) for i, t in zip(ids, drawn)], "id long, type string, title string, body string")
+    members = retrieval.text_classes(nodes)
+    pairs = retrieval.near_pairs(nodes.join(members.filter("id = rep").select("id"), "id", "left_semi"), 0.9)
+    got = rows(evaluation.class_window(members.withColumn("label", F.col("id") % 3), pairs))
+    assert got == plain_window(spark, nodes) and got[0].count(None) in ((3, 4) if step == 3 else (0, 1))
+    if step == 3:
+        none = evaluation.class_window(members.filter("false").withColumn("label", F.col("id")), pairs.filter("false"))
+        assert rows(none) == [(None,) * 6]
+
+
+def test_threshold_window_counts_copies(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten"
+    docs = [(3, text, "en"), (9, text, "en"), (10, text, "en"), (4, f"{text} eleven", "en"), (7, f"{text} eleven", "en"),
+            (20, "...", "en"), (90, "...", "en"), (91, "...", "en"), (92, text, None), (93, text, None), (94, None, "fr"), (95, None, "fr")]
+    spark.createDataFrame([(k, t, lang, "src1", len(t or "")) for k, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (got,) = rows(reports.threshold_window(spark, str(tmp_path)))
+    assert got[:4] == (1.0, "94-95", pytest.approx(cosine(f"{text}\n{text}", f"{text} eleven\n{text} eleven")), "4-10")
+    assert [got] == plain_window(spark, derived.nodes(spark, str(tmp_path)))
+
+
 def cosine(a, b):
     def dims(text):
         out = collections.Counter()
