@@ -5,18 +5,18 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as X
+from factgraph.operators import tiles
 from factgraph.runtime import materialize
 
 LEG, RRF = 30, 60
 #: Requests that go to the tasks at a time, and nodes whose products with them a task adds up at once.
 REQUESTS, NODES = 512, 256
-#: Share of a block's pairs that may meet in near_pairs() before its vectors are multiplied in tiles, and vectors of a tile's side, about.
-SPARSE, TILE = 0.02, 1024
+#: Share of a block's pairs that may meet in near_pairs() before its vectors are multiplied in tiles.
+SPARSE = 0.02
 
 
 def ranked(df: DataFrame, k: int, *order) -> DataFrame:
@@ -162,91 +162,46 @@ def text_classes(nodes: DataFrame, block: str = "type") -> DataFrame:
     return rows.join(rows.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("id", "rep")
 
 
-def near_pairs(nodes: DataFrame, threshold: float, block: str = "type", share: float = SPARSE, size: int = TILE) -> DataFrame:
+def near_pairs(nodes: DataFrame, threshold: float, block: str = "type", share: float = SPARSE, size: int = tiles.PART) -> DataFrame:
     """(a, b, similarity), a < b: pairs within a block with cosine of hashed token vectors >= threshold.
 
     Exact, in one of two ways for each block. By prefix filtering: a vector's tail is its most common dimensions whose
     squared weights sum to less than threshold squared of its squared norm. A pair in reach shares a dimension outside
     both tails, so only those meet; the pairs that met are verified on whole vectors. Where more than `share` of a
     block's pairs would meet that way, as in texts of one small vocabulary, its vectors are dealt to tiles instead,
-    which are multiplied whole. Copies are pairs too: pass the rows of text_classes() that represent themselves where
-    there may be many.
+    which are multiplied whole. Vectors stay packed, one row each, but for the dimensions by which they meet. Copies
+    are pairs too: pass the rows of text_classes() that represent themselves where there may be many.
     """
-    v = X.hashed_vectors(searchable(nodes), "id", F.col("searchable"))
-    v = v.join(nodes.select("id", F.col(block).alias("block")), "id")
-    df = v.groupBy("block", "dim").agg(F.count("*").alias("df"))
-    by_rarity = Window.partitionBy("id").orderBy(F.desc("df"), "dim").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    squares = F.col("w") * F.col("w")
-    v = v.join(df, ["block", "dim"]).withColumn("nn", F.sum(squares).over(Window.partitionBy("id"))).withColumn(
-        "head", F.sum(squares).over(by_rarity) >= threshold * threshold * 0.999999 * F.col("nn")).select(
-        "id", "block", "dim", "w", "nn", "head")
-    v = materialize(v, "vectors")
-    meets = v.groupBy("block", "dim").agg(F.sum(F.col("head").cast("long")).alias("n")).groupBy("block").agg(
-        F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("meets"))
-    rows = v.groupBy("block").agg(F.count_distinct("id").alias("rows"))
-    ways = materialize(rows.join(meets, "block").select("block", "rows", (F.col("meets") > share * F.col("rows") * (F.col("rows") - 1)).alias("tiled")), "ways")
-    head = v.filter("head").join(ways.filter("NOT tiled").select("block"), "block", "left_semi").select("id", "block", "dim", "nn")
+    v = materialize(tiles.packed_vectors(nodes.select("id", F.col(block).alias("block"), "title", "body"), "id", "block"), "vectors")
+    common = np.zeros(X.DIMS, np.int64)
+    for r in v.select(F.explode("dims").alias("dim")).groupBy("dim").count().collect():  # a number for each dimension
+        common[r.dim] = r["count"]
+    heads = v.mapInArrow(_heads(common, threshold), f"id {tiles.id_type(v)}, block {v.schema['block'].dataType.simpleString()}, dim smallint")
+    meets = heads.groupBy("block", "dim").agg(F.count("*").alias("n")).groupBy("block").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("meets"))
+    rows = v.groupBy("block").agg(F.count("*").alias("rows"))
+    ways = materialize(rows.join(meets, "block").select("block", (F.col("meets") > share * F.col("rows") * (F.col("rows") - 1)).alias("tiled")), "ways")
+    head = heads.join(ways.filter("NOT tiled").select("block"), "block", "left_semi")
     met = head.alias("x").join(head.alias("y"), ["block", "dim"]).filter("x.id < y.id").select(
         F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = similarities(met, packed(v)).filter(F.col("similarity") >= threshold)
-    return found.union(tiled(v.join(ways.filter("tiled").select("block", "rows"), "block"), threshold, size))
+    found = similarities(met, v.select("id", "nn", "dims", "ws")).filter(F.col("similarity") >= threshold)
+    return found.union(tiles.pairs(v.join(ways.filter("tiled").select("block"), "block", "left_semi"), threshold, size))
 
 
-def tiled(vectors: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b, similarity) in reach of sparse vectors (id, block, rows, dim, w, nn), rows being those of the block, by products of tiles.
-
-    A block's vectors are dealt to parts of about `size`; two parts make a tile, which one task turns into two matrices
-    and their product. A vector goes to as many tiles as its block has parts.
-    """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / size)).cast("int")
-    rows = vectors.groupBy("id", "block", "nn", parts.alias("parts")).agg(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "w")).alias("v"))
-    rows = rows.select("id", "block", "nn", F.col("v.dim").alias("dims"), F.col("v.w").alias("ws"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("mine"),
-                       F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    rows = rows.select(F.xxhash64("block", low, high).alias("tile"), F.to_json(F.struct("block", low.alias("low"), high.alias("high"))).alias("name"),
-                       (F.col("mine") > F.col("other")).alias("right"), (low == high).alias("own"), "id", "nn", "dims", "ws")
-    kind = vectors.schema["id"].dataType.simpleString()
-
-    def matrix(dims, ws, counts):
-        out = np.zeros((len(counts), X.DIMS))
-        out[np.repeat(np.arange(len(counts)), counts), dims] = ws
-        return out
-
-    def products(held, own):
-        sides = []
-        for right in (False, True):
-            some = [x.filter(x.column("right") if right else pc.invert(x.column("right"))) for x in held]
-            some = [x for x in some if x.num_rows]
-            if not some:
-                return
-            counts = np.concatenate([x.column("dims").value_lengths().to_numpy(zero_copy_only=False) for x in some])
-            m = matrix(*(np.concatenate([x.column(c).flatten().to_numpy() for x in some]) for c in ("dims", "ws")), counts)
-            sides.append(([i for x in some for i in x.column("id").to_pylist()], np.concatenate([x.column("nn").to_numpy() for x in some]).astype(float), m))
-            if own:
-                sides.append(sides[0])
-                break
-        (ia, na, ma), (ib, nb, mb) = sides
-        near = (ma @ mb.T) / np.sqrt(na[:, None] * nb)
-        i, j = np.nonzero(np.triu(near >= threshold, 1) if own else near >= threshold)
-        pairs = [(min(ia[x], ib[y]), max(ia[x], ib[y]), near[x, y]) for x, y in zip(i.tolist(), j.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], held[0].column("id").type), pa.array([p[1] for p in pairs], held[0].column("id").type),
-                                          pa.array([float(p[2]) for p in pairs], pa.float64())], names=["a", "b", "similarity"])
-
+def _heads(common: np.ndarray, threshold: float):
+    """A task that gives (id, block, dim) of the dimensions outside the tail of packed vectors; common has the vectors of each dimension."""
     def run(batches):
-        held, at = [], None
-        for batch in (x for x in batches if x.num_rows):
-            names = batch.column("name").to_pylist()
-            cuts = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
-            for start, end in zip(cuts, cuts[1:]):
-                if names[start] != at and held:
-                    yield from products(held, held[0].column("own")[0].as_py())
-                    held = []
-                at = names[start]
-                held.append(batch.slice(start, end - start))
-        if held:
-            yield from products(held, held[0].column("own")[0].as_py())
-
-    return rows.repartition("tile").sortWithinPartitions("tile", "name").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+        for batch in batches:
+            dims, n = batch.column("dims"), batch.column("dims").value_lengths().to_numpy(zero_copy_only=False)
+            row, dim = np.repeat(np.arange(batch.num_rows), n), dims.flatten().to_numpy()
+            order = np.lexsort((dim, -common[dim], row))
+            squares = batch.column("ws").flatten().to_numpy()[order].astype(float) ** 2
+            total = np.cumsum(squares)
+            start = np.cumsum(n) - n
+            before = np.concatenate([[0.0], total])[start]
+            own = total - np.repeat(before, n) >= threshold * threshold * 0.999999 * np.repeat(batch.column("nn").to_numpy(), n)
+            at = pa.array(row[order][own])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("block").take(at), pa.array(dim[order][own])], names=["id", "block", "dim"])
+    return run
 
 
 def packed(vectors: DataFrame) -> DataFrame:
@@ -270,7 +225,7 @@ def similarities(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
             for d, w in (("da", "wa"), ("db", "wb")):
                 dims = batch.column(d)
                 row = np.repeat(np.arange(batch.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
-                sides.append((row * X.DIMS + dims.flatten().to_numpy(), batch.column(w).flatten().to_numpy()))
+                sides.append((row * X.DIMS + dims.flatten().to_numpy(), batch.column(w).flatten().to_numpy().astype(np.int64)))
             (ka, wa), (kb, wb) = sides
             both, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
             dot = np.zeros(batch.num_rows, np.int64)

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import attrs as A
 from factgraph.functions import scoring as rules
-from factgraph.functions import text as X
 from factgraph.operators import evaluation as E
 from factgraph.operators import retrieval as R
+from factgraph.operators import tiles
 from factgraph.plans.registry import LEGS_SQL, OUTCOMES_SQL, PAIRS_SQL, legs, outcomes, query
 from factgraph.runtime import materialize, table
 from factgraph.sources import derived as S
@@ -100,11 +100,11 @@ def extractor_costs(spark, sf_dir):
 @query(f"{PAIRS_SQL}, l AS (SELECT a || '-' || b AS pair, similarity, a % 3 = b % 3 AS same FROM pairs), x AS (SELECT max((similarity, pair)) FILTER (NOT same) AS b, min((similarity, pair)) FILTER (same) AS a FROM l) "
        "SELECT b[1] AS low, b[2] AS low_pair, a[1] AS high, a[2] AS high_pair, round(a[1] - b[1], 6) AS width, CASE WHEN a[1] > b[1] THEN round((a[1] + b[1]) / 2, 6) END AS middle FROM x")
 def threshold_window(spark, sf_dir):
-    """All pairs, those of copies too; they are counted by class. Texts without tokens or without a type are in no pair."""
-    nodes = S.nodes(spark, sf_dir).filter(F.col("id").isNotNull() & F.col("type").isNotNull() & X.has_tokens(F.concat_ws("\n", "title", "body")))
-    members = materialize(R.text_classes(nodes), "members")
-    pairs = R.near_pairs(nodes.join(members.filter("id = rep").select("id"), "id", "left_semi"), 0.9)
-    return E.class_window(members.withColumn("label", F.col("id") % 3), pairs)
+    """All pairs, those of copies too, which are counted by class; tiles hand on their ends. Texts without tokens or without a type are in no pair."""
+    v = materialize(tiles.packed_vectors(S.nodes(spark, sf_dir).select("id", F.col("type").alias("block"), "title", "body"), "id", "block"), "vectors")
+    members = materialize(tiles.vector_classes(v).withColumn("label", F.col("id") % 3), "members")
+    labels = members.groupBy(F.col("rep").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(label + 2 AS int))")).alias("labels"))
+    return E.class_window(members, tiles.ends(v.join(labels, "id"), 0.9))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
