@@ -230,7 +230,7 @@ def web_search(spark, sf_dir):
     nodes, requests = S.nodes(spark, sf_dir), S.requests(spark, sf_dir)
     sets = V.scope_sets(requests, access(spark, sf_dir)[1])
     asked = requests.select("request_id", F.filter(F.split("query", " "), lambda x: x != "").alias("w")).select("request_id", F.expr(WEB).alias("query"))
-    return W.ranked_leg(asked, W.postings(nodes, {"A": "title", "B": "body"}), nodes, sets)
+    return W.best_in_texts(asked, nodes, {"A": "title", "B": "body"}, sets)
 
 
 @query()
@@ -239,4 +239,4 @@ def web_search_english(spark, sf_dir):
     nodes, requests = S.nodes(spark, sf_dir), S.requests(spark, sf_dir)
     sets = V.scope_sets(requests, access(spark, sf_dir)[1])
     asked = requests.select("request_id", F.filter(F.split("query", " "), lambda x: x != "").alias("w")).select("request_id", F.expr(WEB).alias("query"))
-    return W.ranked_leg(asked, W.postings(nodes, {"A": "title", "B": "body"}, "english"), nodes, sets, mode="english")
+    return W.best_in_texts(asked, nodes, {"A": "title", "B": "body"}, sets, mode="english")
