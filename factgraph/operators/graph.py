@@ -1,8 +1,9 @@
 """Bounded walks, hop distances and canonical chains over edge tables, as unrolled equi-joins."""
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.runtime import materialize
@@ -79,14 +80,20 @@ def by_distance(base: DataFrame, hops: DataFrame) -> DataFrame:
         "request_id", "id", F.row_number().over(order).alias("place"))
 
 
-def min_hops(seeds: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(node, hops) within max_depth of any seed, edges taken either way; one row for each node at each round."""
-    moves = steps(edges).select("a", "b").distinct()
-    seen = seeds.select("node", F.lit(0).alias("hops"))
+def min_hops(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, kind: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(node, hops) within max_depth of any seed, edges taken either way; one row for each node at each round.
+
+    Repeated edges change nothing, so they need not be sorted out. kind may name what a node is, of a few kinds: then
+    only edges from a kind that the last round has reached are shuffled.
+    """
+    moves = steps(edges).select("a", "b")
+    seen = seeds.groupBy("node").agg(F.lit(0).alias("hops"))
     for depth in range(1, max_depth + 1):
-        nxt = seen.filter(F.col("hops") == depth - 1).join(moves, F.col("node") == F.col("a")).select(
-            F.col("b").alias("node"), F.lit(depth).alias("hops"))
-        seen = seen.union(nxt).groupBy("node").agg(F.min("hops").alias("hops"))
+        front, own = seen.filter(F.col("hops") == depth - 1).select(F.col("node").alias("a")), moves
+        if kind:
+            own = moves.filter(kind(F.col("a")).isin([r[0] for r in front.select(kind(F.col("a"))).distinct().collect()]))
+        nxt = own.join(front, "a", "left_semi").select(F.col("b").alias("node"), F.lit(depth).alias("hops"))
+        seen = materialize(seen.union(nxt).groupBy("node").agg(F.min("hops").alias("hops")), "hops")
     return seen
 
 

@@ -147,7 +147,7 @@ def bounded_walk(spark, sf_dir):
        "SELECT node, min(hops) AS hops FROM (SELECT node, 0 AS hops FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node")
 def min_hop_distance(spark, sf_dir):
     seeds = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 0").select(F.concat(F.lit("s:"), "s_suppkey").alias("node"))
-    return G.min_hops(seeds, S.business_edges(spark, sf_dir), 2)
+    return G.min_hops(seeds, S.business_edges(spark, sf_dir, once=False), 2, lambda node: F.substring_index(node, ":", 1))
 
 
 @query("SELECT doc_id AS id, doc_id - doc_id % 7 AS root, CAST(doc_id % 7 AS INT) AS hops FROM documents")

@@ -45,7 +45,8 @@ def requests(spark, sf_dir) -> DataFrame:
         F.when(F.col("item_id") % 3 == 0, "all").otherwise(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("scope"))
 
 
-def business_edges(spark, sf_dir) -> DataFrame:
+def business_edges(spark, sf_dir, once: bool = True) -> DataFrame:
+    """(src, dst, type), each edge once unless the caller has no need of that."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     customer = table(spark, sf_dir, "customer")
 
@@ -53,7 +54,8 @@ def business_edges(spark, sf_dir) -> DataFrame:
         return F.concat(F.lit(prefix), F.col(c))
 
     def edge(df, kind, a, b):
-        return df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type")).distinct()
+        rows = df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
+        return rows.distinct() if once else rows
 
     return (
         edge(orders, "placed_by", name("o:", "o_orderkey"), name("c:", "o_custkey"))

@@ -284,3 +284,21 @@ def test_vector_leg_equals_all_cosines_in_scope(spark, block, floor):
         near = sorted((-cosine(query, f"{t}\n{b}"), i) for i, _, t, b, s, status in nodes if status == "active" and s in sees[k])
         want += [(k, i, n) for n, (s, i) in enumerate([x for x in near if -x[0] > 0 and (floor is None or -x[0] >= floor)][:5], 1)]
     assert sorted((r.request_id, r.id, r["rank"]) for r in got) == sorted(want) and len(want) > 15
+
+
+def test_min_hops_shuffle_only_edges_of_kinds_that_are_reached(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(f"{a}:{rng.randrange(6)}", f"{b}:{rng.randrange(6)}", "t") for a, b in ("op", "ps", "oc", "cn") for _ in range(12)] * 2
+    hops = {"s:0": 0, "s:1": 0}
+    for depth in (1, 2, 3):
+        for a, b, _ in edges:
+            for x, y in ((a, b), (b, a)):
+                if hops.get(x) == depth - 1:
+                    hops.setdefault(y, depth)
+    frame, seeds = spark.createDataFrame(edges, "src string, dst string, type string"), spark.createDataFrame([("s:0",), ("s:1",), ("s:1",)], "node string")
+    cuts, cut = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: cuts.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, name))
+    for kind in (None, lambda node: F.substring_index(node, ":", 1)):
+        got = graph.min_hops(seeds, frame, 3, kind)
+        assert {r.node: r.hops for r in got.collect()} == hops
+    assert len(cuts) == 6 and "substring_index" in cuts[3] and "substring_index" not in cuts[0]
